@@ -165,13 +165,19 @@ def reach_closure(seeds: DataFrame, links: DataFrame, keys: list[str], materiali
             return reached
 
 
-def chain_ends(nodes: DataFrame, keys: list[str], materialize) -> DataFrame:
+def chain_ends(nodes: DataFrame, links: DataFrame, keys: list[str], materialize) -> DataFrame:
     """Largest ``end`` along each node's chain: (keys, node, end).
 
-    ``nodes`` has (keys, node, nxt nullable, end). Pointer jumping: after round
-    i every open pointer spans 2**i links; closed nodes are set aside.
+    ``nodes`` has (keys, node, end), ``links`` (keys, node, nxt). Pointer
+    jumping over linked nodes only: after round i every open pointer spans
+    2**i links. Nodes without a link keep their own end.
     """
-    table = materialize(nodes.select(*keys, "node", "nxt", "end"))
+    after = nodes.select(*keys, F.col("node").alias("nxt"), F.col("end").alias("_end2"))
+    table = materialize(
+        links.join(nodes, [*keys, "node"])
+        .join(after, [*keys, "nxt"])
+        .select(*keys, "node", "nxt", F.greatest("end", "_end2").alias("end"))
+    )
     while not table.filter(F.col("nxt").isNotNull()).isEmpty():
         target = table.select(
             *keys,
@@ -187,4 +193,7 @@ def chain_ends(nodes: DataFrame, keys: list[str], materialize) -> DataFrame:
             F.greatest("end", "_end2").alias("end"),
         )
         table = materialize(table.filter(F.col("nxt").isNull()).unionByName(jumped))
-    return table.select(*keys, "node", "end")
+    far = table.select(*keys, "node", F.col("end").alias("_far"))
+    return nodes.join(far, [*keys, "node"], "left").select(
+        *keys, "node", F.coalesce("_far", "end").alias("end")
+    )

@@ -139,10 +139,8 @@ def conversation_intervals(
     heard = heard_instants(events)
     seeds = chain_starts(sequences, heard, response_s, hop_s, chunk_s)
     links = reply_links(sequences, heard, response_s, chunk_s)
-    nodes = sequences.join(links, ["session_id", "p_on"], "left").select(
-        "session_id", F.col("p_on").alias("node"), "nxt", F.col("p_off").alias("end")
-    )
-    ends = chain_ends(nodes, KEYS, materialize)
+    nodes = sequences.select("session_id", F.col("p_on").alias("node"), F.col("p_off").alias("end"))
+    ends = chain_ends(nodes, links.withColumnRenamed("p_on", "node"), KEYS, materialize)
     return seeds.join(ends, (seeds.session_id == ends.session_id) & (seeds.p_on == ends.node)).select(
         seeds.session_id, F.col("c_on").alias("t_on"), F.col("end").alias("t_off")
     )
@@ -164,8 +162,8 @@ def conversation_bins(
     chunk_s: float = DEFAULT_CHUNK_S,
 ) -> DataFrame:
     """(session_id, first_bin, last_bin) of merged conversations on the grid."""
-    raw = conversation_intervals(events, response_s, max_gap_s, chunk_s=chunk_s)
-    return G.interval_bins(merge_intervals(raw, chunk_s=chunk_s), sizes, dt)
+    raw = materialize(conversation_intervals(events, response_s, max_gap_s, chunk_s=chunk_s))
+    return materialize(G.interval_bins(merge_intervals(raw, chunk_s=chunk_s), sizes, dt))
 
 
 def compute_states(convo_spans: DataFrame, sizes: DataFrame, dt: float, bad: DataFrame | None = None) -> DataFrame:
@@ -249,7 +247,7 @@ def segment_times(spans: DataFrame, dt: float) -> DataFrame:
 def state_segments(convo_spans: DataFrame, sizes: DataFrame, dt: float) -> DataFrame:
     """convo/spon segments straight from bin spans, without expanding bins."""
     convo = merge_bin_spans(convo_spans, KEYS)
-    spon = complement_spans(convo, sizes)
+    spon = complement_spans(convo_spans, sizes)
     both = convo.withColumn("state", F.lit("convo")).unionByName(
         spon.withColumn("state", F.lit("spon"))
     )

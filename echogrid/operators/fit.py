@@ -136,6 +136,7 @@ def gauss_cv_fit(
                 "session_id": [pdf.session_id.iloc[0]],
                 "model_id": [pdf.model_id.iloc[0]],
                 "n_rows": [int(tot[0])],
+                "sum_y": [float(total[1])],
                 "best_lambda": [float(lam)],
                 "w": [w],
                 "mean": [mean],
@@ -149,7 +150,7 @@ def gauss_cv_fit(
         )
 
     schema = (
-        "session_id bigint, model_id string, n_rows bigint, best_lambda double, w array<double>,"
+        "session_id bigint, model_id string, n_rows bigint, sum_y double, best_lambda double, w array<double>,"
         " mean array<double>, std array<double>, nll double, gradient array<double>,"
         " hessian array<double>, condition double, fold_metric array<double>"
     )

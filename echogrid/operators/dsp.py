@@ -275,7 +275,6 @@ def _tile_frame(rows: list[dict]) -> pd.DataFrame:
 
 def hilbert(signal: DataFrame, meta: DataFrame) -> DataFrame:
     """Imaginary part of the analytic signal: (channel, sample_idx, v)."""
-    shape = "struct<r: int, c: int, t: int>"
     lg = F.greatest(F.ceil(F.log2((2 * F.col("n_samples") - 1).cast("double"))), F.lit(2)).cast("int")
     pow2 = lambda e: F.pow(F.lit(2.0), e).cast("int")
     half = F.floor(lg / 2).cast("int")

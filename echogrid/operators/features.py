@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from echogrid.operators import grid as G
 from echogrid.operators.basis import Block, ColumnMap
+from echogrid.runtime import spread
 
 
 # ---- long form ---------------------------------------------------------------
@@ -222,7 +223,7 @@ def design_blocks(
         .agg(F.collect_list(F.struct("bin", F.col("y").cast("double").alias("y"))).alias("_y"))
         .select("session_id", "model_id", "blk", F.col("_y.bin").alias("y_b"), F.col("_y.y").alias("y_v"))
     )
-    return (
+    full = (
         out.join(models, "session_id")
         .join(ys, ["session_id", "model_id", "blk"], "left")
         .withColumn("k", F.lit(k_folds))
@@ -231,6 +232,7 @@ def design_blocks(
             "bad", "imp_s", "imp_b", "cv_lo", "cv_hi", "y_b", "y_v",
         )
     )
+    return spread(full, "session_id", "model_id", "blk")
 
 
 def fold_of(rows: np.ndarray, n: int, k: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from echogrid.operators.moments import (
     sum_vectors,
     unpack_sym,
 )
-from echogrid.runtime import materialize
+from echogrid.runtime import materialize, spread
 
 CLIP = 50.0
 MU_CAP = 1e8
@@ -190,7 +190,7 @@ def choose_lambda(cv: DataFrame, keys: list[str]) -> DataFrame:
 JOB_SCHEMA = (
     "session_id bigint, model_id string, cfg int, lam double, holdout int, b array<double>,"
     " w array<double>, w_best array<double>, dir array<double>, t double, f_best double,"
-    " hold_sum double, hessian array<double>, gradient array<double>, iters int, done boolean"
+    " hold_sum double, hessian array<double>, gradient array<double>, g_start double, iters int, done boolean"
 )
 
 
@@ -258,19 +258,21 @@ def _advance(row, p: int, d: np.ndarray, family: str, opt: dict) -> dict:
     g = g + pen_grad - (b if family == "poisson" else 0.0)
     h = h + 2 * row.lam * (d.T @ d)
     keep = {"w_best": np.asarray(row.w_best, float), "dir": np.asarray(row.dir, float), "f_best": row.f_best,
-            "hold_sum": row.hold_sum, "hessian": row.hessian, "gradient": row.gradient}
+            "hold_sum": row.hold_sum, "hessian": row.hessian, "gradient": row.gradient, "g_start": row.g_start}
     iters = int(row.iters) + 1
     first = row.iters == 0
     if first or f <= row.f_best + 1e-10 * abs(row.f_best):
         step = -min_norm_solve(h, g)
         gain = -(g @ step)
+        slope = float(np.max(np.abs(g), initial=0.0))
+        g_start = slope if first else row.g_start
         done = bool(
-            np.max(np.abs(g), initial=0.0) <= 1e-3 * opt["tol_grad"]
+            slope <= opt["tol_grad"] * (1.0 + g_start)
             or gain <= 1e-14 * (abs(f) + 1.0)
             or iters >= opt["max_iter"]
         )
         return {"w_best": w, "f_best": float(f), "hold_sum": float(held), "hessian": pack_sym(h),
-                "gradient": g, "dir": step, "t": 1.0, "w": w if done else w + step, "iters": iters, "done": done}
+                "gradient": g, "g_start": g_start, "dir": step, "t": 1.0, "w": w if done else w + step, "iters": iters, "done": done}
     t = row.t / 2
     done = t < 1e-7 or iters >= opt["max_iter"]
     return {**keep, "t": t, "w": keep["w_best"] + t * keep["dir"], "iters": iters, "done": done}
@@ -289,7 +291,7 @@ def advance_jobs(jobs: DataFrame, sums: DataFrame, p: int, d: np.ndarray, family
             cols = [c.strip().split(" ")[0] for c in JOB_SCHEMA.split(",")]
             yield pd.DataFrame(rows, columns=cols)
 
-    return jobs.join(sums, [*MODEL, "cfg"]).mapInPandas(run, JOB_SCHEMA)
+    return spread(jobs.join(sums, [*MODEL, "cfg"]), *MODEL, "cfg").mapInPandas(run, JOB_SCHEMA)
 
 
 def new_jobs(linear: DataFrame, p: int) -> DataFrame:
@@ -300,7 +302,7 @@ def new_jobs(linear: DataFrame, p: int) -> DataFrame:
         zeros.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
         F.lit(0.0).alias("f_best"), F.lit(0.0).alias("hold_sum"),
         F.array().cast("array<double>").alias("hessian"), F.array().cast("array<double>").alias("gradient"),
-        F.lit(0).alias("iters"), F.lit(False).alias("done"),
+        F.lit(0.0).alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"),
     )
 
 
@@ -449,23 +451,21 @@ def unpack_kernels(weights: DataFrame, colmap: ColumnMap, extra: list[str] | Non
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                w = np.asarray(row["w"], float)
-                for b in blocks:
-                    k = b.kernel(w[b.first : b.first + b.n])
-                    timed = b.kind in ("lagged", "history")
-                    lags = b.lags if timed else np.arange(len(k))
-                    out = {c: row[c] for c in keep}
-                    yield pd.DataFrame(
-                        {
-                            **out,
-                            "block": b.name,
-                            "pos": np.arange(len(k), dtype="int32"),
-                            "lag_bin": [int(v) if timed else None for v in lags],
-                            "lag_s": [float(v * colmap.dt) if timed else None for v in lags],
-                            "weight": k,
-                        }
-                    ).astype({"lag_bin": "Int32"})
+            w = np.vstack([np.asarray(v, float) for v in pdf.w])
+            for b in blocks:
+                coeffs = w[:, b.first : b.first + b.n]
+                k = coeffs if b.taps is None else coeffs @ b.taps.T
+                m = k.shape[1]
+                timed = b.kind in ("lagged", "history")
+                out = {c: np.repeat(pdf[c].to_numpy(), m) for c in keep}
+                out["block"] = b.name
+                out["pos"] = np.tile(np.arange(m, dtype="int32"), len(pdf))
+                lags = pd.array(b.lags if timed else [None] * m, dtype="Int32")
+                secs = b.lags * colmap.dt if timed else np.full(m, np.nan)
+                out["lag_bin"] = pd.array(np.tile(lags, len(pdf)), dtype="Int32")
+                out["lag_s"] = pd.array(np.tile(secs, len(pdf)), dtype="Float64") if timed else pd.array([None] * (m * len(pdf)), dtype="Float64")
+                out["weight"] = k.ravel()
+                yield pd.DataFrame(out)
 
     types = {"session_id": "bigint", "model_id": "string"}
     schema = ", ".join(f"{c} {types.get(c, 'int')}" for c in keep)

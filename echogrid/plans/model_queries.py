@@ -364,18 +364,17 @@ def gauss_fit_residual(spark, sf):
 
 @query(_ZERO_SQL)
 def poisson_fit_residual(spark, sf):
-    """Penalised Poisson gradient at the fitted weights, from the long form: zero."""
+    """Penalised Poisson gradient at the fitted weights, relative to the start: zero."""
     (fits, _), _ = _poisson(spark, sf)
-    w = materialize(fits.select(*KEYS, "lam", F.col("w_best").alias("w")))
+    w = materialize(fits.select(*KEYS, "lam", F.col("w_best").alias("w"), "g_start"))
     long = w.select(*KEYS, F.posexplode("w").alias("col", "w"))
     cells = coo(spark, sf)
     fitted = O.with_response(O.linear_predictor(cells, long), response(spark, sf))
     grad = O.gradient(cells, fitted)
-    pen = _penalty_rows(spark, w, 2.0)
+    pen = _penalty_rows(spark, w, 2.0).join(w.select("session_id", "g_start"), "session_id")
     out = pen.join(grad.drop("model_id"), ["session_id", "col"], "left")
-    return out.select(
-        "session_id", "col", (F.round(F.coalesce("grad", F.lit(0.0)) + F.col("pen"), 4) + F.lit(0.0)).alias("residual")
-    )
+    slope = (F.coalesce("grad", F.lit(0.0)) + F.col("pen")) / (1 + F.col("g_start"))
+    return out.select("session_id", "col", (F.round(slope, 4) + F.lit(0.0)).alias("residual"))
 
 
 @query()

@@ -40,12 +40,23 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFram
     return df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows into the session's full number of shuffle partitions.
+
+    Compact rows that stand for much compute would otherwise be merged into a
+    few tasks by size alone.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def local_session(cpus: str = "8", app: str = "echogrid") -> SparkSession:
     """Session for tests and the benchmark."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cpus if cpus != "*" else "8")
         .config("spark.sql.session.timeZone", "UTC")

@@ -124,7 +124,7 @@ def test_poisson_fit(spark):
     d, _ = B.smoothness_penalty(cm)
     mom = materialize(M.fold_moments(blocks, cm))
     lambdas = [0.1, 1.0, 10.0]
-    fit, cv = FT.poisson_cv_fit(blocks, mom, cm, d, lambdas)
+    fit, cv = FT.poisson_cv_fit(blocks, mom, cm, d, lambdas, {"tol_grad": 1e-10})
     folds = X.fold_of(np.arange(len(y)), len(y), 4)
     want = np.zeros((3, 4))
     for i, lam in enumerate(lambdas):
@@ -181,7 +181,7 @@ def test_log_link(spark):
     cm, x, y, keep, blocks, coo = small_problem(spark, excl=["states", "spike_history"])
     d, _ = B.smoothness_penalty(cm)
     mom = M.fold_moments(blocks, cm)
-    row = FT.log_link_fit(blocks, mom, cm, d, 0.5).first()
+    row = FT.log_link_fit(blocks, mom, cm, d, 0.5, {"tol_grad": 1e-9}).first()
     w = np.array(row["w_best"])
     mu = np.exp(x @ w)
     g = -x.T @ ((y - mu) * mu) + 2 * 0.5 * d.T @ d @ w

@@ -126,3 +126,18 @@ def cross_entries(coo: DataFrame, response: DataFrame, keys: list[str]) -> DataF
         .groupBy(*keys, "col")
         .agg(F.sum(F.col("val") * F.col("y")).alias("xty"))
     )
+
+
+def standardized_gram(gram: DataFrame, stats: DataFrame, n_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, i, j, g), i <= j: Gram of (x - mean) / std without forming it.
+
+    ``stats`` has (keys, col, mean, std). Pairs with no common bin still get
+    their share of the means; there are at most p x p pairs per key.
+    """
+    a = stats.select(*keys, F.col("col").alias("i"), F.col("mean").alias("_mi"), F.col("std").alias("_si"))
+    b = stats.select(*keys, F.col("col").alias("j"), F.col("mean").alias("_mj"), F.col("std").alias("_sj"))
+    pairs = a.join(b, keys).filter("i <= j").join(n_rows, keys)
+    g = F.coalesce("g", F.lit(0.0)) - F.col("n_rows") * F.col("_mi") * F.col("_mj")
+    return pairs.join(gram, [*keys, "i", "j"], "left").select(
+        *keys, "i", "j", (g / (F.col("_si") * F.col("_sj"))).alias("g")
+    )

@@ -408,3 +408,60 @@ def generator_addressed(spark, sf):
     from echogrid.sources.synthetic import mark_addressed
 
     return mark_addressed(T.events(spark, sf), 10.0, CHUNK).select("session_id", "ev_ord", "addressed")
+
+
+@query(with_events("""
+SELECT session_id, ev_ord, CASE WHEN label = 'view' THEN 'perceived' ELSE 'produced' END AS kind, round(t_on, 6) AS t_on, round(t_off, 6) AS t_off,
+  CASE WHEN label = 'view' THEN 'Perceived' ELSE label END AS label FROM ev"""))
+def label_text_scan(spark, sf):
+    """Events written as track lines and parsed back; views carry a kind as label."""
+    from echogrid.sources.labels import parse_lines
+
+    ev = T.events(spark, sf)
+    label = F.when(F.col("label") == "view", "Perceived").otherwise(F.col("label"))
+    lines = ev.select("session_id", "ev_ord", L.track_line(F.col("t_on"), F.col("t_off"), label).alias("line"))
+    out = parse_lines(lines, "produced")
+    return out.withColumn("t_on", F.round("t_on", 6)).withColumn("t_off", F.round("t_off", 6))
+
+
+@query(r"""
+SELECT page_id, 's' || coalesce(nullif(regexp_extract(upper(url), 'S(\d+)', 1), ''), nullif(regexp_extract(url, 'S(\d+)', 1), ''), '000') AS slug FROM pages""")
+def session_slug(spark, sf):
+    pages = T.read(spark, sf, "pages")
+    return pages.select("page_id", L.session_slug(F.upper("url"), F.lit(None).cast("string"), F.col("url")).alias("slug"))
+
+
+@query("""
+WITH ev AS (SELECT conv_id AS session_id, turn AS ev_ord, CASE role WHEN 'user' THEN 'perceived' ELSE 'produced' END AS kind,
+  turn * 1.0::DOUBLE AS t_on, turn + 0.5::DOUBLE AS t_off FROM conversations),
+h AS (SELECT session_id, max(t_on) AS t FROM ev WHERE kind = 'perceived' GROUP BY 1)
+SELECT session_id, count(*) FILTER (WHERE kind = 'perceived') AS n_heard, count(*) FILTER (WHERE kind = 'produced') AS n_produced,
+  max(CASE WHEN kind = 'produced' THEN t_off END) AS last_reply FROM ev GROUP BY 1""")
+def turn_taking_counts(spark, sf):
+    """Chat turns as heard and produced calls."""
+    ev = conversation_events(spark, sf)
+    made = F.col("kind") == "produced"
+    return ev.groupBy("session_id").agg(
+        F.count_if(~made).alias("n_heard"), F.count_if(made).alias("n_produced"), F.max(F.when(made, F.col("t_off"))).alias("last_reply")
+    )
+
+
+def conversation_events(spark, sf):
+    return T.read(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session_id"),
+        F.col("turn").alias("ev_ord"),
+        F.when(F.col("role") == "user", "perceived").otherwise("produced").alias("kind"),
+        F.col("turn").cast("double").alias("t_on"),
+        (F.col("turn") + F.lit(0.5)).alias("t_off"),
+        F.col("role").alias("label"),
+    )
+
+
+@query("""
+WITH RECURSIVE ev AS (SELECT conv_id AS session_id, turn AS ev_ord, CASE role WHEN 'user' THEN 'perceived' ELSE 'produced' END AS kind,
+  turn * 1.0::DOUBLE AS t_on, turn + 0.5::DOUBLE AS t_off FROM conversations)""" + SQL_SEQ.replace("> 5.0", "> 0.4").replace("WITH", "") + SQL_CHAIN
+  + SQL_REPLY.replace("5.0", "2.0") + "SELECT session_id, t_on, t_off FROM mi")
+def turn_taking_conversations(spark, sf):
+    """Long reply chains: every answered turn links to the next."""
+    iv = ST.conversation_intervals(conversation_events(spark, sf), 2.0, 0.4, chunk_s=16.0)
+    return ST.merge_intervals(iv, chunk_s=16.0)

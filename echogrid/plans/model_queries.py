@@ -19,6 +19,7 @@ from echogrid.operators import psth as P
 from echogrid.operators import scan
 from echogrid.operators import smooth as SM
 from echogrid.operators import streams as S
+from echogrid.plans import plotdata as PD
 from echogrid.plans import tables as T
 from echogrid.plans.event_queries import CHUNK, DT, SQL_CONTEXT, SQL_GRID, SQL_STREAMS, sizes, with_events
 from echogrid.runtime import materialize
@@ -224,6 +225,22 @@ def fold_gram_blocks(spark, sf):
     return rounded(each.select("session_id", "fold", "c.i", "c.j", "c.g").filter(F.abs("g") > 1e-9), "g")
 
 
+@query(with_events(SQL_COO + """
+, s AS (SELECT session_id, col, sum(val) / any_value(n_bins) AS m, any_value(n_bins) AS n,
+    sqrt((sum(val * val) - sum(val) * sum(val) / any_value(n_bins)) / (any_value(n_bins) - 1)) AS sd
+  FROM cell JOIN sizes USING (session_id) GROUP BY 1, 2),
+gg AS (SELECT a.session_id, a.col AS i, b.col AS j, sum(a.val * b.val) AS g FROM cell a
+  JOIN cell b ON a.session_id = b.session_id AND a.bin = b.bin AND a.col <= b.col GROUP BY 1, 2, 3)
+SELECT a.session_id, a.col AS i, b.col AS j, round((coalesce(g, 0.0) - a.n * a.m * b.m) / (a.sd * b.sd), 6) AS g
+FROM s a JOIN s b ON a.session_id = b.session_id AND a.col <= b.col LEFT JOIN gg ON gg.session_id = a.session_id AND gg.i = a.col AND gg.j = b.col"""))
+def standardized_gram(spark, sf):
+    """Gram of z-scored columns from sums alone, so sparse columns stay sparse."""
+    cells = coo(spark, sf).drop("model_id")
+    n = sizes(spark, sf).withColumnRenamed("n_bins", "n_rows")
+    stats = X.column_stats(cells, n, ["session_id"])
+    return rounded(M.standardized_gram(M.gram_entries(cells, ["session_id"]), stats, n, ["session_id"]), "g")
+
+
 @query(with_events(SQL_COO + """
 SELECT session_id, col, round(sum(val * y), 6) AS xty FROM cell JOIN yy USING (session_id, bin) GROUP BY 1, 2"""))
 def xty(spark, sf):
@@ -735,3 +752,63 @@ def band_power(spark, sf):
 @query()
 def drift_removal(spark, sf):
     return rounded(D.remove_drift(dense_binned(spark, sf, "zscore"), signal_sizes(spark, sf), SIG_DT), "v")
+
+
+# ---- figure data -------------------------------------------------------------
+
+
+@query(with_events(SQL_COO + """
+SELECT session_id, bin, col, round(val, 6) AS val,
+  CASE WHEN col >= 15 THEN 'spike_history lag ' || (col - 14) || '.000s'
+    ELSE (SELECT any_value(stream) FROM base WHERE col >= first AND col < first + 3) || ' basis ' || (col % 3 + 1) END AS label FROM cell"""))
+def design_preview(spark, sf):
+    return rounded(PD.design_preview(coo(spark, sf), COLMAP).drop("model_id"), "val")
+
+
+@query("""
+SELECT l_suppkey AS model_id, l_linenumber - 1 AS lambda_idx, round(avg(m), 6) AS mean_metric, round(min(m), 6) AS lo, round(max(m), 6) AS hi
+FROM (SELECT l_suppkey, l_linenumber, l_returnflag, avg(l_discount) AS m FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+def cv_curve(spark, sf):
+    cv = T.read(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber", "l_returnflag").agg(F.avg("l_discount").alias("metric"))
+    cv = cv.select(
+        F.lit(0).alias("session_id"), F.col("l_suppkey").alias("model_id"), (F.col("l_linenumber") - 1).alias("lambda_idx"),
+        F.col("l_linenumber").cast("double").alias("lambda"), "metric",
+    )
+    return rounded(PD.cv_curve(cv).drop("session_id", "lambda"), "mean_metric", "lo", "hi")
+
+
+@query(with_events(SQL_ETA + """
+SELECT c.session_id, c.bin * 1.0 AS t, coalesce(y, 0.0) AS observed_hz, round(exp(coalesce(eta, 0.0)), 6) AS predicted_hz
+FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes) c LEFT JOIN rows_ r ON r.session_id = c.session_id AND r.bin = c.bin
+WHERE c.session_id IN (SELECT session_id FROM yy) AND c.bin >= 100 AND c.bin <= 220"""))
+def prediction_window(spark, sf):
+    resp = response(spark, sf)
+    mu = O.predict_bins(
+        O.linear_predictor(coo(spark, sf), weight=fixed_weight()), resp.select(*KEYS).distinct(), G.grid(sizes(spark, sf), DT)
+    )
+    rates = mu.join(resp, [*KEYS, "bin"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+    return rounded(PD.prediction_window(rates, DT, 100.0, 120.0).drop("model_id"), "predicted_hz")
+
+
+@query(with_events("""
+SELECT session_id, ev_ord, kind, round(greatest(t_on, 100.0), 6) AS t_on, round(least(t_off, 220.0), 6) AS t_off
+FROM ev WHERE t_off >= 100.0 AND t_on <= 220.0 AND least(t_off, 220.0) > greatest(t_on, 100.0)"""))
+def event_boxes(spark, sf):
+    boxes = PD.event_boxes(T.events(spark, sf), 100.0, 120.0)
+    return rounded(boxes.select("session_id", "ev_ord", "kind", "t_on", "t_off"), "t_on", "t_off")
+
+
+@query()
+def kernel_panels(spark, sf):
+    """Gaussian kernels of every session with titles, ready to draw."""
+    (fits, _), _ = _gauss(spark, sf)
+    return rounded(PD.kernel_panels(FT.unpack_kernels(fits, COLMAP)), "weight")
+
+
+@query()
+def glm_fit_log_link(spark, sf):
+    """Gaussian fit with a log link by Gauss-Newton passes."""
+    d, _ = B.smoothness_penalty(COLMAP, CFG)
+    blk = materialize(blocks(spark, sf))
+    fits = FT.log_link_fit(blk, M.fold_moments(blk, COLMAP), COLMAP, d, 1.0, {"tol_grad": 1e-4, "max_iter": 40})
+    return fits.select(*KEYS, F.round("f_best", 4).alias("nll"))

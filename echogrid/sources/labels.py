@@ -38,6 +38,26 @@ def check_events(events: DataFrame) -> None:
     _reject(events, F.col("t_off") < F.col("t_on"), "InvalidLabelTimes", "offset precedes onset")
 
 
+def parse_lines(lines: DataFrame, default_kind: str | None = None) -> DataFrame:
+    """Events of trimmed label lines (session_id, ev_ord, line).
+
+    Fields after the second are the label, tabs kept. Unparsable times and
+    unknown kinds come out null.
+    """
+    parts = lines.withColumn("p", F.split("line", "\t"))
+    label = F.trim(F.concat_ws("\t", F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0)))))
+    named = F.when(F.lower(label).isin(PRODUCED, HEARD), F.lower(label))
+    fallback = F.lit(default_kind.strip().lower()) if default_kind else F.lit(None).cast("string")
+    return parts.select(
+        "session_id",
+        "ev_ord",
+        F.coalesce(named, fallback).alias("kind"),
+        F.expr("try_cast(trim(try_element_at(p, 1)) as double)").alias("t_on"),
+        F.expr("try_cast(trim(try_element_at(p, 2)) as double)").alias("t_off"),
+        label.alias("label"),
+    )
+
+
 def load_text(
     spark: SparkSession, path: str | list[str], default_kind: str | None = None, session_id: int | None = None
 ) -> DataFrame:
@@ -46,25 +66,17 @@ def load_text(
     The kind is the label when that names a kind, else ``default_kind``. The
     session is ``session_id`` or the digits after ``S`` in the file name.
     """
-    parts = _lines(spark, path).withColumn("p", F.split("line", "\t"))
-    _reject(parts.select("file", "line", "p"), F.size("p") < 2, "InvalidLabelsStruct", "labels need onset and offset columns")
-    label = F.trim(F.concat_ws("\t", F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0)))))
-    named = F.when(F.lower(label).isin(PRODUCED, HEARD), F.lower(label))
-    kind = F.coalesce(named, F.lit(default_kind.strip().lower()) if default_kind else F.lit(None).cast("string"))
+    lines = _lines(spark, path)
     if session_id is None:
         # Only the file name counts; folders may hold other capital S runs.
         digits = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"S(\d+)", 1)
         session = F.coalesce(F.nullif(digits, F.lit("")).cast("bigint"), F.lit(0).cast("bigint"))
     else:
         session = F.lit(session_id).cast("bigint")
-    events = parts.select(
-        session.alias("session_id"),
-        "ev_ord",
-        kind.alias("kind"),
-        F.expr("try_cast(trim(try_element_at(p, 1)) as double)").alias("t_on"),
-        F.expr("try_cast(trim(try_element_at(p, 2)) as double)").alias("t_off"),
-        label.alias("label"),
-    )
+    lines = lines.withColumn("session_id", session)
+    few = F.size(F.split("line", "\t")) < 2
+    _reject(lines, few, "InvalidLabelsStruct", "labels need onset and offset columns")
+    events = parse_lines(lines, default_kind)
     check_events(events)
     return events
 

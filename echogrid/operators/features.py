@@ -232,7 +232,8 @@ def design_blocks(
             "bad", "imp_s", "imp_b", "cv_lo", "cv_hi", "y_b", "y_v",
         )
     )
-    return spread(full, "session_id", "model_id", "blk")
+    # Sorted by model inside each task, so a task sums a model in one go.
+    return spread(full, "session_id", "model_id", "blk").sortWithinPartitions("session_id", "model_id", "blk")
 
 
 def fold_of(rows: np.ndarray, n: int, k: int) -> np.ndarray:

@@ -19,7 +19,6 @@ from echogrid.operators.features import block_matrix, fold_of
 from echogrid.operators.moments import (
     FLUSH_KEYS,
     VectorSums,
-    moment_length,
     pack_sym,
     split_moments,
     sum_vectors,
@@ -154,7 +153,7 @@ def gauss_cv_fit(
         " mean array<double>, std array<double>, nll double, gradient array<double>,"
         " hessian array<double>, condition double, fold_metric array<double>"
     )
-    fits = moments.groupBy(*MODEL).applyInPandas(run, schema)
+    fits = spread(moments, *MODEL).groupBy(*MODEL).applyInPandas(run, schema)
     return fits, cv_rows(fits, lambdas)
 
 
@@ -265,7 +264,7 @@ def _advance(row, p: int, d: np.ndarray, family: str, opt: dict) -> dict:
         step = -min_norm_solve(h, g)
         gain = -(g @ step)
         slope = float(np.max(np.abs(g), initial=0.0))
-        g_start = slope if first else row.g_start
+        g_start = max(slope, row.g_start) if first else row.g_start
         done = bool(
             slope <= opt["tol_grad"] * (1.0 + g_start)
             or gain <= 1e-14 * (abs(f) + 1.0)
@@ -295,14 +294,19 @@ def advance_jobs(jobs: DataFrame, sums: DataFrame, p: int, d: np.ndarray, family
 
 
 def new_jobs(linear: DataFrame, p: int) -> DataFrame:
-    """Jobs at w = 0 from (session, model, cfg, lam, holdout, b)."""
+    """Jobs from (session, model, cfg, lam, holdout, b), at w = 0 unless ``w0`` is given.
+
+    A start ``w0`` comes with ``g0``, the slope at zero the tolerance refers to.
+    """
     zeros = F.array_repeat(F.lit(0.0), p)
+    warm = "w0" in linear.columns
+    start, g0 = (F.col("w0"), F.col("g0")) if warm else (zeros, F.lit(0.0))
     return linear.select(
         *MODEL, F.col("cfg").cast("int").alias("cfg"), "lam", F.col("holdout").cast("int").alias("holdout"), "b",
-        zeros.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
+        start.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
         F.lit(0.0).alias("f_best"), F.lit(0.0).alias("hold_sum"),
         F.array().cast("array<double>").alias("hessian"), F.array().cast("array<double>").alias("gradient"),
-        F.lit(0.0).alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"),
+        g0.alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"),
     )
 
 
@@ -385,8 +389,13 @@ def poisson_cv_fit(
     )
     best = choose_lambda(cv, MODEL)
     total = sum_vectors(moments.select(*MODEL, F.slice("vec", 4 + p, p).alias("vec")), MODEL)
-    final = total.join(best, MODEL).select(
-        *MODEL, F.lit(0).alias("cfg"), F.col("best_lambda").alias("lam"), F.lit(-1).alias("holdout"), F.col("vec").alias("b")
+    # The first fold's fit at the chosen lambda is close; the optimum is unique.
+    near = cvfit.filter("holdout = 0").select(
+        *MODEL, F.col("lam").alias("best_lambda"), F.col("w_best").alias("w0"), F.col("g_start").alias("g0")
+    )
+    final = total.join(best, MODEL).join(near, [*MODEL, "best_lambda"]).select(
+        *MODEL, F.lit(0).alias("cfg"), F.col("best_lambda").alias("lam"), F.lit(-1).alias("holdout"),
+        F.col("vec").alias("b"), "w0", "g0",
     )
     return newton_fit(blocks, new_jobs(final, p), colmap, d, optimizer), cv
 
@@ -473,5 +482,19 @@ def unpack_kernels(weights: DataFrame, colmap: ColumnMap, extra: list[str] | Non
     return weights.select(*keep, "w").mapInPandas(run, schema)
 
 
-def moment_vector_length(colmap: ColumnMap) -> int:
-    return moment_length(colmap.p)
+def kernel_peaks(weights: DataFrame, colmap: ColumnMap, extra: list[str] | None = None) -> DataFrame:
+    """(session, model[, extra], block, peak): largest absolute kernel weight, row by row."""
+    keep = [*MODEL, *(extra or [])]
+    blocks = [b for b in colmap.blocks if b.name != "lfp_history"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            w = np.vstack([np.asarray(v, float) for v in pdf.w])
+            for b in blocks:
+                coeffs = w[:, b.first : b.first + b.n]
+                k = coeffs if b.taps is None else coeffs @ b.taps.T
+                yield pdf[keep].assign(block=b.name, peak=np.abs(k).max(axis=1))
+
+    types = {"session_id": "bigint", "model_id": "string"}
+    schema = ", ".join(f"{c} {types.get(c, 'int')}" for c in keep) + ", block string, peak double"
+    return weights.select(*keep, "w").mapInPandas(run, schema)

@@ -1,7 +1,7 @@
 """Sufficient statistics of design blocks, per model and fold.
 
 Tasks add up small dense matrices for the blocks they hold and emit one packed
-vector per (model, fold); Spark sums the vectors element by element.
+vector per (model, fold); Spark adds the vectors up.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.operators.basis import ColumnMap
 from echogrid.operators.features import block_matrix, fold_of
 
 FLUSH_KEYS = 64
+SUM_LANES = 64
 
 
 def packed_size(p: int) -> int:
@@ -51,18 +52,27 @@ class VectorSums:
         return out
 
 
+def _fold_sum(vectors: Column) -> Column:
+    """Element-wise sum of an array of equally long vectors."""
+    rest = F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0)))
+    return F.aggregate(rest, vectors[0], lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+
+
 def sum_vectors(partials: DataFrame, keys: list[str]) -> DataFrame:
     """Element-wise sum of ``vec`` per key: (keys, vec).
 
-    Elements are summed as rows so partial sums combine before the shuffle.
+    A task emits a key once or twice (design blocks are sorted by model), so a
+    key has about as many vectors as there are tasks. They are added in two
+    steps, first by task number, so no step gathers them all.
     """
-    return (
-        partials.select(*keys, F.posexplode("vec").alias("pos", "val"))
-        .groupBy(*keys, "pos")
-        .agg(F.sum("val").alias("val"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("_v"))
-        .select(*keys, F.col("_v.val").alias("vec"))
+    some = (
+        partials.withColumn("_lane", F.spark_partition_id() % F.lit(SUM_LANES))
+        .groupBy(*keys, "_lane")
+        .agg(F.collect_list("vec").alias("_v"))
+        .select(*keys, _fold_sum(F.col("_v")).alias("vec"))
+    )
+    return some.groupBy(*keys).agg(F.collect_list("vec").alias("_v")).select(
+        *keys, _fold_sum(F.col("_v")).alias("vec")
     )
 
 

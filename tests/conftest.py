@@ -5,7 +5,11 @@ from echogrid.runtime import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "echogrid-tests")
+    session = local_session("8", "echogrid-tests")
+    # Tiny inputs: a few partitions keep several tasks without 8 workers each.
+    session.conf.set("spark.sql.shuffle.partitions", "3")
+    session.sparkContext.setLogLevel("ERROR")
+    return session
 
 
 @pytest.fixture(scope="session")

@@ -264,7 +264,7 @@ def _advance(row, p: int, d: np.ndarray, family: str, opt: dict) -> dict:
         step = -min_norm_solve(h, g)
         gain = -(g @ step)
         slope = float(np.max(np.abs(g), initial=0.0))
-        g_start = max(slope, row.g_start) if first else row.g_start
+        g_start = slope if first else row.g_start
         done = bool(
             slope <= opt["tol_grad"] * (1.0 + g_start)
             or gain <= 1e-14 * (abs(f) + 1.0)
@@ -294,19 +294,18 @@ def advance_jobs(jobs: DataFrame, sums: DataFrame, p: int, d: np.ndarray, family
 
 
 def new_jobs(linear: DataFrame, p: int) -> DataFrame:
-    """Jobs from (session, model, cfg, lam, holdout, b), at w = 0 unless ``w0`` is given.
+    """Jobs at w = 0 from (session, model, cfg, lam, holdout, b).
 
-    A start ``w0`` comes with ``g0``, the slope at zero the tolerance refers to.
+    Other starts are unsafe: where a fit on fewer rows has driven a rate to
+    zero, a Newton step back is far too long.
     """
     zeros = F.array_repeat(F.lit(0.0), p)
-    warm = "w0" in linear.columns
-    start, g0 = (F.col("w0"), F.col("g0")) if warm else (zeros, F.lit(0.0))
     return linear.select(
         *MODEL, F.col("cfg").cast("int").alias("cfg"), "lam", F.col("holdout").cast("int").alias("holdout"), "b",
-        start.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
+        zeros.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
         F.lit(0.0).alias("f_best"), F.lit(0.0).alias("hold_sum"),
         F.array().cast("array<double>").alias("hessian"), F.array().cast("array<double>").alias("gradient"),
-        g0.alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"),
+        F.lit(0.0).alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"),
     )
 
 
@@ -389,13 +388,8 @@ def poisson_cv_fit(
     )
     best = choose_lambda(cv, MODEL)
     total = sum_vectors(moments.select(*MODEL, F.slice("vec", 4 + p, p).alias("vec")), MODEL)
-    # The first fold's fit at the chosen lambda is close; the optimum is unique.
-    near = cvfit.filter("holdout = 0").select(
-        *MODEL, F.col("lam").alias("best_lambda"), F.col("w_best").alias("w0"), F.col("g_start").alias("g0")
-    )
-    final = total.join(best, MODEL).join(near, [*MODEL, "best_lambda"]).select(
-        *MODEL, F.lit(0).alias("cfg"), F.col("best_lambda").alias("lam"), F.lit(-1).alias("holdout"),
-        F.col("vec").alias("b"), "w0", "g0",
+    final = total.join(best, MODEL).select(
+        *MODEL, F.lit(0).alias("cfg"), F.col("best_lambda").alias("lam"), F.lit(-1).alias("holdout"), F.col("vec").alias("b")
     )
     return newton_fit(blocks, new_jobs(final, p), colmap, d, optimizer), cv
 

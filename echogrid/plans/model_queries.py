@@ -322,7 +322,7 @@ tp AS (SELECT stream, first, lag, k, phi FROM base JOIN (
 SELECT s.session_id, t.stream AS block, CAST(t.lag AS INTEGER) AS lag_bin, round(sum(t.phi * coalesce(w.w, 0.0)), 6) AS weight
 FROM (SELECT DISTINCT session_id FROM yy) s CROSS JOIN tp t LEFT JOIN w ON w.session_id = s.session_id AND w.col = t.first + t.k GROUP BY 1, 2, 3
 UNION ALL
-SELECT s.session_id, 'spike_history', CAST(l.lag AS INTEGER), round(coalesce(w.w, 0.0), 6)
+SELECT s.session_id, 'spike_history', CAST(l.lag AS INTEGER), round(coalesce(w.w, 0.0), 6) AS weight
 FROM (SELECT DISTINCT session_id FROM yy) s CROSS JOIN (SELECT unnest(range(1, 4)) AS lag) l LEFT JOIN w ON w.session_id = s.session_id AND w.col = 14 + l.lag"""))
 def unpack_kernel(spark, sf):
     """Kernels of the weights X'y, expanded from basis to lags."""

@@ -1,13 +1,10 @@
-"""Session helpers: lineage cuts and size-checked broadcasts."""
+"""Session helpers: lineage cuts, spreading of heavy rows, local sessions."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -30,16 +27,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast hint only when a bounded probe shows at most ``limit`` rows.
-
-    Beyond the limit the frame is returned unhinted, so the join shuffles.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows into the session's full number of shuffle partitions.
 

@@ -179,3 +179,12 @@ def test_signal_checks(spark):
         signal.check_signal(df)
     meta = signal.signal_meta(df, 10.0).first()
     assert meta["n_samples"] == 2 and meta["duration"] == 0.1
+
+
+def test_wald():
+    h = np.array([[4.0, 1.0], [1.0, 3.0]])
+    got = EV.wald_difference(np.array([0.7, 0.2]), h, 0, 1)
+    cov = np.linalg.inv(h)
+    z = 0.5 / math.sqrt(cov[0, 0] + cov[1, 1] - 2 * cov[0, 1])
+    assert abs(got["z_score"] - z) < 1e-12 and abs(got["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-12
+    assert EV.wald_difference(np.zeros(2), np.zeros((2, 2)), 0, 1) is None

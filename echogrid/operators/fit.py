@@ -189,7 +189,7 @@ def choose_lambda(cv: DataFrame, keys: list[str]) -> DataFrame:
 JOB_SCHEMA = (
     "session_id bigint, model_id string, cfg int, lam double, holdout int, b array<double>,"
     " w array<double>, w_best array<double>, dir array<double>, t double, f_best double,"
-    " hold_sum double, hessian array<double>, gradient array<double>, g_start double, iters int, done boolean"
+    " hold_sum double, hessian array<double>, gradient array<double>, g_start double, iters int, done boolean, converged boolean"
 )
 
 
@@ -265,16 +265,13 @@ def _advance(row, p: int, d: np.ndarray, family: str, opt: dict) -> dict:
         gain = -(g @ step)
         slope = float(np.max(np.abs(g), initial=0.0))
         g_start = slope if first else row.g_start
-        done = bool(
-            slope <= opt["tol_grad"] * (1.0 + g_start)
-            or gain <= 1e-14 * (abs(f) + 1.0)
-            or iters >= opt["max_iter"]
-        )
+        settled = bool(slope <= opt["tol_grad"] * (1.0 + g_start) or gain <= 1e-14 * (abs(f) + 1.0))
+        done = settled or iters >= opt["max_iter"]
         return {"w_best": w, "f_best": float(f), "hold_sum": float(held), "hessian": pack_sym(h),
-                "gradient": g, "g_start": g_start, "dir": step, "t": 1.0, "w": w if done else w + step, "iters": iters, "done": done}
+                "gradient": g, "g_start": g_start, "dir": step, "t": 1.0, "w": w if done else w + step, "iters": iters, "done": done, "converged": settled}
     t = row.t / 2
     done = t < 1e-7 or iters >= opt["max_iter"]
-    return {**keep, "t": t, "w": keep["w_best"] + t * keep["dir"], "iters": iters, "done": done}
+    return {**keep, "t": t, "w": keep["w_best"] + t * keep["dir"], "iters": iters, "done": done, "converged": False}
 
 
 def advance_jobs(jobs: DataFrame, sums: DataFrame, p: int, d: np.ndarray, family: str, opt: dict) -> DataFrame:
@@ -305,7 +302,7 @@ def new_jobs(linear: DataFrame, p: int) -> DataFrame:
         zeros.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
         F.lit(0.0).alias("f_best"), F.lit(0.0).alias("hold_sum"),
         F.array().cast("array<double>").alias("hessian"), F.array().cast("array<double>").alias("gradient"),
-        F.lit(0.0).alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"),
+        F.lit(0.0).alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"), F.lit(False).alias("converged"),
     )
 
 
@@ -319,6 +316,9 @@ def newton_fit(
 ) -> DataFrame:
     """Run all jobs to convergence; finished jobs leave the passes.
 
+    ``converged`` tells a job that met the tolerance from one that ran out of
+    passes or of step.
+
     ``blocks`` should be materialised, every pass reads it.
     """
     opt = {"tol_grad": 1e-5, "max_iter": 200, **(optimizer or {})}

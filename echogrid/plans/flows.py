@@ -98,7 +98,7 @@ def fit_spikes(
     counts_by = S.event_counts(impulses)
     out.frames = {
         "events": events, "grid": sizes, "counts": counts, "impulses": impulses, "states": spans, "cv": cv,
-        "fits": fits.select(*MODEL, "lam", "w", "hessian", "gradient", "nll", "iters"),
+        "fits": fits.select(*MODEL, "lam", "w", "hessian", "gradient", "nll", "iters", "converged"),
         "rates": rates, "kernels": FT.unpack_kernels(weights, colmap),
         "metrics": EV.poisson_metrics(rates, MODEL), "event_counts": counts_by,
     }

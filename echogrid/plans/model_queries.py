@@ -409,7 +409,7 @@ def glm_cv_gauss(spark, sf):
 @query()
 def glm_fit_poisson(spark, sf):
     (fits, _), _ = _poisson(spark, sf)
-    return fits.select(*KEYS, "lam", F.round("f_best", 6).alias("nll"), "iters")
+    return fits.select(*KEYS, "lam", F.round("f_best", 6).alias("nll"), "iters", "converged")
 
 
 @query()

@@ -138,7 +138,7 @@ def test_poisson_fit(spark):
     np.testing.assert_allclose(got, want, atol=1e-7)
     row = fit.first()
     best = lambdas[int(np.argmin(want.mean(axis=1)))]
-    assert row["lam"] == best
+    assert row["lam"] == best and row["converged"]
     np.testing.assert_allclose(row["w_best"], dense_poisson(x, y, d, best), atol=1e-6)
     w = fit.select("session_id", "model_id", "w_best").withColumnRenamed("w_best", "w")
     pred = sorted((r["row_idx"], r["mu"], r["bin"]) for r in FT.predict(blocks, w, cm).collect())

@@ -1,10 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echogrid import config as C
 from echogrid.operators import basis as B
 from echogrid.operators import features as X
 from echogrid.operators import fit as FT
+from echogrid.operators import infer as I
 from echogrid.operators import moments as M
 from echogrid.runtime import materialize
 
@@ -186,3 +188,23 @@ def test_log_link(spark):
     mu = np.exp(x @ w)
     g = -x.T @ ((y - mu) * mu) + 2 * 0.5 * d.T @ d @ w
     assert np.max(np.abs(g)) < 1e-4
+
+
+def test_shifted_refits(spark):
+    cm, x, y, keep, blocks, coo = small_problem(spark, [3, 31, 32, 200], excl=["states"])
+    d, _ = B.smoothness_penalty(cm)
+    n = len(y)
+    perms = spark.range(4).select(F.lit(1).cast("bigint").alias("s"), F.lit("n0").alias("m"), F.col("id").cast("int").alias("perm"))
+    shift = {r["perm"]: r["k"] for r in perms.select("perm", I.shift_of(F.col("s"), F.col("m"), F.col("perm"), F.lit(n).cast("bigint"), 42).alias("k")).collect()}
+    cross = materialize(I.all_shifted_cross(blocks, cm, 4, 42))
+    rows = cross.collect()
+    assert sorted(r["perm"] for r in rows) == [0, 1, 2, 3]
+    for r in rows:
+        np.testing.assert_allclose(r["b"], x.T @ np.roll(y, shift[r["perm"]]), atol=1e-9)
+    fits, _ = FT.gauss_cv_fit(M.fold_moments(blocks, cm), cm, d, [1.0])
+    mean, std = x.mean(axis=0), x.std(axis=0, ddof=1)
+    mean[0], std[0] = 0, 1
+    xs = (x - mean) / std
+    for r in I.gauss_nulls(fits, cross, cm, d).collect():
+        want = np.linalg.lstsq(xs.T @ xs + d.T @ d, xs.T @ np.roll(y, shift[r["perm"]]), rcond=1e-12)[0]
+        np.testing.assert_allclose(r["w"], want, atol=1e-7)

@@ -1,8 +1,8 @@
 """Exact dedup by deterministic block naming.
 
-A text is cut into fixed-size blocks. Distinct blocks are sorted and numbered;
-then adjacent numbers are paired, distinct pairs sorted and numbered, until one
-number is left. Two texts of equal length get the same number exactly when they
+A text is cut into fixed-size blocks. Distinct blocks are sorted (in hash shards)
+and numbered; then adjacent numbers are paired, distinct pairs sorted and
+numbered, until one number is left. Two texts of equal length get the same number exactly when they
 are equal, so no decision rests on a hash.
 
 Rows that share neither (length, 64-bit hash) with another row cannot have an
@@ -27,8 +27,11 @@ def normalised(column: str = "text"):
 
 
 def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Integer names of distinct keys in sort order; the checkpoint fixes them."""
-    return materialize(distinct.sort(*keys).withColumn("name", F.monotonically_increasing_id()))
+    """Integer names of distinct keys: hash shard, then rank in the sorted shard. The checkpoint fixes them.
+
+    A global sort would sample whole blocks to the driver.
+    """
+    return materialize(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()))
 
 
 def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -101,7 +104,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         .filter(F.sha2("t.norm", 256) == F.col("s.sha"))
         .select("t.doc_id", "s.sha", "t.norm")
     )
-    named = materialize(block_names(texts, block_bytes))
+    named = materialize(block_names(materialize(texts), block_bytes))
     sized = named.alias("m").join(
         keys.alias("k"), F.col("m.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("m.sha") == F.col("k.sha"))
     )

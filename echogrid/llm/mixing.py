@@ -12,17 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echogrid.llm.common import SPACES, WORD, text_or_empty
+from echogrid.llm.common import SPACES, WORD, shuffle_partitions, text_or_empty
 from echogrid.runtime import materialize
 
 BLOCK_WORDS = 64
-SHARD_SLOTS = 65536
+SHARD_SLOTS = 8192
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2
 ROUNDS = 12
 # Rows are laid out in buckets of about this many rows.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def word_count(column: str = "text") -> Column:
@@ -179,6 +179,8 @@ def block_uses(
     counts = slot_counts(targets, block, shard_slots, seed)
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+    # Few rows that stand for many slots: spread them before the slots are made.
+    first = first.repartition(shuffle_partitions(targets.sparkSession), "source", "shard")
     blocks = F.ceil(F.col("source_size") / block)
     slots = (
         first.alias("c")

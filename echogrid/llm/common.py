@@ -1,13 +1,14 @@
-"""Shared helpers: table access, word pattern, Arrow batches."""
+"""Shared helpers: table access, word pattern, stored tables, connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echogrid.runtime import materialize
+
 # White space and words as every contract of this package defines them.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,16 +26,37 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def per_batch(
-    df: DataFrame, fn: Callable[[list[list]], list[list]], schema: str, arrow: pa.Schema
-) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch: lists of column values in, lists of column values out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = fn([c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
-            )
-
-    return df.mapInArrow(run, schema)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a compressed table in the session's shared folder and read it back.
+
+    For wide intermediate results: a checkpoint would keep them uncompressed.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        materialize(spark.range(0))  # sets the folder where nothing is configured (local runs only)
+        root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, comp`` of undirected ``edges(a, b)``: the smallest node that can be reached.
+
+    Smallest labels travel along edges and then jump to their own label, so
+    rounds grow with the logarithm of a path. Each round is checkpointed.
+    """
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")))
+    while True:
+        heard = (
+            both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("least"))
+        ).withColumnRenamed("a", "node")
+        lower = labels.join(heard, "node").select("node", F.least("comp", "least").alias("mid"), "comp")
+        lower = materialize(lower)
+        up = lower.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
+        jumped = materialize(lower.join(up, "mid").select("node", F.col("top").alias("comp"), F.col("comp").alias("was")))
+        labels = jumped.select("node", "comp")
+        if jumped.filter("comp <> was").isEmpty():
+            return labels

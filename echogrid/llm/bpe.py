@@ -31,7 +31,9 @@ from echogrid.llm.common import text_or_empty
 
 VOCABULARY = "byte_bpe_50k.json"
 # Pieces and words remembered by a worker, each.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+# Arcs remembered in the transition table.
+TRANSITIONS = 1_000_000
 NEVER = 1 << 60
 
 # Fixed value: the public byte-level pattern that splits text before the merges.
@@ -109,38 +111,54 @@ class MergeAutomaton:
             state = self.right[state]
 
     def encode(self, word: bytes) -> list[int]:
-        """Token path of ``word``: each prefix has one path, so each place one state."""
+        """Token path of ``word``.
+
+        The longest arc is followed first. Each prefix of a word has one path
+        only, so a place that led nowhere is never tried again.
+        """
         n = len(word)
-        state = [-1] * (n + 1)
         trie, label, table = self.trie, self.label, self.table
-        for start in range(n):
-            here = state[start]
-            if here < 0 and start:
-                continue
-            node = 0
-            for end in range(start, n):
-                node = trie.get(node << 8 | word[end], -1)
-                if node < 0:
-                    break
-                token = label[node]
-                if token < 0:
+        path: list[int] = []
+        # Open choices at each place on the path: tokens that match there, longest last.
+        choices: list[list[int]] = []
+        dead: set[int] = set()
+        at, state = 0, -1
+        while at < n:
+            if len(choices) == len(path):
+                node, found = 0, []
+                for end in range(at, n):
+                    node = trie.get(node << 8 | word[end], -1)
+                    if node < 0:
+                        break
+                    if label[node] >= 0:
+                        found.append(label[node])
+                choices.append(found)
+            found = choices[-1]
+            while found:
+                token = found.pop()
+                if at + self.size[token] in dead:
                     continue
-                if start:
-                    key = here << 32 | token
+                if state >= 0:
+                    key = state << 32 | token
                     open_ = table.get(key)
                     if open_ is None:
-                        open_ = table[key] = self.arc(here, token)
+                        if len(table) >= TRANSITIONS:
+                            table.clear()
+                        open_ = table[key] = self.arc(state, token)
                     if not open_:
                         continue
-                state[end + 1] = token
-        out = []
-        while n:
-            token = state[n]
-            if token < 0:
-                raise ValueError("the vocabulary lacks a byte of the text")
-            out.append(token)
-            n -= self.size[token]
-        return out[::-1]
+                path.append(token)
+                at += self.size[token]
+                state = token
+                break
+            else:
+                if not path:
+                    raise ValueError("the vocabulary lacks a byte of the text")
+                dead.add(at)
+                choices.pop()
+                at -= self.size[path.pop()]
+                state = path[-1] if path else -1
+        return path
 
 
 class _Filled(dict):
@@ -163,7 +181,7 @@ class _Filled(dict):
 
 
 class Tokenizer:
-    """Pre-splitting, encoding and decoding with one vocabulary file."""
+    """Pre-splitting and encoding with one vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -175,22 +193,28 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         tokens = {spell(s): i for s, i in model["vocab"].items() if s not in self.added}
         self.automaton = MergeAutomaton(tokens, [(spell(a), spell(b)) for a, b in pairs])
-        self.emitted = {t: b for b, t in tokens.items()} | {i: s.encode() for s, i in self.added.items()}
         self.pattern = regex.compile(PATTERN)
         # White space before a blank that no word follows: there pieces can't be cut at single blanks.
         self.tangled = re.compile(r"\s (?:\s|\Z)|\A \s| \Z")
         added = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.words = _Filled(lambda w: array("i", self.automaton.encode(w.encode())).tobytes())
-        self.pieces = _Filled(lambda p: b"".join([self.words[w] for w in self.pattern.findall(p)]))
-        self.after_blank = _Filled(lambda p: self.pieces.make(" " + p))
+        self.after_blank = _Filled(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a blank and ``piece``, which holds no blank; letters, or letters and one mark, need no pattern."""
+        if piece.isalpha():
+            return array("i", self.automaton.encode((" " + piece).encode())).tobytes()
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            return array("i", self.automaton.encode((" " + piece[:-1]).encode())).tobytes() + self.words[piece[-1]]
+        return b"".join([self.words[w] for w in self.pattern.findall(" " + piece)])
 
     def _plain(self, text: str) -> bytes:
         if self.tangled.search(text):
             return b"".join([self.words[w] for w in self.pattern.findall(text)])
         first, *rest = text.split(" ")
         after = self.after_blank
-        return (self.pieces[first] if first else b"") + b"".join([after[p] for p in rest])
+        return b"".join([self.words[w] for w in self.pattern.findall(first)]) + b"".join([after[p] for p in rest])
 
     def encode(self, text: str) -> bytes:
         """Ids as packed 32-bit integers; an added token's string is one id."""
@@ -201,23 +225,43 @@ class Tokenizer:
             for k, part in enumerate(self.special.split(text))
         )
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.emitted[i] for i in ids]).decode("utf-8", "replace")
+
+class Emitter:
+    """The labels of the automaton's arcs: bytes by id, in one run with a place for each id."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        alphabet = byte_alphabet()
+        emitted = {i: bytes(alphabet[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        emitted |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        labels = [emitted.get(i, b"") for i in range(max(emitted) + 1)]
+        self.run = np.frombuffer(b"".join(labels), np.uint8)
+        self.length = np.array([len(x) for x in labels], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The labels one after the other; what is no UTF-8 becomes the replacement mark."""
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        at = np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.start[ids] - (ends - length), length)
+        return self.run[at].tobytes().decode("utf-8", "replace")
 
 
-_LOADED: dict[str, Tokenizer] = {}
+_LOADED: dict[tuple[type, str], Tokenizer | Emitter] = {}
 
 
-def tokenizer(vocabulary: str) -> Tokenizer:
-    """The worker's tokenizer for a path, or for the name of a file of the public tokenizers package."""
-    if vocabulary not in _LOADED:
+def loaded(kind: type, vocabulary: str):
+    """The worker's ``kind`` for a path, or for the name of a file of the public tokenizers package."""
+    key = (kind, vocabulary)
+    if key not in _LOADED:
         path = vocabulary
         if not os.path.isabs(vocabulary):
             import public_tokenizers
 
             path = public_tokenizers.path(vocabulary)
-        _LOADED[vocabulary] = Tokenizer(path)
-    return _LOADED[vocabulary]
+        _LOADED[key] = kind(path)
+    return _LOADED[key]
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -229,7 +273,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        tok = loaded(Tokenizer, vocabulary)
         for batch in batches:
             packed = [tok.encode(t) for t in batch.column(1).to_pylist()]
             ends = list(itertools.accumulate((len(p) // 4 for p in packed), initial=0))
@@ -246,9 +290,11 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(vocabulary)
+        emitter = loaded(Emitter, vocabulary)
         for batch in batches:
-            texts = [tok.decode(ids or []) for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            texts = [emitter.decode(ids[a:b]) for a, b in itertools.pairwise(ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1).cast(pa.list_(pa.int32())), pa.array(texts, pa.string())], schema=out
             )

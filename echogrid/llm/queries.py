@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echogrid.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, mixing, toxicity
+from echogrid.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, mixing, token_counts, toxicity
 from echogrid.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_bpe_coding": op4_bpe_coding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_counts": op6_token_counts,
     "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,

@@ -291,3 +291,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             "passages",
         )
     )
+
+
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns."""
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
+    x = F.least(F.col("evidence"), F.lit(200.0)) * F.lit(model.slope) + F.lit(model.offset)
+    return _scored(rows, model, ["row"]).filter(x < 0).select("row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echogrid.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, mixing, token_counts, toxicity
+from echogrid.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, mixing, suffix_dedup, token_counts, toxicity
 from echogrid.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_html_text": op3_html_text,
     "op4_bpe_coding": op4_bpe_coding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,

@@ -1,4 +1,4 @@
-"""Shared helpers: table access, word pattern, stored tables, connected components."""
+"""Shared helpers: table access, word pattern, stored tables, connected components, maximal segments."""
 
 from __future__ import annotations
 
@@ -60,3 +60,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("node", "comp")
         if jumped.filter("comp <> was").isEmpty():
             return labels
+
+
+def segments(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments ``(start, end, score)`` in one pass over the scores.
+
+    A candidate keeps the sums before and up to its end. A new one is joined
+    with the last candidate that starts lower and ends lower than it.
+    """
+    kept: list[tuple[int, int, float, float]] = []
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start, low, high = i, before, total
+        while True:
+            j = len(kept) - 1
+            while j >= 0 and kept[j][2] >= low:
+                j -= 1
+            if j < 0 or kept[j][3] >= high:
+                break
+            start, low = kept[j][0], kept[j][2]
+            del kept[j:]
+        kept.append((start, i + 1, low, high))
+    return [(s, e, high - low) for s, e, low, high in kept]

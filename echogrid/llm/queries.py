@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from echogrid.llm import bpe, exact_dedup, fingerprints, html_text, jaccard_join, mixing, suffix_dedup, token_counts, toxicity
+from echogrid.llm import (
+    bpe,
+    compact_windows,
+    exact_dedup,
+    fingerprints,
+    html_text,
+    jaccard_join,
+    mixing,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from echogrid.llm.common import table
 
 
@@ -24,6 +35,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
@@ -47,6 +62,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_html_text": op3_html_text,
     "op4_bpe_coding": op4_bpe_coding,

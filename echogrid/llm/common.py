@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,55 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers one by one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_LETTER = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
+# Unrelated odd factors, one for each place of a shingle.
+_PLACE = np.random.default_rng(2).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_IS_WORD = np.array([b != 0x20 and not 0x09 <= b <= 0x0D for b in range(256)])
+
+
+@cache
+def _powers(bits: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(1 << bits, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hash of each word, A-Z as a-z: random numbers of its bytes, weighted by place, summed and scrambled."""
+    data = np.frombuffer(text.encode().lower(), np.uint8)
+    inside = _IS_WORD[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    sizes = edges[1::2] - edges[::2]
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    weights = _powers(int(sizes.max()).bit_length())
+    sums = np.add.reduceat(_LETTER[data[inside]] * weights[place], first)
+    return mixed(sums + sizes.astype(np.uint64))
+
+
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """Hash of the shingle that starts at each word, in order; fewer words than a shingle make one of their own.
+
+    A shingle has at most 64 words.
+    """
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    width = min(len(h), words)
+    n = len(h) - width + 1
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total += h[k : n + k] * _PLACE[k]
+    return mixed(total)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the session's shared folder and read it back.
 

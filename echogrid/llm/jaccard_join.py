@@ -21,13 +21,13 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echogrid.llm.common import components, shuffle_partitions, stored, text_or_empty
+from echogrid.llm.common import components, mixed, shingle_hashes, shuffle_partitions, stored, text_or_empty
 from echogrid.runtime import materialize
 
-REMEMBERED = 400_000
 # Ratio of the sizes at the two ends of a band.
 BAND = 1.6
 # Parts beyond those that may differ; they make up for empty parts.
@@ -70,35 +70,9 @@ def band_starts(most: int) -> np.ndarray:
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Scramble 64-bit numbers one by one."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _WordHash()
-
-
 def shingle_set(text: str, words: int = DEFAULT.words) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; fewer words than a shingle are one shingle."""
-    h = np.array([_words[w] for w in text.encode().lower().split()], np.uint64)
-    n = len(h)
-    if n == 0:
-        return h
-    width = min(n, words)
-    total = np.full(n - width + 1, np.uint64(width), np.uint64)
-    for k in range(width):
-        total = mixed(total * _ODD[k % 4] + h[k : n - width + 1 + k])
-    return np.unique(total)
+    return np.unique(shingle_hashes(text, words))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -106,7 +80,10 @@ def set_id(s: np.ndarray) -> int:
 
 
 def tile_keys(s: np.ndarray, rule: Rule = DEFAULT) -> np.ndarray:
-    """Keys of the tiles a set lies in: those of its band, and of the next band if it reaches a partner there."""
+    """Keys of the tiles a set lies in: those of its band, and of the next band if it reaches a partner there.
+
+    Keys have 48 bits; sets that meet by chance are told apart later.
+    """
     n = len(s)
     starts = band_starts(n)
     band = int(np.searchsorted(starts, n, side="right")) - 1
@@ -126,7 +103,7 @@ def tile_keys(s: np.ndarray, rule: Rule = DEFAULT) -> np.ndarray:
         filled = cut[1:] > cut[:-1]
         # At least 1 + SPARE parts agree. With so few empty ones, a filled part agrees.
         out.append(keys[filled] if parts - filled.sum() <= SPARE else keys)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+    return (np.concatenate(out) >> np.uint64(16)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -220,13 +197,24 @@ def _tiles(docs: DataFrame, rule: Rule) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(shared, "key long, sid long, lead long")
 
 
+def _expanded(data: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(data).decode()
+
+
 def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """``sid, n, sig, text`` of the wanted sets, from the document that stands for each."""
-    out = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("text", pa.string())])
+    """``sid, n, sig, text`` of the wanted sets, from the document that stands for each; texts travel compressed."""
+    small = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+    out = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("text", pa.binary())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data = pa.array([press.compress(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), data], schema=small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, rule.words) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(_expanded(t), rule.words) for t in batch.column(1).to_pylist()]
             ids = [set_id(s) for s in sets]
             ok = pa.array([i == sid for i, sid in zip(ids, batch.column(0).to_pylist(), strict=True)])
             rows = pa.RecordBatch.from_arrays(
@@ -241,8 +229,9 @@ def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rule: Rule) -> D
             yield rows.filter(ok)  # other rows under the same doc_id
 
     chosen = reps.join(wanted, "sid").select("sid", F.col("rep").alias("doc_id"))
-    rows = docs.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("c.sid", "d.text")
-    return rows.mapInArrow(run, "sid long, n long, sig binary, text string")
+    packed = docs.mapInArrow(squeeze, "doc_id long, text binary")
+    rows = packed.alias("d").join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))).select("c.sid", "d.text")
+    return rows.mapInArrow(run, "sid long, n long, sig binary, text binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -273,7 +262,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             found_a, found_b = [], []
             for a, sid, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(text, rule.words)
+                s = shingle_set(_expanded(text), rule.words)
                 sig = signature(s)
                 if role == 0:
                     own, own_sig = s, sig
@@ -295,10 +284,19 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
     labelled = tiles.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "comp", F.coalesce("comp", "sid")
     )
+    # Near copies agree in many parts, so most tiles have the members of another; one of those is enough.
     mixed_tiles = (
         labelled.groupBy("key")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
+        .agg(
+            F.min("comp").alias("low"),
+            F.max("comp").alias("high"),
+            F.count(F.lit(1)).alias("members"),
+            F.bit_xor(F.xxhash64("sid")).alias("one"),
+            F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("two"),
+        )
         .filter("low <> high")
+        .groupBy("members", "one", "two")
+        .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("members") / TILE).cast("long").alias("blocks"))
     )
     open_rows = labelled.join(materialize(mixed_tiles), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))

@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\x0B]+|[\s\x0B]+$", "")
+
+
 def squash(label: Column) -> Column:
     """Trimmed lower-case label without underscores, hyphens and whitespace."""
-    return F.regexp_replace(F.lower(F.trim(F.coalesce(label, F.lit("")))), r"[_\-\s]", "")
+    return F.regexp_replace(F.lower(trimmed(F.coalesce(label, F.lit("")))), r"[_\-\s]", "")
 
 
 def call_type(label: Column) -> Column:
@@ -28,7 +33,7 @@ def call_type(label: Column) -> Column:
 
 def field_suffix(name: Column) -> Column:
     """Lower-case alphanumeric part of a name, ``unknown`` when nothing is left."""
-    clean = F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]", "")
+    clean = F.regexp_replace(F.lower(trimmed(name)), "[^a-z0-9]", "")
     return F.coalesce(F.nullif(clean, F.lit("")), F.lit("unknown"))
 
 
@@ -41,11 +46,11 @@ def is_bout_label(label: Column) -> Column:
 
 
 def clean_kind(kind: Column) -> Column:
-    return F.lower(F.trim(kind))
+    return F.lower(trimmed(kind))
 
 
 def clean_label(label: Column) -> Column:
-    return F.coalesce(F.trim(label), F.lit(""))
+    return F.coalesce(trimmed(label), F.lit(""))
 
 
 def display_name(field: Column) -> Column:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.config import SIGNIFICANCE_LEVEL
 from echogrid.functions import numeric as N
+from echogrid.operators.moments import unpack_sym
 
 NAN = float("nan")
 
@@ -66,10 +69,24 @@ def signal_metrics(rows: DataFrame, keys: list[str], y: str = "y", pred: str = "
 
 
 def significance_rollup(ptest: DataFrame, keys: list[str], level: float = SIGNIFICANCE_LEVEL) -> DataFrame:
-    """Kernels tested and kernels significant per key; non-finite p are skipped."""
-    ok = N.is_finite(F.col("p_value"))
-    return ptest.filter(ok).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_kernels"), F.count_if(F.col("p_value") < level).alias("n_significant")
+    """Kernels tested, kernels significant and their names per key; non-finite p are skipped."""
+    hit = F.col("p_value") < level
+    return ptest.filter(N.is_finite(F.col("p_value"))).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_kernels"),
+        F.count_if(hit).alias("n_significant"),
+        F.array_sort(F.collect_list(F.when(hit, F.col("block")))).alias("hits"),
+    )
+
+
+def significance_totals(rollup: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: models, models with a hit and their names, kernels tested and significant."""
+    any_hit = F.col("n_significant") > 0
+    return rollup.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_models"),
+        F.count_if(any_hit).alias("n_models_hit"),
+        F.array_sort(F.collect_list(F.when(any_hit, F.col("model_id")))).alias("models_hit"),
+        F.sum("n_kernels").alias("n_kernels"),
+        F.sum("n_significant").alias("n_significant"),
     )
 
 
@@ -91,48 +108,30 @@ def weight_norm(weights: DataFrame, keys: list[str]) -> DataFrame:
     return weights.select(*keys, F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x)).alias("weight_norm"))
 
 
-def wald_difference(w: np.ndarray, hessian: np.ndarray, a: int, b: int) -> dict | None:
-    """Two-sided normal test of w[a] - w[b]; None when it cannot be formed."""
-    try:
-        cov = np.linalg.inv(hessian)
-    except np.linalg.LinAlgError:
-        return None
-    diff = float(w[a] - w[b])
-    var = cov[a, a] + cov[b, b] - 2 * cov[a, b]
-    if not var > 0:
-        return None
-    z = diff / math.sqrt(var)
-    return {"difference": diff, "z_score": z, "p_value": math.erfc(abs(z) / math.sqrt(2))}
-
-
-def normalize_event_counts(raw: dict | None) -> dict:
-    """Counts record with every field present; missing values are NaN.
-
-    Accepts the per-field layout and the older flat one, whose totals are
-    derived when every part is finite.
-    """
-    raw = raw or {}
-    num = lambda v: float(v) if v is not None else NAN
-    out = {"heard": num(raw.get("heard")), "heard_fields": [], "heard_by_field": {},
-           "produced_any": num(raw.get("produced_any")), "produced_fields": [], "produced": {}}
-    detail = raw.get("heard_by_field") or {}
-    if raw.get("heard_fields"):
-        out["heard_fields"] = list(raw["heard_fields"])
-        out["heard_by_field"] = {f: num(detail.get(f, raw.get(f))) for f in out["heard_fields"]}
-    else:
-        flat = [f for f in ("heard_addressed", "heard_overheard") if f in raw]
-        out["heard_fields"] = flat
-        out["heard_by_field"] = {f: num(raw[f]) for f in flat}
-        if flat and math.isnan(out["heard"]) and all(math.isfinite(v) for v in out["heard_by_field"].values()):
-            out["heard"] = sum(out["heard_by_field"].values())
-    if raw.get("produced_fields"):
-        made = raw.get("produced") or {}
-        out["produced_fields"] = list(raw["produced_fields"])
-        out["produced"] = {f: num(made.get(f)) for f in out["produced_fields"]}
-    else:
-        flat = [f for f in ("produced_spontaneous", "produced_after_heard", "produced_after_produced") if f in raw]
-        out["produced_fields"] = flat
-        out["produced"] = {f: num(raw[f]) for f in flat}
-        if flat and math.isnan(out["produced_any"]) and all(math.isfinite(v) for v in out["produced"].values()):
-            out["produced_any"] = sum(out["produced"].values())
-    return out
+def wald_contrast(fits: DataFrame, keys: list[str], a: int, b: int) -> DataFrame:
+    """(keys, difference, z_score, p_value) of w[a] - w[b] by the inverse packed Hessian; null where there is none."""
+    kinds = dict(fits.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", difference double, z_score double, p_value double"
+
+    def row(w: np.ndarray, packed: np.ndarray) -> tuple[float | None, ...]:
+        h = unpack_sym(packed, len(w))
+        pick = np.zeros(len(w))
+        pick[a], pick[b] = 1.0, -1.0
+        try:
+            variance = float(pick @ np.linalg.solve(h, pick))
+        except np.linalg.LinAlgError:
+            variance = 0.0
+        if not variance > 0:
+            return None, None, None
+        gap = float(pick @ w)
+        z = gap / math.sqrt(variance)
+        return gap, z, math.erfc(abs(z) / math.sqrt(2))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [row(np.asarray(w, float), np.asarray(h, float)) for w, h in zip(pdf["w"], pdf["hessian"], strict=True)]
+            yield pd.concat(
+                [pdf[keys], pd.DataFrame(found, columns=["difference", "z_score", "p_value"], index=pdf.index, dtype=float)], axis=1
+            )
+
+    return fits.select(*keys, "w", "hessian").mapInPandas(run, schema)

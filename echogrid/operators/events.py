@@ -247,3 +247,24 @@ def collapse_bouts(
         .withColumn("ev_ord", F.col("ev_ord") + F.lit(BOUT_ORD_SHIFT))
     )
     return events.filter(~F.coalesce(target, F.lit(False))).unionByName(kept)
+
+
+def mark_addressed(events: DataFrame, window_s: float = 10.0, chunk_s: float = DEFAULT_CHUNK_S) -> DataFrame:
+    """Heard events with ``addressed``: a produced onset within the next window."""
+    w_s = F.lit(float(window_s))
+    made = finite_onsets(select_kind(events, PRODUCED)).select(
+        "session_id", F.col("t_on").alias("r_on")
+    ).distinct()
+    out = asof_join(
+        finite_onsets(select_kind(events, HEARD)),
+        made,
+        ["session_id"],
+        left_key=F.col("t_on"),
+        right_key=F.col("r_on"),
+        payload=["r_on"],
+        reach=(F.col("r_on") - w_s, F.col("r_on")),
+        direction="forward",
+        chunk_s=chunk_s,
+    )
+    near = F.col("match.r_on") <= F.col("t_on") + w_s
+    return out.withColumn("addressed", F.coalesce(near, F.lit(False))).drop("match")

@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.operators.basis import ColumnMap
 from echogrid.operators.features import block_matrix, fold_of
+from echogrid.operators.grid import BLOCK_BINS
 from echogrid.operators.moments import (
     FLUSH_KEYS,
     VectorSums,
@@ -197,6 +198,23 @@ def _family(eta: np.ndarray, family: str) -> np.ndarray:
     return np.exp(np.clip(eta, -CLIP, CLIP))
 
 
+# Design blocks of a model that share one copy of its candidates.
+LANE_BLOCKS = 64
+
+
+def lanes(n_rows: Column) -> Column:
+    """Lanes of a model: long models spread over several join keys."""
+    return F.greatest(F.lit(1), F.ceil(n_rows / F.lit(LANE_BLOCKS * BLOCK_BINS))).cast("int")
+
+
+def by_lane(blocks: DataFrame, per_model: DataFrame) -> DataFrame:
+    """Blocks joined with one row per model, copied to the model's lanes, so no key holds a whole long model."""
+    counts = blocks.groupBy(*MODEL).agg(F.max("n_rows").alias("_n"))
+    copies = per_model.join(counts, MODEL).withColumn("lane", F.explode(F.sequence(F.lit(0), lanes(F.col("_n")) - 1))).drop("_n")
+    placed = blocks.withColumn("lane", F.pmod(F.col("blk"), lanes(F.col("n_rows"))).cast("int"))
+    return placed.join(copies, [*MODEL, "lane"])
+
+
 def evaluate_jobs(blocks: DataFrame, jobs: DataFrame, colmap: ColumnMap, family: str) -> DataFrame:
     """(session, model, cfg, vec): objective parts of every candidate.
 
@@ -245,7 +263,7 @@ def evaluate_jobs(blocks: DataFrame, jobs: DataFrame, colmap: ColumnMap, family:
             yield acc.flush()
 
     schema = "session_id bigint, model_id string, cfg int, vec array<double>"
-    return sum_vectors(blocks.join(cand, MODEL).mapInPandas(run, schema), keys)
+    return sum_vectors(by_lane(blocks, cand).mapInPandas(run, schema), keys)
 
 
 def _advance(row, p: int, d: np.ndarray, family: str, opt: dict) -> dict:
@@ -379,11 +397,11 @@ def poisson_cv_fit(
     p = colmap.p
     terms = materialize(fold_linear_terms(moments, p, lambdas))
     cvfit = newton_fit(blocks, new_jobs(terms, p), colmap, d, optimizer)
-    scored = cvfit.select(*MODEL, "cfg", "w_best", "hold_sum").join(terms, [*MODEL, "cfg"])
+    scored = cvfit.select(*MODEL, "cfg", "w_best", "hold_sum", "converged").join(terms, [*MODEL, "cfg"])
     cv = materialize(
         scored.select(
             *MODEL, "lambda_idx", F.col("lam").alias("lambda"), F.col("holdout").alias("fold"),
-            ((F.col("hold_sum") - dot("w_best", "b_hold")) / F.col("n")).alias("metric"),
+            ((F.col("hold_sum") - dot("w_best", "b_hold")) / F.col("n")).alias("metric"), "converged",
         )
     )
     best = choose_lambda(cv, MODEL)
@@ -405,6 +423,35 @@ def log_link_fit(
     return newton_fit(blocks, new_jobs(models, colmap.p), colmap, d, optimizer, family="gauss_log")
 
 
+def log_link_cv_fit(
+    blocks: DataFrame,
+    moments: DataFrame,
+    colmap: ColumnMap,
+    d: np.ndarray,
+    lambdas: list[float],
+    optimizer: dict | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Cross-validated Gaussian fits with a log link: (final jobs, cv rows).
+
+    The score of a fold is the mean squared error of its rows through the link.
+    """
+    p = colmap.p
+    terms = materialize(fold_linear_terms(moments, p, lambdas))
+    tried = newton_fit(blocks, new_jobs(terms, p), colmap, d, optimizer, "gauss_log")
+    scored = tried.select(*MODEL, "cfg", "hold_sum", "converged").join(terms, [*MODEL, "cfg"])
+    cv = materialize(
+        scored.select(
+            *MODEL, "lambda_idx", F.col("lam").alias("lambda"), F.col("holdout").alias("fold"),
+            (2 * F.col("hold_sum") / F.col("n")).alias("metric"), "converged",
+        )
+    )
+    final = choose_lambda(cv, MODEL).select(
+        *MODEL, F.lit(0).alias("cfg"), F.col("best_lambda").alias("lam"), F.lit(-1).alias("holdout"),
+        F.array_repeat(F.lit(0.0), p).alias("b"),
+    )
+    return newton_fit(blocks, new_jobs(final, p), colmap, d, optimizer, "gauss_log"), cv
+
+
 # ---- using a fit -------------------------------------------------------------
 
 
@@ -440,7 +487,7 @@ def predict(blocks: DataFrame, weights: DataFrame, colmap: ColumnMap, link: str
                 )
 
     schema = "session_id bigint, model_id string, row_idx bigint, bin bigint, fold int, y double, mu double"
-    return blocks.join(weights.select(*cols), MODEL).mapInPandas(run, schema)
+    return by_lane(blocks, weights.select(*cols)).mapInPandas(run, schema)
 
 
 def unpack_kernels(weights: DataFrame, colmap: ColumnMap, extra: list[str] | None = None) -> DataFrame:

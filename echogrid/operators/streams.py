@@ -17,8 +17,8 @@ from echogrid.schema import BASE_CALL_TYPES, CONTEXT_STREAMS, PRODUCED
 def call_type_names(events: DataFrame) -> list[str]:
     """Base call-type streams, then other observed ones in first-seen order.
 
-    The observed types are a label vocabulary; it is read through a bounded
-    take because each becomes a block of design columns.
+    Each type becomes a block of design columns, so the names belong to the
+    driver's layout. ``call_types`` in the config gives them without a scan.
     """
     base = ["produced_" + t for t in BASE_CALL_TYPES]
     seen = (
@@ -28,16 +28,15 @@ def call_type_names(events: DataFrame) -> list[str]:
         .filter(~F.col("stream").isin(base))
         .orderBy("first")
     )
-    limit = 1000
-    extra = [r["stream"] for r in seen.take(limit + 1)]
-    if len(extra) > limit:
-        raise ValueError("more than 1000 call types; clean the labels first")
-    return base + extra
+    return base + [r["stream"] for r in seen.collect()]
 
 
 def produced_names(events: DataFrame, cfg: dict) -> list[str]:
     if C.split_mode(cfg) == "context":
         return list(CONTEXT_STREAMS)
+    given = cfg.get("call_types")
+    if given is not None:
+        return ["produced_" + t for t in dict.fromkeys([*BASE_CALL_TYPES, *given])]
     return call_type_names(events)
 
 

@@ -109,7 +109,8 @@ def dead_signal_report(binned: DataFrame) -> DataFrame:
 
 
 def require_live_signal(binned: DataFrame, threshold: float = 1e-10) -> None:
-    """Raise when every channel is flat."""
-    live = dead_signal_report(binned).filter(F.coalesce("std", F.lit(0.0)) >= threshold)
-    if live.isEmpty():
-        raise InputError("DeadSignal", "all channels are flat after filtering")
+    """Raise when all channels of a session are flat; an empty table has no live session either."""
+    best = dead_signal_report(binned).groupBy("session_id").agg(F.max(F.coalesce("std", F.lit(0.0))).alias("most"))
+    found = best.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("most") < threshold, F.col("session_id"))).alias("dead")).first()
+    if found["n"] == 0 or found["dead"] is not None:
+        raise InputError("DeadSignal", f"all channels are flat in session {found['dead']}")

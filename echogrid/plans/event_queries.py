@@ -113,12 +113,12 @@ def validate_spike_order(spark, sf):
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, regexp_replace(lower(trim(text, ' ')), '[_\-\s]', '', 'g') AS s FROM documents),
+WITH c AS (SELECT doc_id, regexp_replace(lower(trim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))), '[_\-\s]', '', 'g') AS s FROM documents),
 k AS (SELECT doc_id, CASE WHEN contains(s, 'trillphee') THEN 'trillphee' WHEN contains(s, 'trill') THEN 'trill'
   WHEN contains(s, 'twitter') THEN 'twitter' WHEN contains(s, 'phee') THEN 'phee'
   WHEN regexp_replace(s, '[0-9]+$', '') <> '' THEN regexp_replace(s, '[0-9]+$', '')
   WHEN s <> '' THEN s ELSE 'unknown' END AS call_type FROM c)
-SELECT doc_id, call_type, 'produced_' || coalesce(nullif(regexp_replace(lower(trim(call_type, ' ')), '[^a-z0-9]', '', 'g'), ''), 'unknown') AS stream
+SELECT doc_id, call_type, 'produced_' || coalesce(nullif(regexp_replace(lower(trim(call_type, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))), '[^a-z0-9]', '', 'g'), ''), 'unknown') AS stream
 FROM k""")
 def call_type_canonical(spark, sf):
     docs = T.read(spark, sf, "documents")
@@ -138,19 +138,22 @@ r AS (
   UNION ALL
   SELECT n.session_id, n.nxt FROM r JOIN n ON n.session_id = r.session_id AND n.t_on = r.t_on WHERE n.nxt IS NOT NULL
 )
-SELECT session_id, min(h.ev_ord) AS ev_ord, round(t_on, 6) AS t_on, round(arg_min(h.t_off, h.ev_ord), 6) AS t_off
-FROM h JOIN r USING (session_id, t_on) GROUP BY session_id, t_on"""))
+SELECT session_id, min(h.ev_ord) AS ev_ord, round(t_on, 6) AS t_on, round(arg_min(h.t_off, h.ev_ord), 6) AS t_off, TRUE AS is_bout
+FROM h JOIN r USING (session_id, t_on) GROUP BY session_id, t_on
+UNION ALL
+SELECT session_id, ev_ord, round(t_on, 6), round(t_off, 6), FALSE FROM ev WHERE NOT (kind = 'produced' AND label = 'purchase')"""))
 def bout_collapse(spark, sf):
-    """First syllable of each bout; purchases play the bout calls."""
+    """First syllable of each bout and all other events as they are; purchases play the bout calls."""
     ev = T.events(spark, sf).withColumn(
         "label", F.when(F.col("label") == "purchase", "Twitter_A").otherwise(F.col("label"))
     )
-    kept = E.collapse_bouts(ev, 1.5, CHUNK).filter(L.is_bout_label(F.col("label")))
-    return kept.select(
+    bout = L.is_bout_label(F.col("label"))
+    return E.collapse_bouts(ev, 1.5, CHUNK).select(
         "session_id",
-        (F.col("ev_ord") - F.lit(E.BOUT_ORD_SHIFT)).alias("ev_ord"),
+        F.when(bout, F.col("ev_ord") - F.lit(E.BOUT_ORD_SHIFT)).otherwise(F.col("ev_ord")).alias("ev_ord"),
         F.round("t_on", 6).alias("t_on"),
         F.round("t_off", 6).alias("t_off"),
+        bout.alias("is_bout"),
     )
 
 
@@ -405,7 +408,7 @@ def label_track_lines(spark, sf):
 SELECT a.session_id, a.ev_ord, EXISTS (SELECT 1 FROM ev b WHERE b.session_id = a.session_id AND b.kind = 'produced'
   AND b.t_on >= a.t_on AND b.t_on <= a.t_on + 10.0) AS addressed FROM ev a WHERE a.kind = 'perceived'"""))
 def generator_addressed(spark, sf):
-    from echogrid.sources.synthetic import mark_addressed
+    from echogrid.operators.events import mark_addressed
 
     return mark_addressed(T.events(spark, sf), 10.0, CHUNK).select("session_id", "ev_ord", "addressed")
 

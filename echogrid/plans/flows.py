@@ -21,10 +21,10 @@ from echogrid.operators import moments as M
 from echogrid.operators import states as ST
 from echogrid.operators import streams as S
 from echogrid.operators import validate as V
-from echogrid.operators.moments import unpack_sym
 from echogrid.operators.scan import DEFAULT_CHUNK_S
 from echogrid.plans import sinks
 from echogrid.runtime import materialize
+from echogrid.schema import InputError
 
 MODEL = FT.MODEL
 
@@ -85,6 +85,10 @@ def fit_spikes(
             "session_id", F.col("neuron_id").alias("model_id"), "bin", F.col("n").cast("double").alias("y")
         )
     )
+    # A neuron without a spike on the grid is a model too: its response is one explicit zero.
+    named = spikes.select("session_id", F.col("neuron_id").alias("model_id")).distinct()
+    silent = named.join(counts, MODEL, "left_anti").join(sizes.select("session_id"), "session_id", "left_semi")
+    counts = counts.unionByName(silent.select(*MODEL, F.lit(0).cast("bigint").alias("bin"), F.lit(0.0).alias("y")))
     impulses, spans = shared_inputs(events, sizes, cfg, chunk_s)
     colmap = B.column_map(cfg, S.produced_names(events, cfg))
     d, _ = B.smoothness_penalty(colmap, cfg)
@@ -106,6 +110,7 @@ def fit_spikes(
         cross = I.all_shifted_cross(blocks, colmap, n_perms, cfg["seed"])
         nulls = materialize(I.poisson_nulls(blocks, cross, weights.select(*MODEL, "lam"), colmap, d, cfg["optimizer"]))
         out.frames["ptest"], out.frames["ptest_ci"] = I.permutation_test(weights, nulls, colmap)
+        out.frames["null_status"] = I.unsettled(nulls)
     return out
 
 
@@ -123,21 +128,30 @@ def fit_signal(
     dt, k, lambdas = cfg["dt"], cfg["cv"]["k"], list(cfg["cv"]["lambdas"])
     link = str(cfg["lfp"].get("link") or "identity").lower()
     n_perms = cfg.get("n_perms", C.N_PERMUTATIONS) if n_perms is None else n_perms
+    if link == "log" and n_perms > 0:
+        raise InputError("InvalidInput", "permutation refits of log-link models are not available; set n_perms to 0")
     ends = meta.select("session_id", (F.col("t0") + F.col("duration")).alias("_end"))
     events = E.within_recording(events.join(ends, "session_id"), F.col("_end")).drop("_end")
     events = collapsed(events, cfg, chunk_s)
     # The grid follows the events alone; samples beyond it are not modelled.
     sizes = materialize(G.grid_sizes(G.session_extent(events), dt))
     raw = materialize(D.bin_signal(signal, meta, sizes, dt, fs, cfg))
+    V.require_live_signal(raw, C.DEAD_SIGNAL_STD)
     flat = materialize(D.remove_drift(raw, sizes, dt, C.DRIFT_HIGHPASS_HZ, C.DRIFT_HIGHPASS_ORDER))
-    V.require_live_signal(flat, C.DEAD_SIGNAL_STD)
     resp = flat.select("session_id", F.col("channel_id").alias("model_id"), "bin", F.col("v").alias("y"))
     impulses, spans = shared_inputs(events, sizes, cfg, chunk_s)
     colmap = B.column_map(cfg, S.produced_names(events, cfg))
     d, _ = B.smoothness_penalty(colmap, cfg)
     blocks = materialize(X.design_blocks(impulses, resp, sizes, colmap, k, spans))
     mom = materialize(M.fold_moments(blocks, colmap))
-    fits, cv = FT.gauss_cv_fit(mom, colmap, d, lambdas)
+    if link == "log":
+        fits, cv = FT.log_link_cv_fit(blocks, mom, colmap, d, lambdas, cfg["optimizer"])
+        fits = fits.select(
+            *MODEL, F.col("lam").alias("best_lambda"), F.col("w_best").alias("w"), F.col("f_best").alias("nll"),
+            "gradient", "hessian", "iters", "converged",
+        )
+    else:
+        fits, cv = FT.gauss_cv_fit(mom, colmap, d, lambdas)
     fits = materialize(fits)
     pred = FT.predict(blocks, fits, colmap, link)
     out = FitResult(cfg, colmap, d)
@@ -184,31 +198,23 @@ def export_bouts(events: DataFrame, path: str | None = None, cfg: dict | None =
     return track
 
 
-def qc_stats(result: FitResult, session_id: int, model_id: str) -> dict:
-    """Summary record of one model (a handful of small rows)."""
-    mine = (F.col("session_id") == session_id) & (F.col("model_id") == model_id)
-    fit = result.fits.filter(mine).first()
-    w = np.asarray(fit["w"], float)
-    stats: dict = {"n_params": len(w), "weight_norm": float(np.linalg.norm(w))}
-    bad_free = result.grid.filter(F.col("session_id") == session_id).first()
-    stats["n_bins"] = int(bad_free["n_bins"])
-    best = FT.choose_lambda(result.cv.filter(mine), MODEL).first()
-    stats["best_lambda"], stats["best_lambda_mean_nll"] = best["best_lambda"], best["mean_metric"]
-    stats["metrics"] = {k: v for k, v in result.metrics.filter(mine).first().asDict().items() if k not in MODEL}
-    by = {r["stream"]: r["n"] for r in result.event_counts.filter(F.col("session_id") == session_id).collect()}
-    made = [b.name for b in result.colmap.lagged if b.name.startswith("produced_")]
-    heard = ["heard_addressed", "heard_overheard"]
-    stats["event_counts"] = EV.normalize_event_counts(
-        {"heard": by.get("heard_any", 0), "heard_fields": heard, "heard_by_field": {f: by.get(f, 0) for f in heard},
-         "produced_any": by.get("produced_any", 0), "produced_fields": made, "produced": {f: by.get(f, 0) for f in made}}
+def qc_summary(result: FitResult) -> DataFrame:
+    """One row per model: size, weight norm, chosen lambda, event counts, state contrast, permutation verdicts."""
+    lam = "lam" if "lam" in result.fits.columns else "best_lambda"
+    base = result.fits.select(*MODEL, F.col(lam).alias("best_lambda"), F.size("w").alias("n_params"), "w", "hessian")
+    score = FT.choose_lambda(result.cv, MODEL).select(*MODEL, F.col("mean_metric").alias("best_lambda_mean_metric"))
+    counts = result.event_counts.groupBy("session_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("stream", "n")))).alias("event_counts")
+    )
+    out = (
+        base.join(EV.weight_norm(base.select(*MODEL, "w"), MODEL), MODEL)
+        .join(score, MODEL)
+        .join(result.grid.select("session_id", "n_bins"), "session_id")
+        .join(counts, "session_id", "left")
     )
     states = result.colmap.get("states")
     if states is not None:
-        a, b = states.first, states.first + 1
-        stats["state_coeffs"] = {"convo": float(w[a]), "spon": float(w[b])}
-        test = EV.wald_difference(w, unpack_sym(np.asarray(fit["hessian"], float), len(w)), a, b)
-        stats["state_coeffs"].update(test or {})
+        out = out.join(EV.wald_contrast(base, MODEL, states.first, states.first + 1), MODEL, "left")
     if "ptest" in result.frames:
-        pv = {r["block"]: r["p_value"] for r in result.ptest.filter(mine).collect()}
-        stats["permutation"] = sinks.permutation_summary({b.name: pv.get(b.name) for b in result.colmap.blocks})
-    return stats
+        out = out.join(EV.significance_rollup(result.ptest, MODEL), MODEL, "left")
+    return out.drop("w", "hessian")

@@ -38,7 +38,6 @@ CFG = C.merge(
         "heard_basis": {"n_basis": 3},
         "produced_basis": {"n_basis": 3},
         "lfp": {"history_window_s": [1, 3]},
-        "cv": {"k": 4, "lambdas": [0.1, 1.0, 10.0]},
     },
 )
 LAMBDAS = CFG["cv"]["lambdas"]
@@ -420,27 +419,30 @@ def glm_predictions(spark, sf):
     return rounded(EV.poisson_metrics(rows, KEYS), "nll", "pseudoR2", "deviance_explained", places=5)
 
 
+def _verdicts(p, intervals):
+    """One row per block and lag: the block's p value and the interval of its null weights."""
+    return rounded(p.join(intervals, [*KEYS, "block"]), "p_value", "ci_lower", "ci_upper")
+
+
 @query()
 def permutation_test_gauss(spark, sf):
     d, _ = B.smoothness_penalty(COLMAP, CFG)
     blk = materialize(blocks(spark, sf))
     mom = materialize(M.fold_moments(blk, COLMAP))
     fits = materialize(FT.gauss_cv_fit(mom, COLMAP, d, LAMBDAS)[0])
-    nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blk, COLMAP, 250, CFG["seed"]), COLMAP, d))
-    p, _ = I.permutation_test(fits, nulls, COLMAP)
-    return rounded(p, "p_value")
+    nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blk, COLMAP, C.N_PERMUTATIONS, CFG["seed"]), COLMAP, d))
+    return _verdicts(*I.permutation_test(fits, nulls, COLMAP))
 
 
 @query()
 def permutation_test_poisson(spark, sf):
-    """Null refits of the Poisson model (20 shifts per model in this query)."""
+    """Null refits of the Poisson model, with how many of them met the tolerance."""
     d, _ = B.smoothness_penalty(COLMAP, CFG)
     (fits, _), blk = _poisson(spark, sf)
     fits = materialize(fits.select(*KEYS, "lam", F.col("w_best").alias("w")))
-    cross = I.all_shifted_cross(blk, COLMAP, 20, CFG["seed"])
+    cross = I.all_shifted_cross(blk, COLMAP, C.N_PERMUTATIONS, CFG["seed"])
     nulls = materialize(I.poisson_nulls(blk, cross, fits.drop("w"), COLMAP, d, CFG["optimizer"]))
-    p, _ = I.permutation_test(fits, nulls, COLMAP)
-    return rounded(p, "p_value")
+    return _verdicts(*I.permutation_test(fits, nulls, COLMAP)).join(I.unsettled(nulls), KEYS)
 
 
 # ---- evaluation and inference ------------------------------------------------
@@ -618,17 +620,18 @@ def rate_smooth_decimate(spark, sf):
 
 # ---- signals -----------------------------------------------------------------
 
-FS, T0, SIG_DT, SIG_BINS = 4.0, 0.5, 0.3, 60
+FS, T0, SIG_DT = 4.0, 0.5, 0.3
 
 SQL_SIGNAL = """
 WITH sg AS (SELECT label::BIGINT AS session_id, vec_id::VARCHAR AS channel_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)
 """
 SQL_RESAMPLED = SQL_SIGNAL + """,
-gx AS (SELECT bin, (bin * 0.3::DOUBLE - 0.5) * 4.0 AS x FROM (SELECT unnest(range(0, 60)) AS bin)),
+nb AS (SELECT CAST(floor((0.5 + (max(i)) / 4.0) / 0.3 + 1e-9) AS BIGINT) + 1 AS n FROM sg),
+gx AS (SELECT bin, (bin * 0.3::DOUBLE - 0.5) * 4.0 AS x FROM (SELECT unnest(range(0, (SELECT n FROM nb))) AS bin)),
 rs AS (
   SELECT a.session_id, a.channel_id, g.bin, a.v + (g.x - floor(g.x)) * (coalesce(b.v, a.v) - a.v) AS v
   FROM gx g JOIN sg a ON a.i = floor(g.x) LEFT JOIN sg b ON b.session_id = a.session_id AND b.channel_id = a.channel_id AND b.i = a.i + 1
-  WHERE g.x >= 0 AND g.x <= 63
+  WHERE g.x >= 0 AND g.x <= (SELECT max(i) FROM sg)
 ),
 dn AS (
   SELECT c.session_id, c.channel_id, g.bin, coalesce(rs.v, 0.0) AS v
@@ -646,7 +649,14 @@ def signal_meta(spark, sf):
 
 
 def signal_sizes(spark, sf):
-    return signal_meta(spark, sf).select("session_id", F.lit(SIG_BINS).cast("long").alias("n_bins"))
+    """Bins up to the last sample of each session."""
+    end = F.col("t0") + F.col("duration")
+    return signal_meta(spark, sf).select("session_id", (F.floor(end / SIG_DT + 1e-9) + 1).cast("long").alias("n_bins"))
+
+
+def on_grid(spark, sf, rows):
+    """Rows whose bin lies on the session's grid."""
+    return rows.join(signal_sizes(spark, sf), "session_id").filter(F.col("bin") < F.col("n_bins")).drop("n_bins")
 
 
 def resampled(spark, sf):
@@ -684,11 +694,11 @@ def normalize_minmax(spark, sf):
 
 @query(SQL_RESAMPLED + """
 SELECT session_id, channel_id, bin + lag AS bin, CAST(lag AS INTEGER) AS lag, round(v, 6) AS val
-FROM rs, (SELECT unnest(range(1, 4)) AS lag) WHERE bin + lag < 60""")
+FROM rs, (SELECT unnest(range(1, 4)) AS lag) WHERE bin + lag < (SELECT n FROM nb)""")
 def lfp_history(spark, sf):
     """Raw lags of a binned signal."""
     z = resampled(spark, sf).withColumnRenamed("v", "val")
-    return rounded(X.lag_block(z, 1, 3, D.CHANNEL).filter(F.col("bin") < SIG_BINS), "val")
+    return rounded(on_grid(spark, sf, X.lag_block(z, 1, 3, D.CHANNEL)), "val")
 
 
 @query(SQL_RESAMPLED + """
@@ -696,7 +706,7 @@ def lfp_history(spark, sf):
   FROM (SELECT unnest(range(1, 11)) AS lag), (SELECT unnest(range(0, 8)) AS k)),
 b AS (SELECT lag, k, phi / sum(phi) OVER (PARTITION BY k) AS phi FROM b0)
 SELECT session_id, channel_id, bin + lag AS bin, CAST(k AS INTEGER) AS col, round(sum(v * phi), 6) AS val FROM rs, b
-WHERE k < 7 AND bin + lag < 60 GROUP BY 1, 2, 3, 4 HAVING abs(sum(v * phi)) > 1e-7""")
+WHERE k < 7 AND bin + lag < (SELECT n FROM nb) GROUP BY 1, 2, 3, 4 HAVING abs(sum(v * phi)) > 1e-7""")
 def lfp_history_basis(spark, sf):
     """Signal history on its own wide cosine basis (last column dropped)."""
     import numpy as np
@@ -705,7 +715,7 @@ def lfp_history_basis(spark, sf):
     blk = B.Block("lfp_history", "history", 0, taps.shape[1], 1, 10, taps)
     z = resampled(spark, sf).withColumnRenamed("v", "val").withColumn("stream", F.lit("lfp_history"))
     out = X.project_basis(z, X.taps_frame(spark, [blk]), D.CHANNEL)
-    return rounded(out.filter((F.col("bin") < SIG_BINS) & (F.abs("val") > 1e-7)), "val")
+    return rounded(on_grid(spark, sf, out).filter(F.abs("val") > 1e-7), "val")
 
 
 @query(SQL_RESAMPLED + "SELECT session_id, channel_id, round(stddev_samp(v), 6) AS std, round(max(abs(v)), 6) AS peak FROM rs GROUP BY 1, 2")
@@ -810,5 +820,5 @@ def glm_fit_log_link(spark, sf):
     """Gaussian fit with a log link by Gauss-Newton passes."""
     d, _ = B.smoothness_penalty(COLMAP, CFG)
     blk = materialize(blocks(spark, sf))
-    fits = FT.log_link_fit(blk, M.fold_moments(blk, COLMAP), COLMAP, d, 1.0, {"tol_grad": 1e-4, "max_iter": 40})
-    return fits.select(*KEYS, F.round("f_best", 4).alias("nll"))
+    fits, _ = FT.log_link_cv_fit(blk, materialize(M.fold_moments(blk, COLMAP)), COLMAP, d, LAMBDAS, CFG["optimizer"])
+    return fits.select(*KEYS, "lam", F.round("f_best", 4).alias("nll"), "iters", "converged")

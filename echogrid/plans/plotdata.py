@@ -12,14 +12,10 @@ from echogrid.operators import smooth as SM
 from echogrid.operators import streams as S
 from echogrid.operators.basis import ColumnMap
 
-MAX_DESIGN_COLUMNS = 50
-
-
-def design_preview(coo: DataFrame, colmap: ColumnMap) -> DataFrame:
-    """Cells of the first 50 columns with their column labels."""
-    names = colmap.column_names()[:MAX_DESIGN_COLUMNS]
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("col") + 1)
-    return coo.filter(F.col("col") < len(names)).withColumn("label", label)
+def design_preview(coo: DataFrame, colmap: ColumnMap, first: int = 0, last: int = 50) -> DataFrame:
+    """Cells of columns ``first`` to ``last`` (left out) with their labels; the range is the caller's choice."""
+    label = F.element_at(F.array(*[F.lit(n) for n in colmap.column_names()]), F.col("col") + 1)
+    return coo.filter((F.col("col") >= first) & (F.col("col") < last)).withColumn("label", label)
 
 
 def kernel_panels(kernels: DataFrame, ptest: DataFrame | None = None, ci: DataFrame | None = None) -> DataFrame:

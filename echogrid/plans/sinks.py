@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import math
 import os
 
 from pyspark.sql import DataFrame
@@ -12,7 +10,6 @@ from pyspark.sql import functions as F
 from echogrid.functions import labels as L
 from echogrid.functions import numeric as N
 from echogrid.operators.events import repaired_stop
-from echogrid.schema import InputError
 
 
 def write_label_track(segments: DataFrame, path: str, label: str = "state", partition_by: str | None = None) -> None:
@@ -58,56 +55,6 @@ def write_fit(parts: dict[str, DataFrame], path: str, partition_by: str | None =
         writer.parquet(os.path.join(path, name))
 
 
-def _count(value: float) -> str:
-    return "n/a" if value is None or math.isnan(value) else str(int(math.floor(value + 0.5)))
-
-
-def qc_lines(stats: dict) -> list[str]:
-    """Plain-text QC report of one model."""
-    out = ["QC SUMMARY", f"bins: {stats['n_bins']}", f"params: {stats['n_params']}", f"||w||: {stats['weight_norm']:.4f}"]
-    if stats.get("best_lambda") is not None and math.isfinite(stats["best_lambda"]):
-        out += [f"best lambda: {stats['best_lambda']:.6g}", f"mean nll (best): {stats['best_lambda_mean_nll']:.4f}"]
-    c = stats["event_counts"]
-    out += ["", "Event Counts:", f"  heard: {_count(c['heard'])}"]
-    out += [f"  {f.replace('_', ' ')}: {_count(c['heard_by_field'][f])}" for f in c["heard_fields"]]
-    if not math.isnan(c["produced_any"]):
-        out.append(f"  produced any: {_count(c['produced_any'])}")
-    out += [f"  {f.replace('_', ' ')}: {_count(c['produced'][f])}" for f in c["produced_fields"]] or ["  produced: n/a"]
-    s = stats.get("state_coeffs")
-    if s:
-        out += ["", "State Coefficients:"]
-        for key, text, fmt in (
-            ("convo", "convo", ".4f"), ("spon", "spon", ".4f"), ("difference", "diff (convo-spon)", ".4f"),
-            ("z_score", "z-score", ".2f"), ("p_value", "p-value", ".3f"),
-        ):
-            if key in s:
-                out.append(f"  {text}: {s[key]:{fmt}}")
-    p = stats.get("permutation") or {"n_kernels": 0}
-    if p["n_kernels"]:
-        out += ["", f"Permutation Tests (threshold {p['threshold']:.2f}):", f"  significant: {p['n_significant']} / {p['n_kernels']}"]
-        out += [f"  {k}: p={v['p_value']:.3f}" for k, v in p["kernels"].items()]
-    return out
-
-
-def permutation_summary(pvalues: dict[str, float], threshold: float = 0.05) -> dict:
-    """Counts and verdicts over finite p values."""
-    ok = {k: v for k, v in pvalues.items() if v is not None and math.isfinite(v)}
-    return {
-        "threshold": threshold,
-        "n_kernels": len(ok),
-        "n_significant": sum(v < threshold for v in ok.values()),
-        "kernels": {k: {"p_value": v, "significant": v < threshold} for k, v in ok.items()},
-    }
-
-
-def write_qc(stats: dict, outdir: str) -> dict[str, str]:
-    """Text and JSON report of one model; returns the paths."""
-    if "://" in outdir:
-        raise InputError("InvalidInput", "QC reports of one model are written to a local folder")
-    os.makedirs(outdir, exist_ok=True)
-    paths = {"text": os.path.join(outdir, "qc_summary.txt"), "json": os.path.join(outdir, "qc_summary.json")}
-    with open(paths["text"], "w", encoding="utf-8") as fh:
-        fh.write("\n".join(qc_lines(stats)) + "\n")
-    with open(paths["json"], "w", encoding="utf-8") as fh:
-        json.dump({"paths": paths, "stats": stats}, fh, default=float)
-    return paths
+def write_qc(summary: DataFrame, path: str) -> None:
+    """QC rows as JSON lines, written by Spark to any path."""
+    summary.write.mode("overwrite").json(path)

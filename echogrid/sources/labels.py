@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echogrid.functions import numeric as N
+from echogrid.functions.labels import trimmed
 from echogrid.operators.events import normalize_records
 from echogrid.schema import HEARD, PRODUCED, InputError, require_columns
 
@@ -17,16 +18,24 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.monotonically_increasing_id().alias("ev_ord"),
-        F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"),
+        trimmed(F.col("value")).alias("line"),
     )
     return raw.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
 def _reject(rows: DataFrame, bad, code: str, message: str) -> None:
-    """Raise with the first offending row when any row is ``bad``."""
+    """Raise with the first offending row, and its line where rows come from a text file, when any is ``bad``."""
     hit = rows.filter(bad).take(1)
-    if hit:
-        raise InputError(code, f"{message}: {hit[0].asDict()}")
+    if not hit:
+        return
+    row = hit[0].asDict()
+    where = ""
+    if "file" in row:
+        # Lines are only numbered now that there is an error to tell.
+        numbered = rows.sparkSession.read.text(row["file"]).select(trimmed(F.col("value"))).rdd.zipWithIndex()
+        at = numbered.filter(lambda x: x[0][0] == row["line"]).map(lambda x: x[1]).take(1)
+        where = f"line {at[0] + 1} of {row['file']}, " if at else ""
+    raise InputError(code, f"{message}: {where}{row}")
 
 
 def check_events(events: DataFrame) -> None:
@@ -38,23 +47,32 @@ def check_events(events: DataFrame) -> None:
     _reject(events, F.col("t_off") < F.col("t_on"), "InvalidLabelTimes", "offset precedes onset")
 
 
-def parse_lines(lines: DataFrame, default_kind: str | None = None) -> DataFrame:
+def _number(field: int) -> Column:
+    """A field as a number: decimal digits, sign and exponent, or an infinity or NaN by name; else null."""
+    text = trimmed(F.try_element_at("p", F.lit(field)))
+    plain = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eEdD][+-]?\d+)?$")
+    named = text.rlike(r"(?i)^[+-]?(inf(inity)?|nan)$")
+    return F.when(plain, F.regexp_replace(text, "[dD]", "e").try_cast("double")).when(named, text.try_cast("double"))
+
+
+def parse_lines(lines: DataFrame, default_kind: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Events of trimmed label lines (session_id, ev_ord, line).
 
     Fields after the second are the label, tabs kept. Unparsable times and
     unknown kinds come out null.
     """
     parts = lines.withColumn("p", F.split("line", "\t"))
-    label = F.trim(F.concat_ws("\t", F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0)))))
+    label = trimmed(F.concat_ws("\t", F.slice("p", 3, F.greatest(F.size("p") - 2, F.lit(0)))))
     named = F.when(F.lower(label).isin(PRODUCED, HEARD), F.lower(label))
     fallback = F.lit(default_kind.strip().lower()) if default_kind else F.lit(None).cast("string")
     return parts.select(
         "session_id",
         "ev_ord",
         F.coalesce(named, fallback).alias("kind"),
-        F.expr("try_cast(trim(try_element_at(p, 1)) as double)").alias("t_on"),
-        F.expr("try_cast(trim(try_element_at(p, 2)) as double)").alias("t_off"),
+        _number(1).alias("t_on"),
+        _number(2).alias("t_off"),
         label.alias("label"),
+        *keep,
     )
 
 
@@ -76,9 +94,9 @@ def load_text(
     lines = lines.withColumn("session_id", session)
     few = F.size(F.split("line", "\t")) < 2
     _reject(lines, few, "InvalidLabelsStruct", "labels need onset and offset columns")
-    events = parse_lines(lines, default_kind)
+    events = parse_lines(lines, default_kind, ("file", "line"))
     check_events(events)
-    return events
+    return events.drop("file", "line")
 
 
 def load_records(spark: SparkSession, path: str, default_kind: str | None = None) -> DataFrame:

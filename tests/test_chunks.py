@@ -8,7 +8,7 @@ from echogrid.operators import events as E
 from echogrid.operators import scan
 from echogrid.operators import states as ST
 from echogrid.runtime import materialize
-from echogrid.sources.synthetic import mark_addressed
+from echogrid.operators.events import mark_addressed
 
 
 @pytest.fixture(scope="module")

@@ -1,4 +1,3 @@
-import json
 import math
 import os
 import wave
@@ -8,13 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from echogrid import config as C
+from echogrid.functions import numeric as N
 from echogrid.operators import evaluate as EV
 from echogrid.operators import infer as I
 from echogrid.operators import psth as P
 from echogrid.operators import validate as V
+from echogrid.operators.moments import pack_sym
 from echogrid.plans import flows, plotdata, sinks
 from echogrid.schema import InputError
-from echogrid.sources import files, labels, signal, synthetic
+from echogrid.sources import files, labels, signal
+from tests import synthetic_sessions as synthetic
 
 
 def test_text_labels(spark, tmp_path):
@@ -107,19 +109,6 @@ def test_config():
         C.bout_window({"twitter_bout_window_s": 0})
 
 
-def test_counts_and_qc(tmp_path):
-    c = EV.normalize_event_counts({"heard": 3, "heard_fields": ["heard_addressed", "heard_overheard"],
-                                   "heard_by_field": {"heard_addressed": 2, "heard_overheard": 1}, "produced_any": 7})
-    assert c["heard"] == 3 and c["produced_any"] == 7
-    assert EV.normalize_event_counts({"heard_addressed": 2, "heard_overheard": 1})["heard"] == 3
-    perm = sinks.permutation_summary({"heard_addressed": 0.02, "states": float("nan")})
-    assert (perm["n_kernels"], perm["n_significant"], perm["threshold"]) == (1, 1, 0.05)
-    stats = {"n_bins": 5, "n_params": 2, "weight_norm": 1.0, "best_lambda": 1.0, "best_lambda_mean_nll": 0.8, "event_counts": c, "permutation": perm}
-    paths = sinks.write_qc(stats, str(tmp_path))
-    assert "  heard addressed: 2" in open(paths["text"]).read()
-    assert json.load(open(paths["json"]))["stats"]["best_lambda"] == 1.0
-
-
 def test_files(tmp_path):
     p = str(tmp_path / "a.wav")
     with wave.open(p, "wb") as fh:
@@ -143,9 +132,12 @@ def test_spike_flow_recovers_kernel(spark, tmp_path):
     made = out.kernels.filter(F.col("block").startswith("produced_")).orderBy(F.desc("weight")).first()
     assert -2.0 <= made["lag_s"] <= -0.8
     assert {r["block"] for r in out.ptest.collect()} == {b.name for b in out.colmap.blocks} - {"intercept"}
-    stats = flows.qc_stats(out, 1, "1")
-    assert stats["n_params"] == out.colmap.p and stats["permutation"]["n_kernels"] > 0
-    sinks.write_qc(stats, str(tmp_path / "qc"))
+    assert out.null_status.first()["n_refits"] == 5
+    qc = flows.qc_summary(out)
+    row = qc.first()
+    assert row["n_params"] == out.colmap.p and row["n_kernels"] > 0 and row["event_counts"]["heard_any"] > 0
+    sinks.write_qc(qc, str(tmp_path / "qc"))
+    assert spark.read.json(str(tmp_path / "qc")).count() == 1
     for name in ("kernels", "metrics", "cv"):
         sinks.write_fit({name: out.frames[name]}, str(tmp_path / "fit"))
         assert os.path.exists(tmp_path / "fit" / name)
@@ -181,10 +173,64 @@ def test_signal_checks(spark):
     assert meta["n_samples"] == 2 and meta["duration"] == 0.1
 
 
-def test_wald():
+def test_wald(spark):
     h = np.array([[4.0, 1.0], [1.0, 3.0]])
-    got = EV.wald_difference(np.array([0.7, 0.2]), h, 0, 1)
+    rows = [(1, [0.7, 0.2], pack_sym(h).tolist()), (2, [0.0, 0.0], [0.0, 0.0, 0.0])]
+    fits = spark.createDataFrame(rows, "model_id int, w array<double>, hessian array<double>")
+    got = {r["model_id"]: r for r in EV.wald_contrast(fits, ["model_id"], 0, 1).collect()}
     cov = np.linalg.inv(h)
     z = 0.5 / math.sqrt(cov[0, 0] + cov[1, 1] - 2 * cov[0, 1])
-    assert abs(got["z_score"] - z) < 1e-12 and abs(got["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-12
-    assert EV.wald_difference(np.zeros(2), np.zeros((2, 2)), 0, 1) is None
+    assert abs(got[1]["z_score"] - z) < 1e-12 and abs(got[1]["p_value"] - math.erfc(z / math.sqrt(2))) < 1e-12
+    assert got[2]["z_score"] is None or math.isnan(got[2]["z_score"])
+
+
+def test_rollup_names_the_hits(spark):
+    p = spark.createDataFrame([(1, "a", "x", 0.01), (1, "a", "y", 0.2), (1, "b", "x", 0.5), (1, "b", "y", float("nan"))],
+                              "session_id int, model_id string, block string, p_value double")
+    roll = EV.significance_rollup(p, ["session_id", "model_id"])
+    assert {r["model_id"]: (r["n_kernels"], r["n_significant"], r["hits"]) for r in roll.collect()} == {"a": (2, 1, ["x"]), "b": (1, 0, [])}
+    total = EV.significance_totals(roll, ["session_id"]).first()
+    assert (total["n_models"], total["n_models_hit"], total["models_hit"]) == (2, 1, ["a"])
+
+
+def test_neuron_without_spikes_is_fitted(spark, make_events):
+    ev = make_events([("P", 0.2, 0.4), ("R", 0.5, 0.6), ("P", 0.9, 1.0), ("R", 1.2, 1.3)])
+    spikes = [(1, "n0", t / 50) for t in range(90)] + [(1, "mute", -5.0)]
+    cfg = {"dt": 0.05, "heard_window_s": [0, 0.2], "produced_window_s": [-0.2, 0.2], "history_window_s": [0.05, 0.3],
+           "cv": {"k": 2, "lambdas": [0.5]}}
+    out = flows.fit_spikes(spark.createDataFrame(spikes, "session_id bigint, neuron_id string, t double"), ev, cfg, n_perms=0)
+    assert {r["model_id"] for r in out.fits.collect()} == {"n0", "mute"}
+
+
+def test_log_link_flow(spark):
+    sig, meta, events = synthetic.synthetic_signal(spark, 1, {"session_duration": 40.0, "fs": 200.0, "n_channels": 1})
+    cfg = {"dt": 0.1, "history_window_s": [0.1, 0.3], "lfp": {"link": "log", "bandpass_hz": [20, 60]}, "cv": {"k": 2, "lambdas": [1.0]}}
+    out = flows.fit_signal(sig, meta, events, 200.0, cfg, n_perms=0)
+    assert out.predictions.filter("mu <= 0").isEmpty()
+    assert math.isfinite(out.metrics.first()["mse"])
+    with pytest.raises(InputError):
+        flows.fit_signal(sig, meta, events, 200.0, cfg, n_perms=5)
+
+
+def test_dead_session_is_told(spark):
+    rows = [(s, "c", b, float(b) if s == 1 else 2.0) for s in (1, 2) for b in range(5)]
+    binned = spark.createDataFrame(rows, "session_id bigint, channel_id string, bin bigint, v double")
+    with pytest.raises(InputError, match="session 2"):
+        V.require_live_signal(binned)
+    V.require_live_signal(binned.filter("session_id = 1"))
+
+
+def test_label_lines_with_tabs_numbers_and_line_numbers(spark, tmp_path):
+    path = tmp_path / "S3_x.txt"
+    path.write_text("# head\n1\t2\t\tproduced\n1e0\t2\theard\n")
+    got = sorted((r["kind"], r["label"]) for r in labels.load_text(spark, str(path), "perceived").collect())
+    assert got == [("perceived", "heard"), ("produced", "produced")]
+    path.write_text("# head\n1\t2\tx\n\n1d\t2f\tx\n")
+    with pytest.raises(InputError, match="line 4 of"):
+        labels.load_text(spark, str(path), "perceived")
+
+
+def test_log_factorial_of_large_counts(spark):
+    ys = [0, 1, 5, 20, 21, 22, 50, 1000, 10**6]
+    got = [r[0] for r in spark.createDataFrame([(y,) for y in ys], "y bigint").select(N.log_factorial(F.col("y"))).collect()]
+    assert np.allclose(sorted(got), sorted(math.lgamma(y + 1) for y in ys), rtol=1e-12, atol=1e-12)

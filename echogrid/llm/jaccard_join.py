@@ -33,7 +33,7 @@ BAND = 1.6
 # Parts beyond those that may differ; they make up for empty parts.
 SPARE = 2
 # Bits of a signature for each element, before rounding up to a power of two.
-BITS = 4
+BITS = 2
 # Members compared at once in a tile, and pairs settled by one task in a row.
 TILE = 2048
 SALT = 1024

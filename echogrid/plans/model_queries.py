@@ -526,10 +526,34 @@ def percentile_ci(spark, sf):
     return rounded(ci, "ci_lower", "ci_upper")
 
 
-@query("SELECT l_returnflag, count(*) AS n_kernels, count(*) FILTER (WHERE l_discount < 0.05) AS n_significant FROM lineitem GROUP BY 1")
+SQL_PVALUES = """
+WITH p AS (SELECT l_suppkey AS session_id, l_returnflag AS model_id, l_orderkey || '/' || l_linenumber AS block, l_discount AS p_value FROM lineitem)
+, r AS (SELECT session_id, model_id, count(*) AS n_kernels, count(*) FILTER (WHERE p_value < 0.05) AS n_significant,
+  coalesce(string_agg(block, ',' ORDER BY block) FILTER (WHERE p_value < 0.05), '') AS hits FROM p GROUP BY 1, 2)
+"""
+
+
+def _rollup(spark, sf):
+    """Suppliers play the sessions, return flags the models, order lines the kernels."""
+    p = T.read(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("session_id"), F.col("l_returnflag").alias("model_id"),
+        F.concat_ws("/", "l_orderkey", "l_linenumber").alias("block"), F.col("l_discount").alias("p_value"),
+    )
+    return EV.significance_rollup(p, KEYS)
+
+
+@query(SQL_PVALUES + "SELECT * FROM r")
 def significance_rollup(spark, sf):
-    p = T.read(spark, sf, "lineitem").select("l_returnflag", F.col("l_discount").alias("p_value"))
-    return EV.significance_rollup(p, ["l_returnflag"])
+    return _rollup(spark, sf).withColumn("hits", F.array_join("hits", ","))
+
+
+@query(SQL_PVALUES + """
+SELECT session_id, count(*) AS n_models, count(*) FILTER (WHERE n_significant > 0) AS n_models_hit,
+  coalesce(string_agg(model_id, ',' ORDER BY model_id) FILTER (WHERE n_significant > 0), '') AS models_hit,
+  CAST(sum(n_kernels) AS BIGINT) AS n_kernels, CAST(sum(n_significant) AS BIGINT) AS n_significant FROM r GROUP BY 1""")
+def significance_totals(spark, sf):
+    totals = EV.significance_totals(_rollup(spark, sf), ["session_id"])
+    return totals.withColumn("models_hit", F.array_join("models_hit", ","))
 
 
 @query(with_events(SQL_GRID + SQL_COUNTS + """

@@ -9,7 +9,8 @@ the threshold are settled by an exact intersection of sorted arrays.
 
 Pairs inside a class of sets that are already connected are never formed: first
 each set is held against the smallest of its tiles, then only tiles that still
-join different components are searched.
+join different components are searched, by the likeliest partners of each set,
+until no set has an untried partner outside its component.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BITS = 2
 # Members compared at once in a tile, and pairs settled by one task in a row.
 TILE = 2048
 SALT = 1024
+# Partners of other components that a set names in a tile at first; four times as many in each further round.
+PARTNERS = 8
 
 
 @dataclass(frozen=True)
@@ -122,12 +125,16 @@ def folded(sig: np.ndarray, words: int) -> np.ndarray:
     return sig
 
 
-def may_link(a: np.ndarray, n_a: int, many: np.ndarray, n_many: np.ndarray, rule: Rule = DEFAULT) -> np.ndarray:
-    """Which of ``many`` signatures can still link with ``a``: differing bits bound the overlap from above."""
+def overlap_bound(a: np.ndarray, n_a: int, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
+    """Most elements that the set behind signature ``a`` can share with those behind ``many``: differing bits differ in the sets."""
     differ = np.bitwise_count(many ^ a).sum(axis=1, dtype=np.int64)
-    total = n_many + n_a
-    overlap = np.minimum((total - differ) // 2, np.minimum(n_many, n_a))
-    return rule.den * overlap >= rule.num * (total - overlap)
+    return np.minimum((n_many + n_a - differ) // 2, np.minimum(n_many, n_a))
+
+
+def may_link(a: np.ndarray, n_a: int, many: np.ndarray, n_many: np.ndarray, rule: Rule = DEFAULT) -> np.ndarray:
+    """Which of ``many`` signatures can still link with ``a``."""
+    most = overlap_bound(a, n_a, many, n_many)
+    return rule.den * most >= rule.num * (n_many + n_a - most)
 
 
 def _classes(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -279,8 +286,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs ``a, b`` of one tile in different components whose signatures may link."""
+def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Rule, each: int) -> DataFrame:
+    """Pairs ``a, b`` of one tile in different components whose signatures may link.
+
+    Each set names its ``each`` likeliest partners of a tile; one that has more
+    is told by a row with ``a = b``.
+    """
     labelled = tiles.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "comp", F.coalesce("comp", "sid")
     )
@@ -324,14 +335,19 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
         block, sid, comp, size = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 6))
         apart = group[0][1] != group[0][2]
         a, b = [], []
-        for k in range(len(group) - 1):
-            rest = slice(k + 1, None)
-            ok = comp[rest] != comp[k]
+        for k in range(len(group)):
+            most = overlap_bound(sig[k], int(size[k]), sig, size)
+            union = size + size[k] - most
+            ok = (comp != comp[k]) & (rule.den * most >= rule.num * union)
             if apart:
-                ok &= block[rest] != block[k]
-            ok &= may_link(sig[k], int(size[k]), sig[rest], size[rest], rule)
-            for m in np.flatnonzero(ok):
-                x, y = int(sid[k]), int(sid[k + 1 + m])
+                ok &= block != block[k]
+            found = np.flatnonzero(ok)
+            x = int(sid[k])
+            if len(found) > each:
+                found = found[np.lexsort((sid[found], -most[found] / union[found]))[:each]]
+                a.append(x)
+                b.append(x)
+            for y in sid[found].tolist():
                 a.append(min(x, y))
                 b.append(max(x, y))
         return a, b
@@ -372,22 +388,17 @@ def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     texts = stored(_texts(rows, reps, first.select("sid"), rule), "texts")
     near = first.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     links = materialize(_verified(near, texts, rule))
-    labels = components(links)
-    more = _verified(materialize(_cross_pairs(tiles, labels, texts, rule)), texts, rule)
-    label = labels.withColumnRenamed("node", "a").withColumnRenamed("comp", "ca")
-    other = labels.withColumnRenamed("node", "b").withColumnRenamed("comp", "cb")
-    between = (
-        more.join(label, "a", "left")
-        .join(other, "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    joined = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("final"))
-    settled = (
-        reps.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-        .withColumn("comp", F.coalesce("comp", "sid"))
-        .join(joined, "comp", "left")
-        .select("sid", "rep", F.coalesce("final", "comp").alias("comp"))
-    )
+    tested, each = near, PARTNERS
+    while True:
+        found = materialize(_cross_pairs(tiles, components(links), texts, rule, each))
+        fresh = materialize(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"))
+        links = materialize(links.union(_verified(fresh, texts, rule)))
+        if found.filter("a = b").isEmpty():
+            break
+        # Some sets have more partners in other components than they named: more of them, of what is still apart.
+        tested, each = materialize(tested.union(fresh)), 4 * each
+    labels = components(links).withColumnRenamed("node", "sid")
+    settled = reps.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     settled = materialize(settled)
     least = materialize(settled.groupBy("comp").agg(F.min("rep").alias("component_id")))
     of_set = settled.join(least, "comp").select("sid", "component_id")

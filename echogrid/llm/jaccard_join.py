@@ -38,8 +38,9 @@ BITS = 2
 # Members compared at once in a tile, and pairs settled by one task in a row.
 TILE = 2048
 SALT = 1024
-# Partners of other components that a set names in a tile at first; four times as many in each further round.
-PARTNERS = 8
+# Partners of other components that a set names in a tile at first, and times as many in each further round.
+PARTNERS = 16
+MORE = 16
 
 
 @dataclass(frozen=True)
@@ -393,10 +394,13 @@ def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
         found = materialize(_cross_pairs(tiles, components(links), texts, rule, each))
         fresh = materialize(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"))
         links = materialize(links.union(_verified(fresh, texts, rule)))
-        if found.filter("a = b").isEmpty():
+        more = materialize(found.filter("a = b").select(F.col("a").alias("sid")))
+        if more.isEmpty():
             break
-        # Some sets have more partners in other components than they named: more of them, of what is still apart.
-        tested, each = materialize(tested.union(fresh)), 4 * each
+        # These sets have more partners in other components than they named: only their tiles are searched again.
+        keys = tiles.join(more, "sid", "left_semi").select("key").distinct()
+        tiles = materialize(tiles.join(keys, "key", "left_semi"))
+        tested, each = materialize(tested.union(fresh)), MORE * each
     labels = components(links).withColumnRenamed("node", "sid")
     settled = reps.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     settled = materialize(settled)

@@ -110,6 +110,51 @@ def test_passages_are_real_and_shared_passages_found(docs, rows):
     assert wanted <= told
 
 
+def edited(rng, size, kind, edits):
+    """A passage and a near copy with words changed, left out or put in, evenly spread."""
+    w = corpus.words(rng, size)
+    out = list(w)
+    for k in range(edits, 0, -1):
+        at = size * k // (edits + 1)
+        out[at : at + (kind != "in")] = [] if kind == "out" else corpus.words(rng, 1)
+    return w, out
+
+
+@pytest.mark.parametrize("kind", ["changed", "out", "in"])
+def test_passages_grow_over_edits(kind):
+    rng = random.Random(8)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    tried = 0
+    for size in range(50, 151):
+        for edits in (1, 2, 3):
+            ours, theirs = edited(rng, size, kind, edits)
+            if len(theirs) < 50 or 10 * len(grams(ours) & grams(theirs)) < 8 * len(grams(ours) | grams(theirs)):
+                continue
+            tried += 1
+            a = corpus.words(rng, 90) + ours + corpus.words(rng, 40)
+            b = corpus.words(rng, 20) + theirs + corpus.words(rng, 130)
+            s, t = (compact_windows.shingles(" ".join(w)) for w in (a, b))
+            found = compact_windows.passages(s, t, (0, len(s) - 1, 0, len(t) - 1))
+            covered = set()
+            for start, n, start_b, n_b, like in found:
+                x, y = grams(a[start : start + n]), grams(b[start_b : start_b + n_b])
+                assert min(n, n_b) >= 50 and like == len(x & y) / len(x | y) >= 0.8
+                covered |= set(range(start, start + n))
+            # A short edge beside an edit may lie outside; all else of the passage is told.
+            assert len(covered & set(range(90, 90 + size))) >= size - 3
+    assert tried > 150
+
+
+def test_a_changed_word_does_not_hide_a_passage(spark):
+    rng = random.Random(4)
+    given = []
+    for size, edits in ((69, 1), (128, 2)):
+        for w in edited(rng, size, "changed", edits):
+            given.append((len(given), " ".join(corpus.words(rng, 60) + w + corpus.words(rng, 60)), "en", "s", 0))
+    found = compact_windows.repeated_passages(spark.createDataFrame(given, corpus.DOCS)).collect()
+    assert {(r.doc_id, r.of_doc_id) for r in found} == {(1, 0), (3, 2)}
+
+
 def test_compact_windows_cover_every_passage_once():
     values = np.random.default_rng(1).integers(0, 50, 80).astype(np.uint64)
     windows = compact_windows.compact_windows(values, 10)

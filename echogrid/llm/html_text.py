@@ -3,8 +3,9 @@
 The standard library's parser streams a page as events. Block tags cut it into
 lines, each with its text, its tags and its place in the page. The ratio of
 text to tags per line is smoothed with a Gaussian; lines above the threshold
-form the content clusters, and the region of the page that holds them is taken
-whole, short lines included, but for parts that are marked as something else.
+form the content clusters. The region of the page that holds most of them, an
+article or main element if they lie in one, is taken whole, short lines included,
+but for parts that are marked as something else.
 """
 
 from __future__ import annotations
@@ -191,21 +192,22 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     lines = [(line, text) for line in parser.lines if (text := line.text())]
-    if any(line.in_main for line, _ in lines):
-        lines = [x for x in lines if x[0].in_main]
     if not lines:
         return ""
     weight: dict[tuple[int, ...], int] = {}
-    total = 0
-    for (line, text), good in zip(lines, content_lines(lines), strict=True):
-        if good:
+    total = named = 0
+    good = content_lines(lines)
+    for (line, text), content in zip(lines, good, strict=True):
+        if content:
             total += len(text)
+            named += len(text) * line.in_main
             for k in range(len(line.path) + 1):
                 weight[line.path[:k]] = weight.get(line.path[:k], 0) + len(text)
     region = max((p for p, w in weight.items() if w >= REGION_SHARE * total), key=len, default=())
-    if any(line.in_main for line, _ in lines):
-        region = ()  # the page itself names its region
-    return "\n".join(text for line, text in lines if line.path[: len(region)] == region)
+    # The page's own naming counts only where the clusters lie in it.
+    by_name = named > 0 and named >= REGION_SHARE * total
+    held = [line.in_main if by_name else line.path[: len(region)] == region for line, _ in lines]
+    return "\n".join(text for (_, text), inside in zip(lines, held, strict=True) if inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:

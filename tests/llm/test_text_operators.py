@@ -227,6 +227,20 @@ def test_html_text_of_generated_articles():
         assert html_text.main_text(page) == "\n".join(" ".join(b.split()) for b in blocks)
 
 
+def test_clusters_decide_beside_a_teaser_article():
+    rng = random.Random(6)
+    body = [" ".join(corpus.words(rng, 80)) for _ in range(5)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    teaser = "<article class=card><a href=/x>Read</a> <b>more</b> of it</article>"
+    for page in (f"<div><h1>Head</h1>{text}</div>{teaser}", f"{teaser}<div><h1>Head</h1>{text}</div>"):
+        found = html_text.main_text(f"<html><body><nav>menu</nav>{page}<footer>f</footer></body></html>").split("\n")
+        assert [x for x in found if x in ("Head", *body)] == ["Head", *body]
+    # An article that holds the clusters is the region; its short lines stay, those outside don't.
+    page = f"<div><a>Top</a></div><div><a>News</a></div><div><a>Team</a></div><article><h1>Head</h1>{text}<p>End.</article>"
+    assert html_text.main_text(page).split("\n")[-7:] == ["Head", *body, "End."]
+    assert "Top" not in html_text.main_text(page)
+
+
 def test_bpe_equals_the_tokenizers_library(docs, rows):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))

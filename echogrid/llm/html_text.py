@@ -5,7 +5,8 @@ lines, each with its text, its tags and its place in the page. The ratio of
 text to tags per line is smoothed with a Gaussian; lines above the threshold
 form the content clusters. The region of the page that holds most of them, an
 article or main element if they lie in one, is taken whole, short lines included,
-but for parts that are marked as something else.
+and so are the blocks of the clusters beside it, but for parts that are marked as
+something else.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ MAIN = frozenset({"article", "main"})
 
 SIGMA = 1.0
 RADIUS = 2
-# Share of the content text that the chosen region must hold.
+# Share of the content text that the region must hold; the clusters outside it are taken one by one.
 REGION_SHARE = 0.8
 
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -207,7 +208,15 @@ def main_text(html: str) -> str:
     # The page's own naming counts only where the clusters lie in it.
     by_name = named > 0 and named >= REGION_SHARE * total
     held = [line.in_main if by_name else line.path[: len(region)] == region for line, _ in lines]
-    return "\n".join(text for (_, text), inside in zip(lines, held, strict=True) if inside)
+    # Content clusters beside the region stay too, with the short lines of their blocks.
+    beside = {line.path for (line, _), content, inside in zip(lines, good, held, strict=True) if content and not inside}
+    around = {line.path[:k] for (line, _), inside in zip(lines, held, strict=True) if inside for k in range(len(line.path) + 1)}
+    blocks = beside - around
+    return "\n".join(
+        text
+        for (line, text), content, inside in zip(lines, good, held, strict=True)
+        if inside or content or any(line.path[:k] in blocks for k in range(len(line.path) + 1))
+    )
 
 
 def extract(pages: DataFrame) -> DataFrame:

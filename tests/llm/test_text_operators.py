@@ -241,6 +241,14 @@ def test_clusters_decide_beside_a_teaser_article():
     assert "Top" not in html_text.main_text(page)
 
 
+def test_lead_and_body_in_sibling_blocks():
+    rng = random.Random(7)
+    lead, body = " ".join(corpus.words(rng, 70)), [" ".join(corpus.words(rng, 80)) for _ in range(5)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    page = f"<body><div class=top><h1>Head</h1><p>{lead}</p></div><div class=text>{text}</div><div class=ad>Buy!</div></body>"
+    assert html_text.main_text(page).split("\n") == ["Head", lead, *body]
+
+
 def test_bpe_equals_the_tokenizers_library(docs, rows):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     library = pytest.importorskip("tokenizers").Tokenizer.from_file(public_tokenizers.path(bpe.VOCABULARY))

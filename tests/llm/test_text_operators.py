@@ -155,6 +155,24 @@ def test_a_changed_word_does_not_hide_a_passage(spark):
     assert {(r.doc_id, r.of_doc_id) for r in found} == {(1, 0), (3, 2)}
 
 
+@pytest.mark.parametrize("others", [3, 60])
+def test_windows_meet_past_the_first_of_a_key(spark, others):
+    """Texts 10 and 20 share one context far from the min-hash only, and neither is the first nor the one before."""
+    names = compact_windows._WINDOW.split(", ")
+    rows = []
+    for k, mark in enumerate([1, 10, 15, 20, *range(30, 27 + others)]):
+        row = [7, mark, 0, 50, 100, *(100 * k + c for c in range(len(names) - 5))]
+        if mark in (10, 20):
+            row[-1] = -1
+            if others < 10:
+                row[-1] = mark
+        rows.append(row)
+    found = compact_windows._meetings(spark.createDataFrame(rows, compact_windows._WINDOW)).select("a", "b").collect()
+    assert (10, 20) in {(r.a, r.b) for r in found}
+    if others > 10:
+        assert len(found) <= (len(names) - 3) * len(rows)
+
+
 def test_compact_windows_cover_every_passage_once():
     values = np.random.default_rng(1).integers(0, 50, 80).astype(np.uint64)
     windows = compact_windows.compact_windows(values, 10)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -77,6 +78,18 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return mixed(total)
 
 
+def portions(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Cut a list of texts into lists of about ``chars`` letters; a longer text is one of its own."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield texts[start:i]
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield texts[start:]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a compressed table in the session's shared folder and read it back.
 

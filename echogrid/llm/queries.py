@@ -10,8 +10,11 @@ from echogrid.llm import (
     exact_dedup,
     fingerprints,
     html_text,
+    importance,
     jaccard_join,
+    merkle,
     mixing,
+    oracles,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -61,6 +64,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -72,9 +83,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
 ORACLES = {
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_importance_resampling": oracles.IMPORTANCE,
     "op8_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

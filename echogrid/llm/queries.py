@@ -11,6 +11,7 @@ from echogrid.llm import (
     fingerprints,
     html_text,
     importance,
+    interpolation,
     jaccard_join,
     merkle,
     mixing,
@@ -72,6 +73,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -85,6 +90,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLES = {

@@ -347,7 +347,7 @@ def mixture(found: DataFrame, core_types: int, rounds: int = ROUNDS) -> np.ndarr
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Log10 probability of every text under the interpolated model, and under smoothed token counts alone.
 
     One row per input row: ``doc_id, held_out, n_tokens, n_known, train_tokens,
@@ -360,7 +360,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     kind = F.when(fold == TEST, TESTED).when(fold == TUNE, TUNED).otherwise(CORE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), kind.cast("int").alias("kind"))
-    packs = stored(chunks(texts), "lm-chunks")
+    packs = stored(chunks(texts, chunk_tokens), "lm-chunks")
     # Several shards a partition, as they are dealt out by hash.
     told = stored(answers(questions(packs, 4 * shuffle_partitions(spark))), "lm-answers")
     sums = told.filter("chunk IS NULL").agg(*(F.sum(c).alias(c) for c in _TOTALS)).first()

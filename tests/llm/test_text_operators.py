@@ -19,7 +19,10 @@ from echogrid.llm import (
     exact_dedup,
     fingerprints,
     html_text,
+    importance,
+    interpolation,
     jaccard_join,
+    merkle,
     mixing,
     suffix_dedup,
     token_counts,
@@ -46,6 +49,9 @@ OPERATORS = {
     "exact": exact_dedup.exact_dedup,
     "toxic": toxic_score,
     "fingerprints": fingerprints.edited_fingerprints,
+    "merkle": merkle.verify,
+    "importance": lambda docs: importance.resample(docs, docs.limit(2)),
+    "lm": interpolation.score,
 }
 ROW_FOR_ROW = set(OPERATORS) - {"passages", "mixed"}
 

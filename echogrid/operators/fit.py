@@ -1,7 +1,7 @@
 """Penalised GLM fits: Gaussian from moments, Poisson and log-link by Newton.
 
-Every model is solved where its statistics land; the driver only schedules
-passes. A solve touches p x p numbers of one model, never its rows.
+Gaussian models are solved where their moments land: p x p numbers of one
+model, never its rows. The others are jobs of the Newton solver.
 """
 
 from __future__ import annotations
@@ -11,26 +11,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.operators.basis import ColumnMap
 from echogrid.operators.features import block_matrix, fold_of
-from echogrid.operators.grid import BLOCK_BINS
-from echogrid.operators.moments import (
-    FLUSH_KEYS,
-    VectorSums,
-    pack_sym,
-    split_moments,
-    sum_vectors,
-    unpack_sym,
-)
+from echogrid.operators.moments import pack_sym, split_moments, sum_vectors
+from echogrid.operators.newton import MODEL, by_lane, new_jobs, newton_fit, rate
 from echogrid.runtime import materialize, spread
 
-CLIP = 50.0
-MU_CAP = 1e8
-MODEL = ["session_id", "model_id"]
-
 
 def min_norm_solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least-norm solution; directions the data cannot identify stay 0."""
@@ -181,178 +170,7 @@ def choose_lambda(cv: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-# ---- Newton passes -----------------------------------------------------------
-#
-# A job row is one (model, cfg) problem: lam, holdout fold (-1 for none), the
-# linear term b = X'y over its training rows, and its progress. One pass
-# evaluates the candidates of all open problems over the design blocks.
-
-JOB_SCHEMA = (
-    "session_id bigint, model_id string, cfg int, lam double, holdout int, b array<double>,"
-    " w array<double>, w_best array<double>, dir array<double>, t double, f_best double,"
-    " hold_sum double, hessian array<double>, gradient array<double>, g_start double, iters int, done boolean, converged boolean"
-)
-
-
-def _family(eta: np.ndarray, family: str) -> np.ndarray:
-    return np.exp(np.clip(eta, -CLIP, CLIP))
-
-
-# Design blocks of a model that share one copy of its candidates.
-LANE_BLOCKS = 64
-
-
-def lanes(n_rows: Column) -> Column:
-    """Lanes of a model: long models spread over several join keys."""
-    return F.greatest(F.lit(1), F.ceil(n_rows / F.lit(LANE_BLOCKS * BLOCK_BINS))).cast("int")
-
-
-def by_lane(blocks: DataFrame, per_model: DataFrame) -> DataFrame:
-    """Blocks joined with one row per model, copied to the model's lanes, so no key holds a whole long model."""
-    counts = blocks.groupBy(*MODEL).agg(F.max("n_rows").alias("_n"))
-    copies = per_model.join(counts, MODEL).withColumn("lane", F.explode(F.sequence(F.lit(0), lanes(F.col("_n")) - 1))).drop("_n")
-    placed = blocks.withColumn("lane", F.pmod(F.col("blk"), lanes(F.col("n_rows"))).cast("int"))
-    return placed.join(copies, [*MODEL, "lane"])
-
-
-def evaluate_jobs(blocks: DataFrame, jobs: DataFrame, colmap: ColumnMap, family: str) -> DataFrame:
-    """(session, model, cfg, vec): objective parts of every candidate.
-
-    Vector: data loss, held-out sum, gradient part (p), Hessian upper.
-    Poisson loss and gradient leave the linear term to the solver.
-    """
-    keys = [*MODEL, "cfg"]
-    cand = jobs.groupBy(*MODEL).agg(
-        F.array_sort(F.collect_list(F.struct("cfg", "holdout", "w"))).alias("_j")
-    ).select(
-        *MODEL,
-        F.col("_j.cfg").alias("j_cfg"),
-        F.col("_j.holdout").alias("j_hold"),
-        F.flatten("_j.w").alias("j_w"),
-    )
-    p = colmap.p
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = VectorSums(keys)
-        ij = np.triu_indices(p)
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x, y, rows = block_matrix(row, colmap)
-                if not len(rows):
-                    continue
-                folds = fold_of(rows, row.n_rows, row.k)
-                cfgs, hold = np.asarray(row.j_cfg), np.asarray(row.j_hold)
-                w = np.asarray(row.j_w, dtype=float).reshape(len(cfgs), p)
-                mu = _family(x @ w.T, family)
-                out = folds[:, None] == hold[None, :]
-                if family == "poisson":
-                    loss, resid, weight = mu, mu, np.minimum(mu, MU_CAP)
-                else:
-                    r = y[:, None] - mu
-                    loss, resid, weight = 0.5 * r * r, -r * mu, np.minimum(mu, MU_CAP) ** 2
-                train = ~out
-                hess = (x[:, ij[0]] * x[:, ij[1]]).T @ (weight * train)
-                grad = x.T @ (resid * train)
-                base, held = (loss * train).sum(axis=0), (loss * out).sum(axis=0)
-                for i, c in enumerate(cfgs):
-                    vec = np.concatenate([[base[i], held[i]], grad[:, i], hess[:, i]])
-                    acc.add((row.session_id, row.model_id, int(c)), vec)
-                if len(acc.sums) >= 16 * FLUSH_KEYS:
-                    yield acc.flush()
-        if acc.sums:
-            yield acc.flush()
-
-    schema = "session_id bigint, model_id string, cfg int, vec array<double>"
-    return sum_vectors(by_lane(blocks, cand).mapInPandas(run, schema), keys)
-
-
-def _advance(row, p: int, d: np.ndarray, family: str, opt: dict) -> dict:
-    w, b = np.asarray(row.w, float), np.asarray(row.b, float)
-    vec = np.asarray(row.vec, float)
-    loss, held, g, h = vec[0], vec[1], vec[2 : 2 + p], unpack_sym(vec[2 + p :], p)
-    pen, pen_grad = penalty(w, d, row.lam)
-    f = loss + pen - (w @ b if family == "poisson" else 0.0)
-    g = g + pen_grad - (b if family == "poisson" else 0.0)
-    h = h + 2 * row.lam * (d.T @ d)
-    keep = {"w_best": np.asarray(row.w_best, float), "dir": np.asarray(row.dir, float), "f_best": row.f_best,
-            "hold_sum": row.hold_sum, "hessian": row.hessian, "gradient": row.gradient, "g_start": row.g_start}
-    iters = int(row.iters) + 1
-    first = row.iters == 0
-    if first or f <= row.f_best + 1e-10 * abs(row.f_best):
-        step = -min_norm_solve(h, g)
-        gain = -(g @ step)
-        slope = float(np.max(np.abs(g), initial=0.0))
-        g_start = slope if first else row.g_start
-        settled = bool(slope <= opt["tol_grad"] * (1.0 + g_start) or gain <= 1e-14 * (abs(f) + 1.0))
-        done = settled or iters >= opt["max_iter"]
-        return {"w_best": w, "f_best": float(f), "hold_sum": float(held), "hessian": pack_sym(h),
-                "gradient": g, "g_start": g_start, "dir": step, "t": 1.0, "w": w if done else w + step, "iters": iters, "done": done, "converged": settled}
-    t = row.t / 2
-    done = t < 1e-7 or iters >= opt["max_iter"]
-    return {**keep, "t": t, "w": keep["w_best"] + t * keep["dir"], "iters": iters, "done": done, "converged": False}
-
-
-def advance_jobs(jobs: DataFrame, sums: DataFrame, p: int, d: np.ndarray, family: str, opt: dict) -> DataFrame:
-    """Accept or shorten each candidate step; one row in, one row out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                fixed = {"session_id": row.session_id, "model_id": row.model_id, "cfg": row.cfg,
-                         "lam": row.lam, "holdout": row.holdout, "b": row.b}
-                rows.append({**fixed, **_advance(row, p, d, family, opt)})
-            cols = [c.strip().split(" ")[0] for c in JOB_SCHEMA.split(",")]
-            yield pd.DataFrame(rows, columns=cols)
-
-    return spread(jobs.join(sums, [*MODEL, "cfg"]), *MODEL, "cfg").mapInPandas(run, JOB_SCHEMA)
-
-
-def new_jobs(linear: DataFrame, p: int) -> DataFrame:
-    """Jobs at w = 0 from (session, model, cfg, lam, holdout, b).
-
-    Other starts are unsafe: where a fit on fewer rows has driven a rate to
-    zero, a Newton step back is far too long.
-    """
-    zeros = F.array_repeat(F.lit(0.0), p)
-    return linear.select(
-        *MODEL, F.col("cfg").cast("int").alias("cfg"), "lam", F.col("holdout").cast("int").alias("holdout"), "b",
-        zeros.alias("w"), zeros.alias("w_best"), zeros.alias("dir"), F.lit(1.0).alias("t"),
-        F.lit(0.0).alias("f_best"), F.lit(0.0).alias("hold_sum"),
-        F.array().cast("array<double>").alias("hessian"), F.array().cast("array<double>").alias("gradient"),
-        F.lit(0.0).alias("g_start"), F.lit(0).alias("iters"), F.lit(False).alias("done"), F.lit(False).alias("converged"),
-    )
-
-
-def newton_fit(
-    blocks: DataFrame,
-    jobs: DataFrame,
-    colmap: ColumnMap,
-    d: np.ndarray,
-    optimizer: dict | None = None,
-    family: str = "poisson",
-) -> DataFrame:
-    """Run all jobs to convergence; finished jobs leave the passes.
-
-    ``converged`` tells a job that met the tolerance from one that ran out of
-    passes or of step.
-
-    ``blocks`` should be materialised, every pass reads it.
-    """
-    opt = {"tol_grad": 1e-5, "max_iter": 200, **(optimizer or {})}
-    open_ = materialize(jobs)
-    closed: list[DataFrame] = []
-    while True:
-        sums = evaluate_jobs(blocks, open_, colmap, family)
-        after = materialize(advance_jobs(open_, sums, colmap.p, d, family, opt))
-        closed.append(after.filter("done"))
-        open_ = after.filter(~F.col("done"))
-        if open_.isEmpty():
-            break
-    out = closed[0]
-    for part in closed[1:]:
-        out = out.unionByName(part)
-    return out
+# ---- Newton fits -------------------------------------------------------------
 
 
 def fold_linear_terms(moments: DataFrame, p: int, lambdas: list[float]) -> DataFrame:
@@ -415,7 +233,7 @@ def poisson_cv_fit(
 def log_link_fit(
     blocks: DataFrame, moments: DataFrame, colmap: ColumnMap, d: np.ndarray, lam: float, optimizer: dict | None = None
 ) -> DataFrame:
-    """Gaussian response with a log link at one lambda (Gauss-Newton)."""
+    """Gaussian response with a log link at one lambda."""
     zero = F.array_repeat(F.lit(0.0), colmap.p)
     models = moments.select(*MODEL).distinct().select(
         *MODEL, F.lit(0).alias("cfg"), F.lit(float(lam)).alias("lam"), F.lit(-1).alias("holdout"), zero.alias("b")
@@ -482,7 +300,7 @@ def predict(blocks: DataFrame, weights: DataFrame, colmap: ColumnMap, link: str
                         "bin": bins,
                         "fold": fold_of(rows, row.n_rows, row.k).astype("int32"),
                         "y": y,
-                        "mu": _family(eta, "") if link == "log" else eta,
+                        "mu": rate(eta) if link == "log" else eta,
                     }
                 )
 

@@ -24,7 +24,6 @@ from echogrid.operators import validate as V
 from echogrid.operators.scan import DEFAULT_CHUNK_S
 from echogrid.plans import sinks
 from echogrid.runtime import materialize
-from echogrid.schema import InputError
 
 MODEL = FT.MODEL
 
@@ -128,8 +127,6 @@ def fit_signal(
     dt, k, lambdas = cfg["dt"], cfg["cv"]["k"], list(cfg["cv"]["lambdas"])
     link = str(cfg["lfp"].get("link") or "identity").lower()
     n_perms = cfg.get("n_perms", C.N_PERMUTATIONS) if n_perms is None else n_perms
-    if link == "log" and n_perms > 0:
-        raise InputError("InvalidInput", "permutation refits of log-link models are not available; set n_perms to 0")
     ends = meta.select("session_id", (F.col("t0") + F.col("duration")).alias("_end"))
     events = E.within_recording(events.join(ends, "session_id"), F.col("_end")).drop("_end")
     events = collapsed(events, cfg, chunk_s)
@@ -148,7 +145,7 @@ def fit_signal(
         fits, cv = FT.log_link_cv_fit(blocks, mom, colmap, d, lambdas, cfg["optimizer"])
         fits = fits.select(
             *MODEL, F.col("lam").alias("best_lambda"), F.col("w_best").alias("w"), F.col("f_best").alias("nll"),
-            "gradient", "hessian", "iters", "converged",
+            "gradient", F.col("report").alias("hessian"), "iters", "converged",
         )
     else:
         fits, cv = FT.gauss_cv_fit(mom, colmap, d, lambdas)
@@ -162,7 +159,12 @@ def fit_signal(
         "metrics": metrics.withColumn("grade", EV.grade(F.col("r2"))), "event_counts": S.event_counts(impulses),
     }
     if n_perms > 0:
-        nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blocks, colmap, n_perms, cfg["seed"]), colmap, d))
+        if link == "log":
+            lam = fits.select(*MODEL, F.col("best_lambda").alias("lam"))
+            nulls = materialize(I.log_link_nulls(blocks, lam, colmap, d, n_perms, cfg["seed"], cfg["optimizer"]))
+            out.frames["null_status"] = I.unsettled(nulls)
+        else:
+            nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blocks, colmap, n_perms, cfg["seed"]), colmap, d))
         p, ci = I.permutation_test(fits, nulls, colmap)
         out.frames["ptest"], out.frames["ptest_ci"] = p, ci
         out.frames["significance"] = EV.significance_rollup(p, MODEL)

@@ -210,7 +210,7 @@ def _upper(vec, p):
 
 
 @query(with_events(SQL_COO + """,
-f AS (SELECT session_id, bin, CAST(ntile(4) OVER (PARTITION BY session_id ORDER BY bin) - 1 AS INTEGER) AS fold
+f AS (SELECT session_id, bin, CAST(ntile(""" + str(KF) + """) OVER (PARTITION BY session_id ORDER BY bin) - 1 AS INTEGER) AS fold
   FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes))
 SELECT a.session_id, f.fold, a.col AS i, b.col AS j, round(sum(a.val * b.val), 6) AS g FROM cell a
 JOIN cell b ON a.session_id = b.session_id AND a.bin = b.bin AND a.col <= b.col
@@ -304,6 +304,25 @@ def gaussian_obj_at_w(spark, sf):
     return rounded(a.join(b, KEYS).drop("model_id"), "identity_nll", "log_nll")
 
 
+@query(with_events(SQL_ETA + """
+SELECT session_id, col, round(sum(val * (exp(eta) - y) * exp(eta)), 6) AS grad FROM cell JOIN rows_ USING (session_id, bin) GROUP BY 1, 2"""))
+def gaussian_log_grad_at_w(spark, sf):
+    return rounded(O.gradient(coo(spark, sf), cells_at_w(spark, sf), "gauss_log").drop("model_id"), "grad")
+
+
+@query(with_events(SQL_ETA + """
+SELECT c.session_id, c.bin, round(coalesce(eta, 0.0), 6) AS identity_mu, round(exp(coalesce(eta, 0.0)), 6) AS log_mu
+FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes) c
+LEFT JOIN eta e ON e.session_id = c.session_id AND e.bin = c.bin WHERE c.session_id IN (SELECT session_id FROM yy)"""))
+def predict_signal_at_w(spark, sf):
+    """Signals predicted from design blocks at given weights, with either link."""
+    w = F.array(*[F.lit(((c * 7) % 5 - 2) * 0.1) for c in range(COLMAP.p)])
+    blk = blocks(spark, sf)
+    weights = blk.select(*KEYS).distinct().withColumn("w", w)
+    each = [FT.predict(blk, weights, COLMAP, k).select("session_id", "bin", F.col("mu").alias(f"{k}_mu")) for k in ("identity", "log")]
+    return rounded(each[0].join(each[1], ["session_id", "bin"]), "identity_mu", "log_mu")
+
+
 @query(with_events(SQL_ETA + """
 SELECT c.session_id, c.bin, round(exp(coalesce(eta, 0.0)), 6) AS mu FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes) c
 LEFT JOIN eta e ON e.session_id = c.session_id AND e.bin = c.bin WHERE c.session_id IN (SELECT session_id FROM yy)"""))
@@ -378,21 +397,26 @@ def gauss_fit_residual(spark, sf):
     )
 
 
-@query(_ZERO_SQL)
-def poisson_fit_residual(spark, sf):
-    """Penalised Poisson gradient at the fitted weights, relative to the start: zero."""
-    (fits, _), _ = _poisson(spark, sf)
+def _scaled_slope(spark, sf, fits, family):
+    """Penalised gradient at fitted weights by the long form, over that at the start."""
     w = materialize(fits.select(*KEYS, "lam", F.col("w_best").alias("w"), "g_start"))
     long = w.select(*KEYS, F.posexplode("w").alias("col", "w"))
     cells = coo(spark, sf)
     fitted = O.with_response(O.linear_predictor(cells, long), response(spark, sf))
-    grad = O.gradient(cells, fitted)
+    grad = O.gradient(cells, fitted, family)
     pen = _penalty_rows(spark, w, 2.0).join(w.select("session_id", "g_start"), "session_id")
     out = pen.join(grad.drop("model_id"), ["session_id", "col"], "left")
     slope = (F.coalesce("grad", F.lit(0.0)) + F.col("pen")) / (1 + F.col("g_start"))
     return out.select("session_id", "col", (F.round(slope, 4) + F.lit(0.0)).alias("residual"))
 
 
+@query(_ZERO_SQL)
+def poisson_fit_residual(spark, sf):
+    """Penalised Poisson gradient at the fitted weights, relative to the start: zero."""
+    (fits, _), _ = _poisson(spark, sf)
+    return _scaled_slope(spark, sf, fits, "poisson")
+
+
 @query()
 def glm_fit_gauss(spark, sf):
     (fits, _), _ = _gauss(spark, sf)
@@ -839,10 +863,32 @@ def kernel_panels(spark, sf):
     return rounded(PD.kernel_panels(FT.unpack_kernels(fits, COLMAP)), "weight")
 
 
-@query()
-def glm_fit_log_link(spark, sf):
-    """Gaussian fit with a log link by Gauss-Newton passes."""
+def _log_link(spark, sf):
     d, _ = B.smoothness_penalty(COLMAP, CFG)
     blk = materialize(blocks(spark, sf))
     fits, _ = FT.log_link_cv_fit(blk, materialize(M.fold_moments(blk, COLMAP)), COLMAP, d, LAMBDAS, CFG["optimizer"])
+    return fits, blk
+
+
+@query()
+def glm_fit_log_link(spark, sf):
+    """Gaussian fit with a log link by damped Newton steps."""
+    fits, _ = _log_link(spark, sf)
     return fits.select(*KEYS, "lam", F.round("f_best", 4).alias("nll"), "iters", "converged")
+
+
+@query(_ZERO_SQL)
+def log_fit_residual(spark, sf):
+    """Penalised gradient of the log-link fit at its weights, relative to the start: zero."""
+    fits, _ = _log_link(spark, sf)
+    return _scaled_slope(spark, sf, fits, "gauss_log")
+
+
+@query()
+def permutation_test_log_link(spark, sf):
+    """Refits of shifted signals through the log link, with how many of them met the tolerance."""
+    d, _ = B.smoothness_penalty(COLMAP, CFG)
+    fits, blk = _log_link(spark, sf)
+    fits = materialize(fits.select(*KEYS, "lam", F.col("w_best").alias("w")))
+    nulls = materialize(I.log_link_nulls(blk, fits.drop("w"), COLMAP, d, C.N_PERMUTATIONS, CFG["seed"], CFG["optimizer"]))
+    return _verdicts(*I.permutation_test(fits, nulls, COLMAP)).join(I.unsettled(nulls), KEYS)

@@ -8,6 +8,7 @@ from echogrid.operators import features as X
 from echogrid.operators import fit as FT
 from echogrid.operators import infer as I
 from echogrid.operators import moments as M
+from echogrid.operators import newton as NT
 from echogrid.runtime import materialize
 
 
@@ -190,6 +191,71 @@ def test_log_link(spark):
     assert np.max(np.abs(g)) < 1e-4
 
 
+def dense_log_link(x, y, d, lam):
+    """Damped Newton by bisection on the damping, in plain numpy."""
+    value = lambda w: 0.5 * np.sum((y - np.exp(x @ w)) ** 2) + lam * np.sum((d @ w) ** 2)
+    w, damp = np.zeros(x.shape[1]), 1.0
+    for _ in range(3000):
+        mu = np.exp(x @ w)
+        g = -x.T @ ((y - mu) * mu) + 2 * lam * d.T @ d @ w
+        if np.max(np.abs(g)) < 1e-9:
+            break
+        h = x.T @ ((mu**2 - (y - mu) * mu)[:, None] * x) + 2 * lam * d.T @ d
+        values, q = np.linalg.eigh(h)
+        step = -q @ ((q.T @ g) / np.maximum(np.abs(values) + damp, 1e-9)) * (1.0)
+        if value(w + step) <= value(w):
+            w, damp = w + step, damp / 3
+        else:
+            damp = max(3 * damp, 1e-8)
+    return w
+
+
+def log_slope(x, y, d, lam, w):
+    mu = np.exp(x @ w)
+    return np.max(np.abs(-x.T @ ((y - mu) * mu) + 2 * lam * d.T @ d @ w))
+
+
+def test_shifted_log_link_refits(spark):
+    cm, x, y, keep, blocks, coo = small_problem(spark, [3, 31, 32, 200], excl=["states", "spike_history"])
+    d, _ = B.smoothness_penalty(cm)
+    lam = spark.createDataFrame([(1, "n0", 2.0)], "session_id bigint, model_id string, lam double")
+    nulls = I.log_link_nulls(blocks, lam, cm, d, 6, 42, {"tol_grad": 1e-9}).collect()
+    n = F.lit(len(y)).cast("bigint")
+    shift = {r["id"]: r["k"] for r in spark.range(6).select("id", I.shift_of(F.lit(1).cast("bigint"), F.lit("n0"), F.col("id").cast("int"), n, 42).alias("k")).collect()}
+    assert sorted(r["perm"] for r in nulls) == list(range(6))
+    for r in nulls:
+        moved = np.roll(y, shift[r["perm"]])
+        assert r["converged"] and log_slope(x, moved, d, 2.0, np.array(r["w"])) < 1e-5
+        want = dense_log_link(x, moved, d, 2.0)
+        value = lambda w: 0.5 * np.sum((moved - np.exp(x @ w)) ** 2) + 2.0 * np.sum((d @ w) ** 2)  # noqa: B023, E731
+        assert value(np.array(r["w"])) <= value(want) + 1e-6
+
+
+@pytest.mark.parametrize("family", ["poisson", "gauss_log"])
+def test_passes_agree_with_solving_in_one_task(spark, monkeypatch, family):
+    cm, x, y, keep, blocks, coo = small_problem(spark, [3, 31, 32, 200], excl=["states", "spike_history"])
+    d, _ = B.smoothness_penalty(cm)
+    jobs = [(1, "n0", c, lam, hold, (x.T @ y).tolist() if family == "poisson" else [0.0] * cm.p, shift)
+            for c, (lam, hold, shift) in enumerate([(0.5, -1, 0), (0.5, 2, 0), (5.0, -1, 17), (5.0, -1, 290), (1.0, 0, len(y))])]
+    linear = spark.createDataFrame(jobs, "session_id bigint, model_id string, cfg int, lam double, holdout int, b array<double>, shift bigint")
+    short = {r["cfg"]: r for r in NT.newton_fit(blocks, NT.new_jobs(linear, cm.p), cm, d, {"tol_grad": 1e-9}, family).collect()}
+    monkeypatch.setattr(NT, "BLOCK_BINS", 64)
+    monkeypatch.setattr(NT, "LANE_BLOCKS", 1)
+    long = {r["cfg"]: r for r in NT.newton_fit(blocks, NT.new_jobs(linear, cm.p), cm, d, {"tol_grad": 1e-9}, family).collect()}
+    assert set(short) == set(long) == set(range(5))
+    for c in short:
+        assert long[c]["converged"] and short[c]["converged"]
+        np.testing.assert_allclose(long[c]["w_best"], short[c]["w_best"], atol=1e-6)
+        np.testing.assert_allclose(long[c]["report"], short[c]["report"], rtol=1e-5, atol=1e-6)
+        assert long[c]["hold_sum"] == pytest.approx(short[c]["hold_sum"], abs=1e-6)
+
+
+def test_steps_leave_directions_of_negative_curvature():
+    h, g = np.diag([4.0, -1.0, 0.0]), np.array([1.0, 1.0, 0.0])
+    step, promised, damp = NT.damped_step(h, g, 0.0)
+    assert damp > 1 and promised > 0 and g @ step < 0 and step[2] == 0
+
+
 def test_shifted_refits(spark):
     cm, x, y, keep, blocks, coo = small_problem(spark, [3, 31, 32, 200], excl=["states"])
     d, _ = B.smoothness_penalty(cm)

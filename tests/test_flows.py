@@ -205,11 +205,11 @@ def test_neuron_without_spikes_is_fitted(spark, make_events):
 def test_log_link_flow(spark):
     sig, meta, events = synthetic.synthetic_signal(spark, 1, {"session_duration": 40.0, "fs": 200.0, "n_channels": 1})
     cfg = {"dt": 0.1, "history_window_s": [0.1, 0.3], "lfp": {"link": "log", "bandpass_hz": [20, 60]}, "cv": {"k": 2, "lambdas": [1.0]}}
-    out = flows.fit_signal(sig, meta, events, 200.0, cfg, n_perms=0)
+    out = flows.fit_signal(sig, meta, events, 200.0, cfg, n_perms=5)
     assert out.predictions.filter("mu <= 0").isEmpty()
     assert math.isfinite(out.metrics.first()["mse"])
-    with pytest.raises(InputError):
-        flows.fit_signal(sig, meta, events, 200.0, cfg, n_perms=5)
+    assert all(0 <= r["p_value"] <= 1 for r in out.ptest.collect())
+    assert out.null_status.first()["n_refits"] == 5
 
 
 def test_dead_session_is_told(spark):

@@ -20,6 +20,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -302,12 +303,40 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def coded(docs: DataFrame, vocabulary: str = VOCABULARY, with_ids: bool = True) -> DataFrame:
+    """Encode and decode each text in one go: ``doc_id[, ids], n_tokens, ids_sha256, decoded_sha256``.
+
+    The digests are lowercase hex: of the decimal ids joined by commas, and of
+    what the ids decode to. One row per input row; null and empty texts have no
+    tokens, repeated rows stay, other columns are ignored. One worker a task
+    holds the vocabulary, and ids leave it only where they are asked for.
+    """
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    types = {"doc_id": "long", "ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    out = pa.schema([f for f in fields if with_ids or f[0] != "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok, emitter = loaded(Tokenizer, vocabulary), loaded(Emitter, vocabulary)
+        for batch in batches:
+            packs, sizes, named, decoded = [], [0], [], []
+            for text in batch.column(1):
+                pack = tok.encode(text.as_py())
+                ids = np.frombuffer(pack, np.int32)
+                sizes.append(len(ids))
+                named.append(sha256(",".join(map(str, ids.tolist())).encode()).hexdigest())
+                decoded.append(sha256(emitter.decode(ids).encode()).hexdigest())
+                if with_ids:
+                    packs.append(pack)
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(sizes[1:], pa.int64()), "ids_sha256": pa.array(named, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+            if with_ids:
+                ends = pa.array(np.cumsum(sizes), pa.int32())
+                columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(packs), np.int32)))
+            yield pa.RecordBatch.from_arrays([columns[f.name] for f in out], schema=out)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {types[f.name]}" for f in out))
+
+
 def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row of ``docs``."""
-    coded = decode(encode(docs, vocabulary), vocabulary)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return coded(docs, vocabulary, with_ids=False)

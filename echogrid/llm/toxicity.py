@@ -23,8 +23,6 @@ from echogrid.llm.common import segments, text_or_empty
 
 # Labelled rows that are learnt from, at most; chosen by a hash of doc_id.
 TRAINING_ROWS = 20_000
-# Features kept in the model, at most: those with the largest z.
-MODEL_FEATURES = 50_000
 PRIOR = 100.0
 LEAST_Z = 2.0
 LEAST_ODDS = 1.5
@@ -91,8 +89,8 @@ def _counts(train: DataFrame) -> DataFrame:
     return partial.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _log_odds(counts: DataFrame, totals: tuple[int, int], most: int) -> dict[str, float]:
-    """Features with z and log-odds of at least ``LEAST_Z`` and ``LEAST_ODDS``, the ``most`` largest by z.
+def _log_odds(counts: DataFrame, totals: tuple[int, int]) -> dict[str, float]:
+    """Features with z and log-odds of at least ``LEAST_Z`` and ``LEAST_ODDS``; the labelled rows bound their number.
 
     The prior of a feature is its share of both classes times ``PRIOR``. Only
     toxic features are kept; all others score the drift.
@@ -106,8 +104,6 @@ def _log_odds(counts: DataFrame, totals: tuple[int, int], most: int) -> dict[str
     rows = (
         counts.select("feature", (top - low).alias("odds"), ((top - low) / spread).alias("z"))
         .filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
-        .orderBy(F.desc("z"), "feature")
-        .limit(most)
         .collect()
     )
     return {r.feature: r.odds for r in rows}
@@ -235,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS) -> Model:
     if not toxic or not clean:
         share = toxic / (toxic + clean) if toxic + clean else 0.5
         return Model({}, slope=0.0, offset=math.log((share + 1e-3) / (1 - share + 1e-3)))
-    weights = _log_odds(_counts(train), (toxic, clean), MODEL_FEATURES)
+    weights = _log_odds(_counts(train), (toxic, clean))
     flat = Model(weights)
     flat.scale = _tail(_clean_scores(train.filter("toxic <= 0"), weights))
     rows = _scored(train, flat, ["toxic"]).select("evidence", "toxic").collect()
@@ -253,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     an empty table gives an empty result. ``passages`` are the significant ones.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    x = F.least(F.col("evidence"), F.lit(200.0)) * F.lit(model.slope) + F.lit(model.offset)
+    x = F.col("evidence") * F.lit(model.slope) + F.lit(model.offset)
     return (
         _scored(texts, model, ["doc_id"])
         .withColumn("score", 1 / (1 + F.exp(-x)))
@@ -268,8 +264,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def evidence_of(text: Column, model: Model) -> Column:
+    """Evidence of a text as a column: only texts go to Python and only a number comes back."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = _Scores(model.weights)
+        for batch in batches:
+            found = []
+            for text in batch:
+                words = text.as_py().split()
+                scores = [table[w] for w in words]
+                found.append(_evidence(segments(scores), len(words), model) if scores and max(scores) > 0 else 0.0)
+            yield pa.array(found, pa.float64())
+
+    return run(text)
+
+
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score below one half, with all their columns."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text_or_empty().alias("text"))
-    x = F.least(F.col("evidence"), F.lit(200.0)) * F.lit(model.slope) + F.lit(model.offset)
-    return _scored(rows, model, ["row"]).filter(x < 0).select("row.*")
+    """The rows of ``docs`` that score below one half, with all their columns; a null text has no evidence. Repeated rows share their verdict."""
+    x = evidence_of(text_or_empty(), model) * F.lit(model.slope) + F.lit(model.offset)
+    return docs.filter(x < 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from hashlib import sha256
 
 import pytest
 
@@ -57,7 +58,8 @@ def test_stages(spark, tables):
             sets = corpus.shingle_sets([(d, r.text) for d, r in before.items()], 5)
             comps = corpus.brute_components(sets, 80, 100)
             assert sorted(r.doc_id for r in after) == sorted(d for d in comps if comps[d] == d)
-        if name == "BPE encoding":
+        if name == "BPE encoding and decoding":
+            assert sorted(r.decoded_sha256 for r in after) == sorted(sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
             emitter = bpe.loaded(bpe.Emitter, bpe.VOCABULARY)
             import numpy as np
 
@@ -68,4 +70,4 @@ def test_stages(spark, tables):
 
 def test_run_gives_the_rows_of_the_last_stage(spark, tables):
     out = corpus_pipeline.run(spark, tables)
-    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.count() > 0
+    assert out.columns == ["doc_id", "ids", "n_tokens", "decoded_sha256"] and out.count() > 0

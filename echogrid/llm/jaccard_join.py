@@ -298,22 +298,39 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
     )
     # Near copies agree in many parts, so most tiles have the members of another; one of those is enough.
     mixed_tiles = (
-        labelled.groupBy("key")
+        labelled.groupBy("key", "comp")
         .agg(
-            F.min("comp").alias("low"),
-            F.max("comp").alias("high"),
-            F.count(F.lit(1)).alias("members"),
+            F.count(F.lit(1)).alias("size"),
             F.bit_xor(F.xxhash64("sid")).alias("one"),
             F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("two"),
         )
-        .filter("low <> high")
+        .groupBy("key")
+        .agg(
+            F.count(F.lit(1)).alias("comps"),
+            F.sum("size").alias("members"),
+            F.bit_xor("one").alias("one"),
+            F.bit_xor("two").alias("two"),
+            F.max(F.struct("size", "comp")).alias("most"),
+        )
+        .filter("comps > 1")
         .groupBy("members", "one", "two")
-        .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("members") / TILE).cast("long").alias("blocks"))
+        .agg(F.min(F.struct("key", "most")).alias("tile"))
+        .select(
+            F.col("tile.key").alias("key"),
+            F.col("tile.most.comp").alias("main"),
+            F.ceil(F.col("tile.most.size") / TILE).cast("long").alias("mains"),
+            F.ceil((F.col("members") - F.col("tile.most.size")) / TILE).cast("long").alias("others"),
+        )
     )
-    open_rows = labelled.join(materialize(mixed_tiles), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    # A large tile is cut into blocks, and each two blocks meet in a tile of their own.
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    # A large tile is cut into blocks, and each two blocks meet in a tile of their own, but for two blocks
+    # of its largest component: once that holds nearly all, each of its members is there only once.
+    own = F.col("comp") == F.col("main")
+    h = F.xxhash64("sid")
+    open_rows = labelled.join(materialize(mixed_tiles), "key").withColumn(
+        "block", F.when(own, F.pmod(h, F.col("mains"))).otherwise(F.col("mains") + F.pmod(h, F.col("others")))
+    )
+    meets = F.sequence(F.when(own, F.col("mains")).otherwise(F.lit(0).cast("long")), F.col("mains") + F.col("others") - 1)
+    dealt = open_rows.withColumn("other", F.explode(meets)).select(
         "key",
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
@@ -372,6 +389,13 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def _homes(tiles: DataFrame, least: int) -> DataFrame:
+    """Of each set in tiles of more than ``least`` members only the largest of these, as ``key, sid, lead``."""
+    large = materialize(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > least))
+    home = tiles.join(large, "key").groupBy("sid").agg(F.max(F.struct("members", "key", "lead")).alias("home"))
+    return materialize(home.select("home.key", "sid", "home.lead"))
+
+
 def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``.
 
@@ -390,6 +414,14 @@ def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     near = first.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     links = materialize(_verified(near, texts, rule))
     tested, each = near, PARTNERS
+    # Near copies of one text lie in many large tiles together. One of these is searched first, so that the
+    # others find them connected.
+    homes = _homes(tiles, TILE)
+    if not homes.isEmpty():
+        told = materialize(_cross_pairs(homes, components(links), texts, rule, each).filter("a <> b"))
+        fresh = materialize(told.join(tested, ["a", "b"], "left_anti"))
+        links = materialize(links.union(_verified(fresh, texts, rule)))
+        tested = materialize(tested.union(fresh))
     while True:
         found = materialize(_cross_pairs(tiles, components(links), texts, rule, each))
         fresh = materialize(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"))

@@ -312,6 +312,22 @@ def test_automaton_has_one_path_for_each_string():
             assert automaton.encode(word) == [tokens[p] for p in parts]
 
 
+def test_jaccard_in_blocks_of_large_tiles(spark, monkeypatch):
+    """Near copies of one text, alike to it but not all to each other, with tiles of a few sets each."""
+    rng = random.Random(9)
+    base = corpus.words(rng, 150)
+    given = [(0, " ".join(base))]
+    for i in range(1, 40):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 4)):
+            w[k] = corpus.words(rng, 1)[0]
+        given.append((i, " ".join(w)))
+    monkeypatch.setattr(jaccard_join, "TILE", 3)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 2)
+    found = jaccard_join.join_components(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == corpus.brute_components(corpus.shingle_sets(given, 4), 85, 100)
+
+
 @pytest.mark.parametrize("rule", [jaccard_join.Rule(), jaccard_join.Rule(5, 80, 100)])
 def test_jaccard_components_equal_all_pairs(docs, rows, rule):
     sets = corpus.shingle_sets(rows, rule.words)

@@ -8,8 +8,8 @@ hashed bitmaps bound the overlap of two sets from above; pairs that may reach
 the threshold are settled by an exact intersection of sorted arrays.
 
 Pairs inside a class of sets that are already connected are never formed: first
-each set is held against the smallest of its tiles, then only tiles that still
-join different components are searched, by the likeliest partners of each set,
+each set is held against the smallest of its tiles (in crowded ones against the
+best connected), then only tiles that still join different components are searched, by the likeliest partners of each set,
 until no set has an untried partner outside its component.
 """
 
@@ -38,6 +38,8 @@ BITS = 2
 # Members compared at once in a tile, and pairs settled by one task in a row.
 TILE = 2048
 SALT = 1024
+# Members beyond which a tile's sets are first held against its best connected one, not its smallest.
+CROWD = 64
 # Partners of other components that a set names in a tile at first, and times as many in each further round.
 PARTNERS = 16
 MORE = 16
@@ -389,11 +391,17 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _homes(tiles: DataFrame, least: int) -> DataFrame:
-    """Of each set in tiles of more than ``least`` members only the largest of these, as ``key, sid, lead``."""
+def _leaders(tiles: DataFrame, least: int) -> DataFrame:
+    """``sid, best`` of the sets in tiles of more than ``least`` members: the set that most others agree with, by parts, in their tiles.
+
+    Near copies of one text differ from each other by twice as much as from that
+    text, which keeps the parts that any of them has changed.
+    """
     large = materialize(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > least))
-    home = tiles.join(large, "key").groupBy("sid").agg(F.max(F.struct("members", "key", "lead")).alias("home"))
-    return materialize(home.select("home.key", "sid", "home.lead"))
+    rows = materialize(tiles.join(large, "key").select("key", "sid", "members"))
+    degree = rows.groupBy("sid").agg(F.sum("members").alias("degree"))
+    top = rows.join(degree, "sid").groupBy("key").agg(F.max(F.struct("degree", "sid")).alias("top"))
+    return rows.join(top, "key").groupBy("sid").agg(F.max("top").alias("top")).select("sid", F.col("top.sid").alias("best"))
 
 
 def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
@@ -409,19 +417,12 @@ def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     classes = materialize(_classes(rows, rule))
     reps = materialize(classes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")))
     tiles = stored(_tiles(rows, rule), "tiles")
-    first = materialize(tiles.groupBy("sid").agg(F.min("lead").alias("lead")))
+    first = tiles.groupBy("sid").agg(F.min("lead").alias("lead")).join(_leaders(tiles, CROWD), "sid", "left")
+    first = materialize(first.select("sid", F.coalesce("best", "lead").alias("lead")))
     texts = stored(_texts(rows, reps, first.select("sid"), rule), "texts")
     near = first.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     links = materialize(_verified(near, texts, rule))
-    tested, each = near, PARTNERS
-    # Near copies of one text lie in many large tiles together. One of these is searched first, so that the
-    # others find them connected.
-    homes = _homes(tiles, TILE)
-    if not homes.isEmpty():
-        told = materialize(_cross_pairs(homes, components(links), texts, rule, each).filter("a <> b"))
-        fresh = materialize(told.join(tested, ["a", "b"], "left_anti"))
-        links = materialize(links.union(_verified(fresh, texts, rule)))
-        tested = materialize(tested.union(fresh))
+    tested, each = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), PARTNERS
     while True:
         found = materialize(_cross_pairs(tiles, components(links), texts, rule, each))
         fresh = materialize(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"))

@@ -324,7 +324,6 @@ def test_jaccard_in_blocks_of_large_tiles(spark, monkeypatch):
         given.append((i, " ".join(w)))
     monkeypatch.setattr(jaccard_join, "TILE", 3)
     monkeypatch.setattr(jaccard_join, "PARTNERS", 2)
-    monkeypatch.setattr(jaccard_join, "CROWD", 5)
     found = jaccard_join.join_components(spark.createDataFrame(given, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in found} == corpus.brute_components(corpus.shingle_sets(given, 4), 85, 100)
 

@@ -6,13 +6,15 @@ text to tags per line is smoothed with a Gaussian; lines above the threshold
 form the content clusters. The region of the page that holds most of them, an
 article or main element if they lie in one, is taken whole, short lines included,
 and so are the blocks of the clusters beside it, but for parts that are marked as
-something else.
+something else. Words of class and id say so only where the whole name does, and not at all
+on a page that would have no text without the parts they mark.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -43,6 +45,11 @@ MARKS = frozenset(
     "notice notices pagination paywall popup promo promotion related replies respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+# Words that may stand beside a mark in one name and leave it a mark, as in "site-footer" or "comment-list".
+PLACES = frozenset(
+    "area bar block body bottom box column container content footer global group head inner item items left link links list "
+    "main mobile outer page panel primary right row secondary section site slot sticky top unit wrap wrapper".split()
+)
 # Marks of a page's head; inside an article they mark its headline, which stays.
 HEADS = frozenset({"header", "masthead", "banner"})
 MAIN = frozenset({"article", "main"})
@@ -59,18 +66,22 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @dataclass
 class Element:
+    """An open element; ``node`` is the container it is or lies in, ``marked`` tells of a class or id that marks it."""
+
     tag: str
     aside: bool
+    marked: bool
     inside_main: bool
-    path: tuple[int, ...]
+    node: int
 
 
 @dataclass
 class Line:
-    """Text of one block; ``path`` are the open containers, outermost first."""
+    """Text of one block in the container ``node``."""
 
-    path: tuple[int, ...]
+    node: int
     in_main: bool
+    marked: bool
     parts: list[str] = field(default_factory=list)
     tags: int = 0
 
@@ -78,25 +89,31 @@ class Line:
         return _SPACE.sub(" ", "".join(self.parts)).strip()
 
 
-def marked(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> bool:
-    """Does an element hold something else than the page's text?"""
+def apart(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> bool:
+    """Does an element hold something else than the page's text by what HTML itself says?"""
     if tag in ASIDE or (tag == "header" and not in_main):
         return True
-    if tag in ("html", "body", "article", "main") and not any(k in ("class", "id") for k, _ in attrs):
-        return False
     for name, value in attrs:
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if tag not in ("html", "body") and (name == "hidden" or (name == "aria-hidden" and value == "true")):
             return True
-        if not value:
-            continue
-        if name == "role" and value.lower() in ROLES and not (in_main and value.lower() in HEADS):
+        if name == "role" and value and value.lower() in ROLES and not (in_main and value.lower() in HEADS):
             return True
-        if name == "style" and _HIDDEN.search(value):
+        if name == "style" and value and _HIDDEN.search(value):
             return True
-        if name in ("class", "id") and tag not in ("html", "body"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & (MARKS | HEADS) - (HEADS if in_main else frozenset()):
-                return True
+    return False
+
+
+def named_apart(tag: str, attrs: list[tuple[str, str | None]], in_main: bool) -> bool:
+    """Does a class or id mark it as something else? All words of the name are marks, or places beside a mark."""
+    if tag in ("html", "body"):
+        return False
+    marks = MARKS if in_main else MARKS | HEADS
+    for key, value in attrs:
+        if key in ("class", "id") and value:
+            for name in value.split():
+                words = {w.lower() for w in _WORDS.findall(name)}
+                if words & marks and words <= marks | PLACES | HEADS:
+                    return True
     return False
 
 
@@ -107,24 +124,31 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack: list[Element] = []
-        self.count = 0
+        # How many elements of each tag are open, and the container around each container; the page is 0.
+        self.open: Counter[str] = Counter()
+        self.parent = [0]
         self._open(False)
 
     def _open(self, tagged: bool) -> None:
         top = self.stack[-1] if self.stack else None
-        line = Line(top.path if top else (), bool(top and top.inside_main))
+        line = Line(top.node, top.inside_main, top.marked) if top else Line(0, False, False)
         line.tags = int(tagged)
         if self.lines and not self.lines[-1].parts:
             line.tags += self.lines.pop().tags
         self.lines.append(line)
 
+    def _close(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        self.open.subtract(e.tag for e in self.stack[k:])
+        del self.stack[k:]
+
     def _implied(self, tag: str) -> None:
         """Close what a start tag closes without an end tag: an open paragraph, a list or table item of its kind."""
         if tag in BLOCKS and self.stack and self.stack[-1].tag == "p":
-            self.stack.pop()
+            self._close(-1)
         closes = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "body": {"head", "title"}}.get(tag)
         while closes and self.stack and self.stack[-1].tag in closes:
-            self.stack.pop()
+            self._close(-1)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in BLOCKS and tag not in ASIDE:
@@ -133,16 +157,21 @@ class Lines(HTMLParser):
                 self.lines[-1].tags += 1
                 return
             self.lines[-1].tags += 1
-            if tag in VOID or not attrs or not marked(tag, attrs, self.lines[-1].in_main):
+            inside = self.lines[-1].in_main
+            if tag in VOID or not attrs or not (apart(tag, attrs, inside) or named_apart(tag, attrs, inside)):
                 return
         self._implied(tag)
-        top = self.stack[-1] if self.stack else None
-        in_main = bool(top and top.inside_main)
-        aside = bool(top and top.aside) or marked(tag, attrs, in_main)
+        top = self.stack[-1] if self.stack else Element("", False, False, False, 0)
+        aside = top.aside or apart(tag, attrs, top.inside_main)
+        marked = top.marked or named_apart(tag, attrs, top.inside_main)
         if tag not in VOID:
-            self.count += 1
-            path = (top.path if top else ()) + ((self.count,) if tag not in ("p", "li") else ())
-            self.stack.append(Element(tag, aside, in_main or (tag in MAIN and not aside), path))
+            node = top.node
+            if tag not in ("p", "li"):
+                node = len(self.parent)
+                self.parent.append(top.node)
+            in_main = top.inside_main or (tag in MAIN and not aside and not marked)
+            self.stack.append(Element(tag, aside, marked, in_main, node))
+            self.open[tag] += 1
         self._open(True)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -151,9 +180,9 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
+        for k in range(len(self.stack) - 1, -1, -1) if self.open[tag] > 0 else ():
             if self.stack[k].tag == tag:
-                del self.stack[k:]
+                self._close(k)
                 self._open(True)
                 return
             # An end tag doesn't reach out of the article, nor a paragraph's out of its block.
@@ -187,36 +216,54 @@ def content_lines(lines: list[tuple[Line, str]]) -> list[bool]:
     return [r >= threshold for r in ratios]
 
 
-def main_text(html: str) -> str:
-    """Text of a page's main region, one line a block; empty if there is none."""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    lines = [(line, text) for line in parser.lines if (text := line.text())]
-    if not lines:
-        return ""
-    weight: dict[tuple[int, ...], int] = {}
+def _chosen(lines: list[tuple[Line, str]], parent: list[int]) -> list[str]:
+    """Texts of the region that holds the content clusters, and of the clusters beside it with their blocks."""
+    weight = [0] * len(parent)
     total = named = 0
     good = content_lines(lines)
     for (line, text), content in zip(lines, good, strict=True):
         if content:
             total += len(text)
             named += len(text) * line.in_main
-            for k in range(len(line.path) + 1):
-                weight[line.path[:k]] = weight.get(line.path[:k], 0) + len(text)
-    region = max((p for p, w in weight.items() if w >= REGION_SHARE * total), key=len, default=())
+            weight[line.node] += len(text)
+    # A container comes after the one around it, so sums go up in one walk back, and what holds inside down in one forth.
+    for node in range(len(parent) - 1, 0, -1):
+        weight[parent[node]] += weight[node]
+    region = max(n for n, w in enumerate(weight) if w >= REGION_SHARE * total)
+    within = [False] * len(parent)
+    within[region] = True
+    for node in range(region + 1, len(parent)):
+        within[node] = within[parent[node]]
     # The page's own naming counts only where the clusters lie in it.
     by_name = named > 0 and named >= REGION_SHARE * total
-    held = [line.in_main if by_name else line.path[: len(region)] == region for line, _ in lines]
+    held = [line.in_main if by_name else within[line.node] for line, _ in lines]
     # Content clusters beside the region stay too, with the short lines of their blocks.
-    beside = {line.path for (line, _), content, inside in zip(lines, good, held, strict=True) if content and not inside}
-    around = {line.path[:k] for (line, _), inside in zip(lines, held, strict=True) if inside for k in range(len(line.path) + 1)}
-    blocks = beside - around
-    return "\n".join(
-        text
-        for (line, text), content, inside in zip(lines, good, held, strict=True)
-        if inside or content or any(line.path[:k] in blocks for k in range(len(line.path) + 1))
-    )
+    around = [False] * len(parent)
+    for (line, _), inside in zip(lines, held, strict=True):
+        around[line.node] |= inside
+    for node in range(len(parent) - 1, 0, -1):
+        around[parent[node]] |= around[node]
+    block = [False] * len(parent)
+    for (line, _), content, inside in zip(lines, good, held, strict=True):
+        block[line.node] |= content and not inside and not around[line.node]
+    for node in range(1, len(parent)):
+        block[node] |= block[parent[node]]
+    return [
+        text for (line, text), content, inside in zip(lines, good, held, strict=True) if inside or content or block[line.node]
+    ]
+
+
+def main_text(html: str) -> str:
+    """Text of a page's main region, one line a block; empty if there is none.
+
+    Parts that only a class or id marks are left out, unless nothing else is left.
+    """
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    lines = [(line, text) for line in parser.lines if (text := line.text())]
+    plain = [x for x in lines if not x[0].marked] or lines
+    return "\n".join(_chosen(plain, parser.parent)) if plain else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -242,6 +242,38 @@ def test_html_text_of_small_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def paragraphs(word, n=4):
+    return "".join(f"<p>{f'A long sentence of a {word} number {k} with words. ' * 6}</p>" for k in range(n))
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_html_names_that_only_hold_a_mark_say_nothing(tag):
+    names = ["post tag-search", "entry category-social", "notice-board", "ad-hoc", "post-related", "story-share", "login-howto", "comment-policy", "related-work"]
+    for name in names:
+        page = f"<html><body><nav>Menu</nav><{tag} class='{name}'>{paragraphs('paragraph')}</{tag}><footer>f</footer></body></html>"
+        assert len(html_text.main_text(page).split("\n")) == 4
+
+
+def test_html_marked_parts_go_however_long():
+    for name in ["comments", "comment-list", "site-footer", "sidebar", "ad-banner", "cookie-notice", "related", "ads", "newsletter-signup", "share-bar"]:
+        page = f"<body><article>{paragraphs('paragraph')}</article><div class='{name}'>{paragraphs('remark', 12)}</div></body>"
+        found = html_text.main_text(page)
+        assert "remark" not in found and len(found.split("\n")) == 4
+    # A page whose only text lies in a marked part keeps it.
+    assert len(html_text.main_text(f"<body><nav>Menu</nav><div class='widget'>{paragraphs('paragraph')}</div></body>").split("\n")) == 4
+
+
+def test_html_of_deep_and_long_pages():
+    import time
+
+    start = time.perf_counter()
+    deep = html_text.main_text("<body>" + "<div>x</span>" * 5000 + paragraphs("paragraph") + "</b>" * 5000)
+    assert time.perf_counter() - start < 5 and deep.count("paragraph") == 24
+    assert html_text.main_text("<div>" * 3000) == "" and html_text.main_text("<p>a") == "a"
+    many = html_text.main_text("<article>" + paragraphs("paragraph", 5000) + "</article>")
+    assert len(many.split("\n")) == 5000
+
+
 def test_html_text_of_generated_articles():
     rng = random.Random(2)
     for _ in range(40):

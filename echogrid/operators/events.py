@@ -11,6 +11,7 @@ from echogrid.functions import numeric as N
 from echogrid.operators.scan import (
     DEFAULT_CHUNK_S,
     asof_join,
+    carried,
     chunk_of,
     emit_to_chunks,
     reach_closure,
@@ -141,35 +142,42 @@ def heard_proximity(
     """Instants holding heard events, classed by distance to produced intervals.
 
     addressed within ``addressed_s``, overheard at ``silence_s`` or farther,
-    otherwise neither (null). Intervals farther than both thresholds cannot
-    change the class, so each produced interval only visits chunks in reach.
+    otherwise neither (null). A produced interval visits the chunk of its start
+    and those in reach before it; how far the intervals of earlier chunks run is
+    one carried row per chunk, so an interval's length makes no copies.
     """
     t = F.col("t_on")
     reach = F.lit(float(max(addressed_s, silence_s)))
-    lo = F.when(F.col("n_produced") > 0, F.col("p_lo") - reach).otherwise(t)
-    hi = F.when(F.col("n_produced") > 0, F.col("p_hi") + reach).otherwise(t)
-    wide = emit_to_chunks(points, lo, hi, chunk_s)
-    w = Window.partitionBy("session_id", "chunk")
-    upto = w.orderBy("p_key", "t_on").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = w.orderBy(F.desc("p_key"), F.desc("t_on")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     # An interval that starts before its onset (repaired, inverted) is keyed by
     # its low end and so becomes its own row.
-    tagged = wide.select(
+    parts = points.select(
         "*",
         F.explode(
             F.when(
                 (F.col("n_produced") > 0) & (F.col("p_lo") < t) & (F.col("n_heard") > 0),
                 F.array(F.lit("p"), F.lit("h")),
             )
+            .when((F.col("n_produced") > 0) & (F.col("p_lo") < t), F.array(F.lit("p")))
             .when(F.col("n_produced") > 0, F.array(F.lit("b")))
             .otherwise(F.array(F.lit("h")))
         ).alias("_part"),
     )
     is_p = F.col("_part") != "h"
     is_h = (F.col("n_heard") > 0) & (F.col("_part") != "p")
-    tagged = tagged.withColumn("p_key", F.when(is_p, F.col("p_lo")).otherwise(t))
+    parts = parts.withColumn("p_key", F.when(is_p, F.col("p_lo")).otherwise(t))
+    ends = parts.groupBy("session_id", chunk_of(F.col("p_key"), chunk_s).alias("chunk")).agg(
+        F.max(F.when(is_p, F.col("p_hi"))).alias("p_hi")
+    )
+    wide = emit_to_chunks(parts, F.when(is_p, F.col("p_key") - reach).otherwise(t), F.col("p_key"), chunk_s)
+    # The carried row has no key and so comes before all others of its chunk.
+    tagged = wide.unionByName(
+        carried(ends, ["session_id"], "p_hi").withColumn("_part", F.lit("c")), allowMissingColumns=True
+    )
+    w = Window.partitionBy("session_id", "chunk")
+    upto = w.orderBy("p_key", "t_on").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = w.orderBy(F.desc("p_key"), F.desc("t_on")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     prev_end = F.max(F.when(is_p, F.col("p_hi"))).over(upto)
     next_start = F.min(F.when(is_p, F.col("p_lo"))).over(down)
     after = F.when(F.col("_end").isNotNull(), F.greatest(t - F.col("_end"), F.lit(0.0)))

@@ -2,9 +2,11 @@
 
 One session may hold a large share of all rows, so no window here is
 partitioned by session alone. Rows are hashed by (session, time chunk); a row
-that can matter to later or earlier chunks is also emitted to those chunks, so
+that can matter to a bounded span of other chunks is also emitted to those, so
 every answer is found inside one chunk and one shuffle is enough. ``reach``
-ranges are exact supersets of the span in which a row can be the answer.
+ranges are exact supersets of the span in which a row can be the answer. What
+has no bounded span (how far earlier intervals run, the last row before a
+chunk) is one summary row per chunk, carried on over the chunks.
 """
 
 from __future__ import annotations
@@ -27,6 +29,17 @@ def emit_to_chunks(df: DataFrame, lo: Column, hi: Column, chunk_s: float) -> Dat
     return df.withColumn("chunk", F.explode(F.sequence(first, last)))
 
 
+def carried(chunks: DataFrame, keys: list[str], value: str, latest: bool = False) -> DataFrame:
+    """``value`` of each (keys, chunk) row replaced by that of the chunks before: their maximum, or the latest one.
+
+    One row per chunk in use comes in, so the window over a session is as long
+    as its chunks, not as its rows. Chunks with nothing before them are left out.
+    """
+    w = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(value, ignorenulls=True).over(w) if latest else F.max(value).over(w)
+    return chunks.withColumn(value, before).filter(F.col(value).isNotNull())
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -34,7 +47,7 @@ def asof_join(
     left_key: Column,
     right_key: Column,
     payload: list[str],
-    reach: tuple[Column, Column],
+    reach: tuple[Column, Column] | None,
     out: str = "match",
     direction: str = "backward",
     strict: bool = False,
@@ -45,10 +58,13 @@ def asof_join(
     ``backward`` takes the last right row with right_key <= left_key (< when
     strict), ``forward`` the first with right_key >= left_key (> when strict).
     The caller passes right rows that are unique per (keys, right_key) and the
-    range of left keys each of them can answer. Adds struct column ``out``,
-    null when there is no match.
+    range of left keys each of them can answer; without a range (backward only)
+    the last right row of the chunks before is carried into each chunk. Adds
+    struct column ``out``, null when there is no match.
     """
     backward = direction == "backward"
+    if reach is None and not backward:
+        raise ValueError("a forward match needs a reach")
     lhs = left.select(
         *keys,
         chunk_of(left_key, chunk_s).alias("chunk"),
@@ -56,7 +72,8 @@ def asof_join(
         F.lit(1).alias("_side"),
         F.struct(*[F.col(c) for c in left.columns]).alias("_l"),
     )
-    rhs = emit_to_chunks(right, reach[0], reach[1], chunk_s).select(
+    placed = right.withColumn("chunk", chunk_of(right_key, chunk_s)) if reach is None else emit_to_chunks(right, *reach, chunk_s)
+    rhs = placed.select(
         *keys,
         "chunk",
         right_key.alias("_k"),
@@ -64,7 +81,12 @@ def asof_join(
         F.struct(*[F.col(c) for c in payload]).alias("_r"),
     )
     both = lhs.unionByName(rhs, allowMissingColumns=True)
-    order = F.col("_k").asc() if backward else F.col("_k").desc()
+    if reach is None:
+        # The carried row has no key and so comes before all others of its chunk.
+        last = F.max_by("_r", F.when(F.col("_r").isNotNull(), F.col("_k"))).alias("_r")
+        before = carried(both.groupBy(*keys, "chunk").agg(last), keys, "_r", latest=True)
+        both = both.unionByName(before.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    order = F.col("_k").asc_nulls_first() if backward else F.col("_k").desc()
     w = (
         Window.partitionBy(*keys, "chunk")
         .orderBy(order, F.col("_side").asc())
@@ -87,14 +109,19 @@ def merge_islands(
 ) -> DataFrame:
     """Gaps-and-islands against the running end: (keys, start, end) per island.
 
-    A span opens a new island when ``start - running_end > gap``. Islands are
-    built inside chunks; only those that open or close a chunk (at most two per
-    chunk) go through a window over the whole session.
+    A span opens a new island when ``start - running_end > gap``. A span lies in
+    the chunk of its start, whatever its length; how far the spans of earlier
+    chunks run is one carried row. Islands are built inside chunks; only those
+    that open or close a chunk (at most two per chunk) go through a window over
+    the whole session.
     """
     spans = spans.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"))
-    pieces = emit_to_chunks(spans, F.col("_s"), F.col("_e") + F.lit(float(gap)), chunk_s)
-    pieces = pieces.withColumn("_own", F.col("chunk") == chunk_of(F.col("_s"), chunk_s))
-    pieces = pieces.filter(F.col("chunk") >= chunk_of(F.col("_s"), chunk_s))
+    spans = spans.withColumn("chunk", chunk_of(F.col("_s"), chunk_s))
+    before = carried(spans.groupBy(*keys, "chunk").agg(F.max("_e").alias("_e")), keys, "_e")
+    # The carried row has no start and so comes first.
+    pieces = spans.withColumn("_own", F.lit(True)).unionByName(
+        before.withColumn("_own", F.lit(False)), allowMissingColumns=True
+    )
     w = Window.partitionBy(*keys, "chunk").orderBy("_s")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -80,7 +80,7 @@ def chain_starts(
         left_key=F.col("h_on"),
         right_key=F.col("c_on"),
         payload=["c_on"],
-        reach=(F.col("c_on"), F.col("c_last")),
+        reach=None,
         chunk_s=chunk_s,
     ).select("session_id", "p_on", "p_off", F.col("match.c_on").alias("c_on"))
 

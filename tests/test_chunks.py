@@ -83,6 +83,43 @@ def test_chunk_size_does_not_matter(case):
     assert runs[0] == runs[1] and len(runs[0][0]) > 3
 
 
+def test_long_intervals_are_not_copied(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        on = round(float(rng.uniform(0, 300)), 1)
+        length = float(rng.choice([0.2, 40.0, 1e12, -1e9], p=[0.7, 0.2, 0.05, 0.05])) if on > 60 else 0.3
+        rows.append((1, i, "produced" if rng.random() < 0.4 else "perceived", on, round(on + length, 1), "phee"))
+    df = materialize(spark.createDataFrame(rows, "session_id bigint, ev_ord bigint, kind string, t_on double, t_off double, label string"))
+    made = [(min(r[3], r[4]), max(r[3], r[4])) for r in rows if r[2] == "produced"]
+    near = {r["ev_ord"]: r["stream"] for r in E.label_events(df, E.heard_proximity(E.instants(df), chunk_s=7.0), "perceived").collect()}
+    for _, i, kind, on, _, _ in rows:
+        if kind == "perceived":
+            d = min(max(lo - on, on - hi, 0.0) for lo, hi in made)
+            assert near[i] == ("heard_addressed" if d <= 4 else "heard_overheard" if d >= 5 else None)
+    spans = df.filter("t_off > t_on").select("session_id", "t_on", "t_off")
+    got = sorted((r["t_on"], r["t_off"]) for r in scan.merge_islands(spans, ["session_id"], 0.5, chunk_s=7.0).collect())
+    want = []
+    for on, off in sorted((r[3], r[4]) for r in rows if r[4] > r[3]):
+        if want and on - want[-1][1] <= 0.5:
+            want[-1] = (want[-1][0], max(want[-1][1], off))
+        else:
+            want.append((on, off))
+    assert got == want and len(want) > 3
+
+
+def test_asof_without_reach(spark):
+    rng = np.random.default_rng(9)
+    left = sorted(rng.uniform(0, 1000, 60).round(2).tolist())
+    right = sorted(set(rng.uniform(0, 400, 25).round(2).tolist()))
+    lhs = spark.createDataFrame([(1, v) for v in left], "s bigint, a double")
+    rhs = spark.createDataFrame([(1, v) for v in right], "s bigint, b double")
+    for strict in (False, True):
+        got = scan.asof_join(lhs, rhs, ["s"], F.col("a"), F.col("b"), ["b"], None, strict=strict, chunk_s=11.0)
+        got = {r["a"]: r["match"] and r["match"]["b"] for r in got.collect()}
+        assert got == {v: max((x for x in right if x < v or (x == v and not strict)), default=None) for v in left}
+
+
 def test_prefix_rank(spark):
     df = spark.range(0, 500).select(F.lit(1).alias("s"), (F.col("id") * 3).alias("bin"))
     got = scan.prefix_rank(df, ["s"], "bin", F.floor(F.col("bin") / 64)).orderBy("bin").collect()

@@ -23,6 +23,8 @@ CHANNEL = ["session_id", "channel_id"]
 BLOCK_SAMPLES = 4096
 SUB = 64
 TILE = 32
+# Blocks (or groups of them) whose states one task walks.
+FAN = 256
 
 
 # ---- filter design -----------------------------------------------------------
@@ -159,23 +161,51 @@ def to_blocks(samples: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
 def _start_states(ends: DataFrame, filt: LinearFilter, backward: bool) -> DataFrame:
     """(channel, blk, z): start state of each block from per-block end states.
 
-    One short row per block; the edge sample sets the resting state.
+    A run of blocks acts on a state like one long block (a power of the fixed
+    matrix, and an end state from rest), so runs of ``FAN`` are composed level
+    by level up to one run per channel, and states handed down again: no group
+    holds more than ``FAN`` short rows. The edge sample sets the resting state.
+    ``ends`` is read once per level and should be materialised.
     """
+    head = "session_id bigint, channel_id string, "
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk", ascending=not backward)
-        z = filt.rest * float(pdf.edge.iloc[0])
-        out = []
-        powers: dict[int, np.ndarray] = {}
+    def walk(pdf: pd.DataFrame, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        starts, powers = [], {}
         for n, push in zip(pdf.n, pdf.push):
-            out.append(z)
-            n = int(n)
+            starts.append(z)
             if n not in powers:
-                powers[n] = filt.advance(n)
+                powers[n] = filt.advance(int(n))
             z = powers[n] @ z + np.asarray(push, float)
-        return pd.DataFrame({"session_id": pdf.session_id, "channel_id": pdf.channel_id, "blk": pdf.blk, "z": out})
+        return starts, z
 
-    return ends.groupBy(*CHANNEL).applyInPandas(run, "session_id bigint, channel_id string, blk bigint, z array<double>")
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", ascending=not backward)
+        _, push = walk(pdf, np.zeros(filt.m))
+        first = pdf.iloc[0]
+        return pd.DataFrame(
+            {"session_id": [first.session_id], "channel_id": [first.channel_id], "blk": [first.up], "n": [pdf.n.sum()], "push": [push]}
+        )
+
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("blk", ascending=not backward)
+        starts, _ = walk(pdf, np.asarray(pdf.z.iloc[0], float))
+        return pd.DataFrame({"session_id": pdf.session_id, "channel_id": pdf.channel_id, "blk": pdf.blk, "z": starts})
+
+    up = F.floor(F.col("blk") / F.lit(FAN))
+    levels = [ends.select(*CHANNEL, "blk", F.col("n").cast("bigint").alias("n"), "push")]
+    most = int(ends.agg(F.max("blk")).first()[0] or 0)
+    while most >= FAN:
+        groups = levels[-1].withColumn("up", up).groupBy(*CHANNEL, "up")
+        levels.append(groups.applyInPandas(compose, head + "blk bigint, n bigint, push array<double>"))
+        most //= FAN
+    edge = F.max_by("edge", "blk") if backward else F.min_by("edge", "blk")
+    rest = F.transform(F.array(*[F.lit(float(v)) for v in filt.rest]), lambda v: v * F.col("edge"))
+    above = ends.groupBy(*CHANNEL).agg(edge.alias("edge")).select(*CHANNEL, F.lit(0).cast("bigint").alias("up"), rest.alias("z"))
+    for level in reversed(levels):
+        groups = level.withColumn("up", up).join(above, [*CHANNEL, "up"]).groupBy(*CHANNEL, "up")
+        starts = groups.applyInPandas(hand_down, head + "blk bigint, z array<double>")
+        above = starts.withColumnRenamed("blk", "up")
+    return starts
 
 
 def filtfilt(
@@ -198,7 +228,7 @@ def filtfilt(
             )
 
     head = "session_id bigint, channel_id string, blk bigint, "
-    z1 = _start_states(blocks.mapInPandas(ends, head + "n int, edge double, push array<double>"), filt, False)
+    z1 = _start_states(materialize(blocks.mapInPandas(ends, head + "n int, edge double, push array<double>")), filt, False)
 
     def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,6 +260,44 @@ def filtfilt(
     )
 
 
+def box_filtfilt(signal: DataFrame, meta: DataFrame, width: int, block: int = BLOCK_SAMPLES) -> DataFrame:
+    """``filtfilt`` with a box of ``width`` samples, in time that doesn't depend on the width.
+
+    A box looks width - 1 samples back, then as many ahead; that is less than
+    the reflected ends, so resting states never reach a sample that is kept.
+    Each block takes its samples and those in reach, and both passes are
+    differences of its prefix sums: one shuffle, no state between blocks.
+    """
+    reach = width - 1
+    if not meta.filter(F.col("n_samples") <= 3 * reach).isEmpty():
+        raise InputError("SignalTooShort", f"filtering needs more than {3 * reach} samples")
+    size = max(block, 2 * reach)
+    j = F.col("sample_idx")
+    # Reflected samples make index j the first of the 2 * reach + 1 that output j averages.
+    wide = _extended(signal, meta, reach).withColumn(
+        "blk", F.explode(F.sequence(F.floor(F.greatest(j - 2 * reach, F.lit(0)) / size), F.floor(j / size)))
+    )
+    packed = wide.groupBy(*CHANNEL, "blk").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "v"))).alias("_a"))
+
+    def moving_sum(x: np.ndarray) -> np.ndarray:
+        c = np.concatenate([[0.0], np.cumsum(x)])
+        return c[width:] - c[:-width]
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # The rest of a last block has no output of its own.
+            pdf = pdf[[len(v) > 2 * reach for v in pdf.v]]
+            ys = [moving_sum(moving_sum(np.asarray(v, float))) / width**2 for v in pdf.v]
+            yield pd.DataFrame({"session_id": pdf.session_id, "channel_id": pdf.channel_id, "blk": pdf.blk, "v": ys})
+
+    done = packed.select(*CHANNEL, "blk", F.col("_a.v").alias("v")).mapInPandas(
+        smooth, "session_id bigint, channel_id string, blk bigint, v array<double>"
+    )
+    return done.select(*CHANNEL, "blk", F.posexplode("v").alias("_p", "v")).select(
+        *CHANNEL, (F.col("blk") * size + F.col("_p")).alias("sample_idx"), "v"
+    )
+
+
 # ---- Hilbert envelope --------------------------------------------------------
 
 
@@ -411,7 +479,7 @@ def band_power(signal: DataFrame, meta: DataFrame, fs: float, cfg: dict) -> Data
         signal = envelope(signal, meta)
         width = int(np.floor((lfp.get("power_smoothing_ms") or 0) * fs / 1000 + 0.5))
         if width > 1:
-            signal = filtfilt(materialize(signal), meta, np.ones(width) / width, np.array([1.0]))
+            signal = box_filtfilt(materialize(signal), meta, width)
     return signal
 
 

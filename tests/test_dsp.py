@@ -74,6 +74,30 @@ def test_filtfilt(spark, which):
         np.testing.assert_allclose(collect(out, s), naive_filtfilt(b, a, x), atol=1e-8)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_states_through_a_tree(spark, monkeypatch, fan):
+    monkeypatch.setattr(D, "FAN", fan)
+    rng = np.random.default_rng(5)
+    xs = {1: rng.normal(size=700), 2: rng.normal(size=90).cumsum()}
+    b, a = D.butterworth(3, 0.02, "high")
+    sig, meta = frames(spark, xs)
+    out = D.filtfilt(sig, meta, b, a, block=64)
+    for s, x in xs.items():
+        np.testing.assert_allclose(collect(out, s), naive_filtfilt(b, a, x), atol=1e-8)
+
+
+@pytest.mark.parametrize("width,block", [(2, 16), (50, 128), (50, 16), (33, 1000)])
+def test_box(spark, width, block):
+    rng = np.random.default_rng(6)
+    xs = {1: rng.normal(size=1000) + 1e4, 2: rng.normal(size=333).cumsum(), 3: rng.normal(size=3 * width - 2)}
+    sig, meta = frames(spark, xs)
+    out = D.box_filtfilt(sig, meta, width, block).cache()
+    for s, x in xs.items():
+        np.testing.assert_allclose(collect(out, s), naive_filtfilt(np.ones(width) / width, np.array([1.0]), x), atol=1e-8)
+    with pytest.raises(D.InputError):
+        D.box_filtfilt(*frames(spark, {1: rng.normal(size=3 * width - 3)}), width, block)
+
+
 def test_hilbert(spark):
     rng = np.random.default_rng(2)
     xs = {1: rng.normal(size=1000), 2: rng.normal(size=777), 3: rng.normal(size=5)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.functions.numeric import RATE_CAP, clip_eta
@@ -87,8 +87,28 @@ def predict_bins(eta: DataFrame, models: DataFrame, grid: DataFrame, link: str =
     return full.select(*KEYS, "bin", (F.exp(clip_eta(e)) if link == "log" else e).alias("mu"))
 
 
-def second_difference(values: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Adds d2 = v(i) - 2 v(i+1) + v(i+2) along the columns of a kernel or grid."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    d2 = F.col(value) - 2 * F.lead(value, 1).over(w) + F.lead(value, 2).over(w)
-    return values.withColumn("d2", d2).filter(F.col("d2").isNotNull())
+def second_difference(values: DataFrame, keys: list[str], order: str, value: str, length: Column) -> DataFrame:
+    """(keys, order, d2): v(i) - 2 v(i+1) + v(i+2) for i in 0..length-3 wherever one of the three has a row.
+
+    Positions without a row count as zero. Each value is added to the three
+    differences it is part of, so nothing is ordered and a long series combines
+    on the map side.
+    """
+    i = F.col(order)
+    stencil = F.array(*[F.struct((i - k).alias("at"), F.lit(c).alias("c")) for k, c in enumerate((1.0, -2.0, 1.0))])
+    return (
+        values.select(*keys, F.col(value).alias("_v"), length.alias("_n"), F.explode(stencil).alias("s"))
+        .filter((F.col("s.at") >= 0) & (F.col("s.at") <= F.col("_n") - 3))
+        .groupBy(*keys, F.col("s.at").alias(order))
+        .agg(F.sum(F.col("_v") * F.col("s.c")).alias("d2"))
+    )
+
+
+def penalty_energy(weights: DataFrame, penalty: DataFrame) -> DataFrame:
+    """(keys, block, energy): squared length of the penalty rows applied to (keys, col, w); absent weights are zero."""
+    applied = (
+        weights.join(penalty, "col")
+        .groupBy(*KEYS, "block", "row")
+        .agg(F.sum(F.col("w") * F.col("weight")).alias("_d"))
+    )
+    return applied.groupBy(*KEYS, "block").agg(F.sum(F.col("_d") * F.col("_d")).alias("energy"))

@@ -106,7 +106,7 @@ def fit_spikes(
         "metrics": EV.poisson_metrics(rates, MODEL), "event_counts": counts_by,
     }
     if n_perms > 0:
-        cross = I.all_shifted_cross(blocks, colmap, n_perms, cfg["seed"])
+        cross = I.all_shifted_cross(blocks, colmap, n_perms, I.seeded(cfg["seed"]))
         nulls = materialize(I.poisson_nulls(blocks, cross, weights.select(*MODEL, "lam"), colmap, d, cfg["optimizer"]))
         out.frames["ptest"], out.frames["ptest_ci"] = I.permutation_test(weights, nulls, colmap)
         out.frames["null_status"] = I.unsettled(nulls)
@@ -164,7 +164,7 @@ def fit_signal(
             nulls = materialize(I.log_link_nulls(blocks, lam, colmap, d, n_perms, cfg["seed"], cfg["optimizer"]))
             out.frames["null_status"] = I.unsettled(nulls)
         else:
-            nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blocks, colmap, n_perms, cfg["seed"]), colmap, d))
+            nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blocks, colmap, n_perms, I.seeded(cfg["seed"])), colmap, d))
         p, ci = I.permutation_test(fits, nulls, colmap)
         out.frames["ptest"], out.frames["ptest_ci"] = p, ci
         out.frames["significance"] = EV.significance_rollup(p, MODEL)

@@ -179,12 +179,45 @@ def design_column_stats(spark, sf):
 
 
 @query(with_events(SQL_GRID + SQL_STREAMS + """
-, c AS (SELECT stream, bin, count(*) AS n FROM st GROUP BY 1, 2)
-SELECT * FROM (SELECT stream, bin, n - 2 * lead(n, 1) OVER w + lead(n, 2) OVER w AS d2 FROM c WINDOW w AS (PARTITION BY stream ORDER BY bin)) WHERE d2 IS NOT NULL"""))
+, g AS (SELECT session_id, stream, unnest(range(n_bins)) AS bin FROM (SELECT DISTINCT session_id, stream FROM st) JOIN sizes USING (session_id)),
+c AS (SELECT g.session_id, g.stream, g.bin, count(st.bin) AS n FROM g LEFT JOIN st ON st.session_id = g.session_id AND st.stream = g.stream AND st.bin = g.bin
+  GROUP BY 1, 2, 3)
+SELECT session_id, stream, bin, d2 FROM (SELECT session_id, stream, bin, n + lead(n, 1) OVER w + lead(n, 2) OVER w AS hit,
+    (n - 2 * lead(n, 1) OVER w + lead(n, 2) OVER w)::DOUBLE AS d2
+  FROM c WINDOW w AS (PARTITION BY session_id, stream ORDER BY bin)) WHERE hit > 0"""))
 def second_difference(spark, sf):
-    """Curvature of each stream's occupancy over the grid (one row per bin)."""
-    c = impulses(spark, sf).groupBy("stream", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return O.second_difference(c, ["stream"], "bin", "n").select("stream", "bin", "d2")
+    """Curvature of each stream's occupancy over the grid; bins without an impulse count as zero."""
+    c = impulses(spark, sf).withColumn("n", F.lit(1.0)).join(sizes(spark, sf), "session_id")
+    return O.second_difference(c, ["session_id", "stream"], "bin", "n", F.col("n_bins"))
+
+
+# Raw kernels of eight lags: a block per stream, each with its own lambda.
+RAW_LAGS = 8
+RAW_MAP = B.ColumnMap(
+    [B.Block("intercept", "intercept", 0, 1)]
+    + [B.Block(name, "lagged", 1 + RAW_LAGS * i, RAW_LAGS, 0, RAW_LAGS - 1) for i, name in enumerate(["heard_addressed", "heard_overheard", "heard_any", *CONTEXT_STREAMS])],
+    DT,
+    "spikes",
+)
+RAW_LAMBDA = {"heard": 4.0, "produced": 0.25}
+
+
+@query(with_events(SQL_GRID + SQL_STREAMS + SQL_COUNTS + """,
+h AS (SELECT session_id, stream, yy.bin - st.bin AS lag, sum(y) AS w FROM st JOIN yy USING (session_id)
+  WHERE yy.bin - st.bin BETWEEN 0 AND 7 AND stream <> 'produced_any' GROUP BY 1, 2, 3),
+k AS (SELECT e.session_id, e.stream, l.lag, coalesce(w, 0.0) AS w FROM (SELECT DISTINCT session_id, stream FROM h) e
+  CROSS JOIN (SELECT unnest(range(8)) AS lag) l LEFT JOIN h ON h.session_id = e.session_id AND h.stream = e.stream AND h.lag = l.lag)
+SELECT session_id, stream AS block, round(sum(CASE WHEN stream LIKE 'heard%' THEN 4.0 ELSE 0.25 END * d * d), 6) AS energy FROM (
+  SELECT session_id, stream, w - 2 * lead(w, 1) OVER v + lead(w, 2) OVER v AS d
+  FROM k WINDOW v AS (PARTITION BY session_id, stream ORDER BY lag)) WHERE d IS NOT NULL GROUP BY 1, 2"""))
+def penalty_rows(spark, sf):
+    """Smoothness penalty of each session's raw event-to-spike kernels, block by block."""
+    z = impulses(spark, sf).filter(F.col("stream").isin([b.name for b in RAW_MAP.lagged])).withColumn("val", F.lit(1.0))
+    hits = X.lag_block(z, 0, RAW_LAGS - 1, ["session_id", "stream"]).join(response(spark, sf), ["session_id", "bin"])
+    first = F.create_map(*[x for b in RAW_MAP.lagged for x in (F.lit(b.name), F.lit(b.first))])
+    w = hits.groupBy(*KEYS, (F.element_at(first, F.col("stream")) + F.col("lag")).alias("col")).agg(F.sum("y").alias("w"))
+    energy = O.penalty_energy(w, B.penalty_rows(spark, RAW_MAP, None, RAW_LAMBDA))
+    return rounded(energy.select("session_id", "block", "energy"), "energy")
 
 
 # ---- statistics --------------------------------------------------------------
@@ -246,6 +279,17 @@ def xty(spark, sf):
     return rounded(M.cross_entries(coo(spark, sf), response(spark, sf), KEYS).drop("model_id"), "xty")
 
 
+@query(with_events(SQL_COO + """,
+sh AS (SELECT session_id, n_bins, p AS perm, (p * 37 + 5) % n_bins + 1 AS k FROM sizes, (SELECT unnest(range(20)) AS p))
+SELECT c.session_id, CAST(sh.perm AS INTEGER) AS perm, c.col, round(sum(c.val * yy.y), 6) AS xty FROM cell c JOIN sh ON sh.session_id = c.session_id
+JOIN yy ON yy.session_id = c.session_id AND yy.bin = (c.bin - sh.k + sh.n_bins) % sh.n_bins GROUP BY 1, 2, 3 HAVING abs(sum(c.val * yy.y)) > 1e-6"""))
+def shifted_xty(spark, sf):
+    """X'y of responses under twenty circular shifts, as the permutation refits read it."""
+    moved = I.all_shifted_cross(blocks(spark, sf), COLMAP, 20, lambda perm, n: (perm * 37 + 5) % n + 1)
+    each = moved.select("session_id", "perm", F.posexplode("b").alias("col", "xty"))
+    return rounded(each.filter(F.abs("xty") > 1e-6), "xty")
+
+
 @query(with_events(SQL_GRID + """
 SELECT session_id, bin, CAST(ntile(5) OVER (PARTITION BY session_id ORDER BY bin) - 1 AS INTEGER) AS fold
 FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes)"""))
@@ -454,7 +498,7 @@ def permutation_test_gauss(spark, sf):
     blk = materialize(blocks(spark, sf))
     mom = materialize(M.fold_moments(blk, COLMAP))
     fits = materialize(FT.gauss_cv_fit(mom, COLMAP, d, LAMBDAS)[0])
-    nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blk, COLMAP, C.N_PERMUTATIONS, CFG["seed"]), COLMAP, d))
+    nulls = materialize(I.gauss_nulls(fits, I.all_shifted_cross(blk, COLMAP, C.N_PERMUTATIONS, I.seeded(CFG["seed"])), COLMAP, d))
     return _verdicts(*I.permutation_test(fits, nulls, COLMAP))
 
 
@@ -464,7 +508,7 @@ def permutation_test_poisson(spark, sf):
     d, _ = B.smoothness_penalty(COLMAP, CFG)
     (fits, _), blk = _poisson(spark, sf)
     fits = materialize(fits.select(*KEYS, "lam", F.col("w_best").alias("w")))
-    cross = I.all_shifted_cross(blk, COLMAP, C.N_PERMUTATIONS, CFG["seed"])
+    cross = I.all_shifted_cross(blk, COLMAP, C.N_PERMUTATIONS, I.seeded(CFG["seed"]))
     nulls = materialize(I.poisson_nulls(blk, cross, fits.drop("w"), COLMAP, d, CFG["optimizer"]))
     return _verdicts(*I.permutation_test(fits, nulls, COLMAP)).join(I.unsettled(nulls), KEYS)
 
@@ -794,10 +838,7 @@ g AS (SELECT session_id, channel_id, j, (sum(v) OVER w + (5 - count(*) OVER w) *
 SELECT session_id, channel_id, j - 12 AS sample_idx, round(v, 6) AS v FROM g WHERE j BETWEEN 12 AND 75""")
 def envelope_smoothing(spark, sf):
     """Forward-backward box of five samples with reflected ends."""
-    import numpy as np
-
-    out = D.filtfilt(T.signal(spark, sf), signal_meta(spark, sf), np.ones(5) / 5, np.array([1.0]))
-    return rounded(out, "v")
+    return rounded(D.box_filtfilt(T.signal(spark, sf), signal_meta(spark, sf), 5), "v")
 
 
 @query()

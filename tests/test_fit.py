@@ -262,7 +262,7 @@ def test_shifted_refits(spark):
     n = len(y)
     perms = spark.range(4).select(F.lit(1).cast("bigint").alias("s"), F.lit("n0").alias("m"), F.col("id").cast("int").alias("perm"))
     shift = {r["perm"]: r["k"] for r in perms.select("perm", I.shift_of(F.col("s"), F.col("m"), F.col("perm"), F.lit(n).cast("bigint"), 42).alias("k")).collect()}
-    cross = materialize(I.all_shifted_cross(blocks, cm, 4, 42))
+    cross = materialize(I.all_shifted_cross(blocks, cm, 4, I.seeded(42)))
     rows = cross.collect()
     assert sorted(r["perm"] for r in rows) == [0, 1, 2, 3]
     for r in rows:

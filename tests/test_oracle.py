@@ -11,6 +11,7 @@ NAMES = [
     "timebase_extent", "spike_edge_rule", "call_type_canonical", "bout_collapse", "heard_proximity", "produced_context",
     "onset_streams", "state_segments", "basis_projection", "standardized_gram", "fold_gram_blocks", "poisson_grad_at_w",
     "unpack_kernel", "psth_counts", "rate_smooth_decimate", "hilbert_transform", "envelope_smoothing", "percentile_ci",
+    "second_difference", "penalty_rows", "shifted_xty",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")

@@ -11,8 +11,12 @@ chunk) is one summary row per chunk, carried on over the chunks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DEFAULT_CHUNK_S = 120.0
 SLACK_S = 1e-6
@@ -174,53 +178,93 @@ def prefix_rank(df: DataFrame, keys: list[str], order: str, block: Column) -> Da
     )
 
 
-def reach_closure(seeds: DataFrame, links: DataFrame, keys: list[str], materialize) -> DataFrame:
-    """Nodes reachable from ``seeds`` (keys, node) over ``links`` (keys, node, nxt).
+def _by_chunk(rows: DataFrame, keys: list[str], chunk_s: float, fold: Callable[[pd.DataFrame], pd.DataFrame], out: list[str]) -> DataFrame:
+    """``fold`` over the rows of each (keys, chunk of ``node``) in node order; ``out`` names columns of ``rows`` to give back."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        done = fold(pdf.sort_values("node"))
+        return done.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *out]]
+
+    schema = StructType([rows.schema[c] for c in (*keys, *out)])
+    return rows.withColumn("chunk", chunk_of(F.col("node"), chunk_s)).groupBy(*keys, "chunk").applyInPandas(run, schema)
+
 
-    Each node has at most one successor, so jumping twice as far every round
-    needs log2(longest chain) rounds.
+def _exits(pdf: pd.DataFrame) -> list[tuple[float, float]]:
+    """(largest end, first node in another chunk or NaN) along the chain of each row, last row first."""
+    seen: dict[float, tuple[float, float]] = {}
+    inside = set(pdf.node)
+    for node, nxt, end in zip(pdf.node[::-1], pdf.nxt[::-1], pdf.end[::-1]):
+        if nxt in inside:
+            far, leaves = seen[nxt]
+            seen[node] = (max(end, far), leaves)
+        else:
+            seen[node] = (end, nxt)
+    return [seen[node] for node in pdf.node]
+
+
+def reach_closure(seeds: DataFrame, links: DataFrame, keys: list[str], materialize, chunk_s: float = DEFAULT_CHUNK_S) -> DataFrame:
+    """Nodes reachable from ``seeds`` (keys, node) over ``links`` (keys, node, nxt), which lead to later nodes.
+
+    Chains are followed inside their chunk first. Only nodes at which one enters
+    another chunk go through pointer jumping, log2(chunks a chain runs through)
+    rounds; without such nodes there is no round.
     """
-    reached = materialize(seeds.select(*keys, "node"))
-    jumps = materialize(links.select(*keys, "node", "nxt"))
-    while True:
-        found = reached.join(jumps, [*keys, "node"]).select(*keys, F.col("nxt").alias("node"))
-        grown = materialize(reached.unionByName(found).distinct())
+    found = seeds.select(*keys, "node").withColumn("seed", F.lit(True))
+    ends = links.select(*keys, F.col("nxt").alias("node"))
+    start = found.unionByName(links.select(*keys, "node", "nxt"), allowMissingColumns=True)
+    start = start.unionByName(ends, allowMissingColumns=True).groupBy(*keys, "node").agg(
+        F.max("nxt").alias("nxt"), F.coalesce(F.max("seed"), F.lit(False)).alias("seed")
+    )
+    start = materialize(start)
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(nxt=[leaves for _, leaves in _exits(pdf.assign(end=0.0))])
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        reached = set(pdf.node[pdf.seed])
+        for node, nxt in zip(pdf.node, pdf.nxt):
+            if node in reached:
+                reached.add(nxt)
+        return pdf[pdf.node.isin(reached)]
+
+    left = materialize(_by_chunk(start, keys, chunk_s, leave, ["node", "nxt", "seed"]).filter("nxt IS NOT NULL AND NOT isnan(nxt)"))
+    entries = left.select(*keys, F.col("nxt").alias("node")).distinct()
+    reached = materialize(left.filter("seed").select(*keys, F.col("nxt").alias("node")).distinct())
+    jumps = materialize(left.select(*keys, "node", "nxt").join(entries, [*keys, "node"], "left_semi"))
+    while not reached.isEmpty() and not jumps.isEmpty():
+        further = reached.join(jumps, [*keys, "node"]).select(*keys, F.col("nxt").alias("node"))
         hop = jumps.select(*keys, F.col("node").alias("nxt"), F.col("nxt").alias("_n2"))
-        further = materialize(jumps.join(hop, [*keys, "nxt"]).select(*keys, "node", F.col("_n2").alias("nxt")))
-        reached, jumps = grown, further
-        if jumps.isEmpty():
-            return reached
+        reached = materialize(reached.unionByName(further).distinct())
+        jumps = materialize(jumps.join(hop, [*keys, "nxt"]).select(*keys, "node", F.col("_n2").alias("nxt")))
+    entered = reached.withColumn("_in", F.lit(True))
+    known = start.join(entered, [*keys, "node"], "left").withColumn("seed", F.col("seed") | F.coalesce("_in", F.lit(False)))
+    return _by_chunk(known.drop("_in"), keys, chunk_s, follow, ["node"])
 
 
-def chain_ends(nodes: DataFrame, links: DataFrame, keys: list[str], materialize) -> DataFrame:
+def chain_ends(nodes: DataFrame, links: DataFrame, keys: list[str], materialize, chunk_s: float = DEFAULT_CHUNK_S) -> DataFrame:
     """Largest ``end`` along each node's chain: (keys, node, end).
 
-    ``nodes`` has (keys, node, end), ``links`` (keys, node, nxt). Pointer
-    jumping over linked nodes only: after round i every open pointer spans
-    2**i links. Nodes without a link keep their own end.
+    ``nodes`` has (keys, node, end), ``links`` (keys, node, nxt) to later nodes.
+    Chains are folded inside their chunk first; pointer jumping runs over the
+    nodes at which one enters another chunk, and not at all without such nodes.
     """
-    after = nodes.select(*keys, F.col("node").alias("nxt"), F.col("end").alias("_end2"))
-    table = materialize(
-        links.join(nodes, [*keys, "node"])
-        .join(after, [*keys, "nxt"])
-        .select(*keys, "node", "nxt", F.greatest("end", "_end2").alias("end"))
-    )
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends, leaves = zip(*_exits(pdf), strict=True)
+        return pdf.assign(end=ends, nxt=leaves)
+
+    linked = nodes.select(*keys, "node", "end").join(links.select(*keys, "node", "nxt"), [*keys, "node"], "left")
+    folded = _by_chunk(linked, keys, chunk_s, fold, ["node", "nxt", "end"])
+    folded = materialize(folded.withColumn("nxt", F.when(~F.isnan("nxt"), F.col("nxt"))))
+    entries = folded.filter(F.col("nxt").isNotNull()).select(*keys, F.col("nxt").alias("node")).distinct()
+    # A row covers the chain from its node up to ``nxt``, which it leaves out.
+    table = materialize(folded.join(entries, [*keys, "node"], "left_semi"))
     while not table.filter(F.col("nxt").isNotNull()).isEmpty():
-        target = table.select(
-            *keys,
-            F.col("node").alias("nxt"),
-            F.col("nxt").alias("_nxt2"),
-            F.col("end").alias("_end2"),
-        )
+        target = table.select(*keys, F.col("node").alias("nxt"), F.col("nxt").alias("_nxt2"), F.col("end").alias("_end2"))
         open_ = table.filter(F.col("nxt").isNotNull())
         jumped = open_.join(target, [*keys, "nxt"], "left").select(
-            *keys,
-            "node",
-            F.col("_nxt2").alias("nxt"),
-            F.greatest("end", "_end2").alias("end"),
+            *keys, "node", F.col("_nxt2").alias("nxt"), F.greatest("end", "_end2").alias("end")
         )
         table = materialize(table.filter(F.col("nxt").isNull()).unionByName(jumped))
-    far = table.select(*keys, "node", F.col("end").alias("_far"))
-    return nodes.join(far, [*keys, "node"], "left").select(
-        *keys, "node", F.coalesce("_far", "end").alias("end")
-    )
+    far = table.select(*keys, F.col("node").alias("nxt"), F.col("end").alias("_far"))
+    return folded.join(far, [*keys, "nxt"], "left").select(*keys, "node", F.greatest("end", "_far").alias("end"))

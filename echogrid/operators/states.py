@@ -140,7 +140,7 @@ def conversation_intervals(
     seeds = chain_starts(sequences, heard, response_s, hop_s, chunk_s)
     links = reply_links(sequences, heard, response_s, chunk_s)
     nodes = sequences.select("session_id", F.col("p_on").alias("node"), F.col("p_off").alias("end"))
-    ends = chain_ends(nodes, links.withColumnRenamed("p_on", "node"), KEYS, materialize)
+    ends = chain_ends(nodes, links.withColumnRenamed("p_on", "node"), KEYS, materialize, chunk_s)
     return seeds.join(ends, (seeds.session_id == ends.session_id) & (seeds.p_on == ends.node)).select(
         seeds.session_id, F.col("c_on").alias("t_on"), F.col("end").alias("t_off")
     )

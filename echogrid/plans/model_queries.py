@@ -18,10 +18,11 @@ from echogrid.operators import objective as O
 from echogrid.operators import psth as P
 from echogrid.operators import scan
 from echogrid.operators import smooth as SM
+from echogrid.operators import states as ST
 from echogrid.operators import streams as S
 from echogrid.plans import plotdata as PD
 from echogrid.plans import tables as T
-from echogrid.plans.event_queries import CHUNK, DT, SQL_CONTEXT, SQL_GRID, SQL_STREAMS, sizes, with_events
+from echogrid.plans.event_queries import CHUNK, DT, SQL_CONTEXT, SQL_GRID, SQL_STATES, SQL_STREAMS, sizes, with_events
 from echogrid.runtime import materialize
 from echogrid.schema import CONTEXT_STREAMS
 
@@ -257,6 +258,32 @@ def fold_gram_blocks(spark, sf):
     return rounded(each.select("session_id", "fold", "c.i", "c.j", "c.g").filter(F.abs("g") > 1e-9), "g")
 
 
+FULL_MAP = B.column_map(C.merge(CFG, {"exclude_predictors": []}), CONTEXT_STREAMS)
+
+
+@query(with_events(SQL_COO + SQL_STATES.removeprefix(SQL_GRID) + """,
+bins AS (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes),
+kept AS (SELECT session_id, bin, CAST(ntile(""" + str(KF) + """) OVER (PARTITION BY session_id ORDER BY bin) - 1 AS INTEGER) AS fold
+  FROM bins ANTI JOIN (SELECT session_id, bin FROM st WHERE stream = 'produced_any') USING (session_id, bin)),
+wide AS (
+  SELECT session_id, bin, CASE WHEN col < 15 THEN col + 1 ELSE col + 3 END AS col, val FROM cell
+  UNION ALL SELECT session_id, bin, 0, 1.0 FROM bins
+  UNION ALL SELECT session_id, bin, CASE WHEN convo THEN 16 ELSE 17 END, 1.0 FROM sb),
+w AS (SELECT session_id, fold, bin, CAST(col AS INTEGER) AS col, val FROM wide JOIN kept USING (session_id, bin))
+SELECT a.session_id, a.fold, a.col AS i, b.col AS j, round(sum(a.val * b.val), 6) AS g FROM w a
+JOIN w b ON a.session_id = b.session_id AND a.bin = b.bin AND a.col <= b.col
+WHERE a.session_id IN (SELECT session_id FROM yy) GROUP BY 1, 2, 3, 4 HAVING abs(sum(a.val * b.val)) > 1e-9"""))
+def masked_fold_gram(spark, sf):
+    """Gram per fold of the whole layout, intercept and states too, over retained bins; bins with a produced onset play the masked ones."""
+    n, z, p = sizes(spark, sf), impulses(spark, sf), FULL_MAP.p
+    bad = z.filter("stream = 'produced_any'").select("session_id", "bin")
+    spans = ST.conversation_bins(T.events(spark, sf), n, DT, 5.0, 5.0, CHUNK)
+    blk = X.design_blocks(z, response(spark, sf), n, FULL_MAP, KF, spans, bad)
+    tri = F.slice("vec", 4 + 2 * p, M.packed_size(p))
+    each = M.fold_moments(blk, FULL_MAP).select("session_id", "fold", F.explode(_upper(tri, p)).alias("c"))
+    return rounded(each.select("session_id", "fold", "c.i", "c.j", "c.g").filter(F.abs("g") > 1e-9), "g")
+
+
 @query(with_events(SQL_COO + """
 , s AS (SELECT session_id, col, sum(val) / any_value(n_bins) AS m, any_value(n_bins) AS n,
     sqrt((sum(val * val) - sum(val) * sum(val) / any_value(n_bins)) / (any_value(n_bins) - 1)) AS sd

@@ -212,7 +212,8 @@ def collapse_bouts(
     A bout runs from its first onset; the next target onset more than
     ``window_s`` after that start opens a new one. Onsets whose predecessor is
     farther than the window always open a bout; from those the bout starts are
-    found by following "first onset beyond start + window" links.
+    found by following "first onset beyond start + window" links, doubling the
+    jump every round.
     """
     w_s = F.lit(float(window_s))
     t = F.col("t_on")
@@ -245,7 +246,7 @@ def collapse_bouts(
         .filter(F.col("match").isNotNull())
         .select("session_id", t.alias("node"), F.col("match.r_on").alias("nxt"))
     )
-    starts = reach_closure(heads, links, ["session_id"], materialize, chunk_s)
+    starts = reach_closure(heads, links, ["session_id"], materialize)
     kept = (
         hits.groupBy("session_id", "t_on")
         .agg(F.min_by(F.struct(*[F.col(c) for c in events.columns]), "ev_ord").alias("_e"))

@@ -120,38 +120,6 @@ def test_asof_without_reach(spark):
         assert got == {v: max((x for x in right if x < v or (x == v and not strict)), default=None) for v in left}
 
 
-@pytest.mark.parametrize("chunk", [5.0, 60.0, 1e6])
-def test_chains(spark, chunk):
-    rng = np.random.default_rng(10)
-    at = sorted(set(rng.uniform(0, 500, 200).round(1).tolist()))
-    ends = {v: v + float(rng.uniform(0, 90)) for v in at}
-    nxt = {v: at[min(i + int(rng.integers(1, 9)), len(at) - 1)] for i, v in enumerate(at[:-1]) if rng.random() < 0.8}
-    seeds = [v for v in at if rng.random() < 0.05]
-    nodes = spark.createDataFrame([(s, v, e) for s in (1, 2) for v, e in ends.items()], "s bigint, node double, end double")
-    links = spark.createDataFrame([(1, a, b) for a, b in nxt.items()], "s bigint, node double, nxt double")
-
-    def chain(v):
-        out = [v]
-        while out[-1] in nxt:
-            out.append(nxt[out[-1]])
-        return out
-
-    rounds = []
-
-    def counted(df):
-        rounds.append(1)
-        return materialize(df)
-
-    got = {(r["s"], r["node"]): r["end"] for r in scan.chain_ends(nodes, links, ["s"], counted, chunk).collect()}
-    assert got == {(s, v): max(ends[x] for x in chain(v)) if s == 1 else ends[v] for s in (1, 2) for v in at}
-    assert chunk < 1e6 or len(rounds) == 2
-    heads = spark.createDataFrame([(1, v) for v in seeds], "s bigint, node double")
-    rounds.clear()
-    near = scan.reach_closure(heads, links, ["s"], counted, chunk).collect()
-    assert sorted(r["node"] for r in near) == sorted({x for v in seeds for x in chain(v)})
-    assert chunk < 1e6 or len(rounds) == 4
-
-
 def test_prefix_rank(spark):
     df = spark.range(0, 500).select(F.lit(1).alias("s"), (F.col("id") * 3).alias("bin"))
     got = scan.prefix_rank(df, ["s"], "bin", F.floor(F.col("bin") / 64)).orderBy("bin").collect()

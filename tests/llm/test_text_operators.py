@@ -164,19 +164,18 @@ def test_a_changed_word_does_not_hide_a_passage(spark):
 @pytest.mark.parametrize("others", [3, 60])
 def test_windows_meet_past_the_first_of_a_key(spark, others):
     """Texts 10 and 20 share one context far from the min-hash only, and neither is the first nor the one before."""
-    names = compact_windows._WINDOW.split(", ")
+    blocks = 2 * len(compact_windows.CONTEXTS)
     rows = []
     for k, mark in enumerate([1, 10, 15, 20, *range(30, 27 + others)]):
-        row = [7, mark, 0, 50, 100, *(100 * k + c for c in range(len(names) - 5))]
+        around = [100 * k + c for c in range(blocks)]
         if mark in (10, 20):
-            row[-1] = -1
-            if others < 10:
-                row[-1] = mark
-        rows.append(row)
+            around[-1] = mark if others < 10 else 0xFFFF
+        place = compact_windows.packed(np.array([[0, 50, 100]]), np.array([around]))[0].as_py()
+        rows.append((7, mark, place))
     found = compact_windows._meetings(spark.createDataFrame(rows, compact_windows._WINDOW)).select("a", "b").collect()
     assert (10, 20) in {(r.a, r.b) for r in found}
     if others > 10:
-        assert len(found) <= (len(names) - 3) * len(rows)
+        assert len(found) <= (blocks + 2) * len(rows)
 
 
 def test_compact_windows_cover_every_passage_once():
@@ -188,6 +187,40 @@ def test_compact_windows_cover_every_passage_once():
             assert len(holds) == 1 and values[holds[0]] == values[i : j + 1].min()
 
 
+@pytest.mark.parametrize("kinds", [5, 50, 10**9])
+def test_compact_windows_of_many_texts_equal_a_plain_search(kinds):
+    rng = np.random.default_rng(kinds)
+    for size, least in [(0, 7), (6, 7), (90, 2), (90, 7), (200, 20)]:
+        values, border = rng.integers(0, kinds, size).astype(np.uint64), rng.random(size) < 0.03
+        plain = set()
+        for c in np.flatnonzero(~border):
+            low = high = int(c)
+            while low > 0 and not border[low - 1] and values[low - 1] > values[c]:
+                low -= 1
+            while high + 1 < size and not border[high + 1] and values[high + 1] >= values[c]:
+                high += 1
+            if high - low + 1 >= least:
+                plain.add((low, int(c), high))
+        found = [tuple(w) for w in compact_windows.compact_windows(values, least, border).tolist()]
+        assert len(found) == len(plain) and set(found) == plain
+
+
+def test_windows_of_a_text_do_not_depend_on_its_neighbours(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abcdefgh", k=n)) for n in (60, 300, 51, 49, 400)] + ["same words again " * 60]
+    rows = [(k, text) for k, text in enumerate(texts)]
+    made = lambda some: compact_windows._windows(spark.createDataFrame(some, "mark long, text string").coalesce(1)).collect()
+    apart = [r for row in rows for r in made([row])]
+    assert sorted(made(rows)) == sorted(apart) and {r.mark for r in apart} == {0, 1, 2, 4, 5}
+
+
+def test_long_places_are_packed_whole():
+    for windows in ([[0, 5, 60]], [[65_000, 65_535, 65_536], [1, 2, 3]], [[70_000, 3_000_000, 4_000_000_000]]):
+        data = compact_windows.packed(np.array(windows), np.arange(6 * len(windows)).reshape(-1, 6)).to_pylist()
+        assert [list(compact_windows.unpacked(x))[:3] for x in data] == windows
+        assert [x for p in data for x in compact_windows.unpacked(p)[3:]] == list(range(6 * len(windows)))
+
+
 def test_suffix_dedup_is_byte_exact(docs, rows):
     seen, wanted = set(), {}
     for d, text, *_ in sorted(rows, key=lambda r: r[0]):

@@ -496,7 +496,7 @@ def bin_signal(signal: DataFrame, meta: DataFrame, sizes: DataFrame, dt: float,
     binned = resample_linear(power, meta, sizes, dt, CHANNEL)
     channels = signal.select(*CHANNEL).distinct()
     dense = (
-        grid(sizes, dt).drop("t").join(channels, "session_id")
+        grid(sizes, dt, per=channels).drop("t")
         .join(binned, [*CHANNEL, "bin"], "left")
         .select(*CHANNEL, "bin", F.coalesce("v", F.lit(0.0)).alias("v"))
     )

@@ -74,12 +74,12 @@ def design_coo(
     lagged = colmap.lagged
     if lagged:
         series = impulses.select("session_id", "stream", "bin", F.lit(1.0).alias("val"))
-        shared.append(project_basis(series, taps_frame(spark, lagged), ["session_id"]))
+        shared.append(project_basis(series, taps_frame(spark, lagged), ["session_id"]).join(models, "session_id"))
     icept = colmap.get("intercept")
     if icept is not None:
         shared.append(
-            G.grid(sizes, colmap.dt).select(
-                "session_id", "bin", F.lit(icept.first).alias("col"), F.lit(1.0).alias("val")
+            G.grid(sizes, colmap.dt, per=models).select(
+                "session_id", "model_id", "bin", F.lit(icept.first).alias("col"), F.lit(1.0).alias("val")
             )
         )
     states = colmap.get("states")
@@ -93,14 +93,12 @@ def design_coo(
                 "bin",
                 F.when(F.col("convo"), states.first).when(F.col("spon"), states.first + 1).alias("col"),
                 F.lit(1.0).alias("val"),
-            ).filter(F.col("col").isNotNull())
+            ).filter(F.col("col").isNotNull()).join(models, "session_id")
         )
     out = None
     for part in shared:
-        part = part.select("session_id", "bin", F.col("col").cast("int").alias("col"), "val")
+        part = part.select("session_id", "model_id", "bin", F.col("col").cast("int").alias("col"), "val")
         out = part if out is None else out.unionByName(part)
-    if out is not None:
-        out = out.join(models, "session_id")
     hist = colmap.history
     if hist is not None:
         series = response.filter("y <> 0").select("session_id", "model_id", "bin", F.col("y").cast("double").alias("val"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.functions import numeric as N
+from echogrid.runtime import spread
 from echogrid.schema import InputError
 
 BLOCK_BINS = 2048
@@ -57,17 +58,24 @@ def grid_blocks(sizes: DataFrame, block_bins: int = BLOCK_BINS) -> DataFrame:
     )
 
 
-def grid(sizes: DataFrame, dt: float, block_bins: int = BLOCK_BINS) -> DataFrame:
+def grid(sizes: DataFrame, dt: float, block_bins: int = BLOCK_BINS, per: DataFrame | None = None) -> DataFrame:
     """(session_id, bin, t): t = bin * dt.
 
+    ``per`` has rows by session_id (models, channels, sizes); the grid is then
+    laid out for each of them, with their columns. They meet the blocks, not the
+    bins: a join after expanding would be planned by the size of the blocks and
+    may send all bins to every worker.
+
     Blocks are spread before they are expanded, so one long session is not
     expanded by one task.
     """
     check_dt(dt)
+    blocks, more = grid_blocks(sizes, block_bins), []
+    if per is not None:
+        blocks, more = blocks.join(per, "session_id"), [c for c in per.columns if c != "session_id"]
     return (
-        grid_blocks(sizes, block_bins)
-        .repartition("session_id", "blk")
-        .select("session_id", F.explode(F.sequence("first_bin", "last_bin")).alias("bin"))
+        spread(blocks, "session_id", "blk", *more)
+        .select("session_id", *more, F.explode(F.sequence("first_bin", "last_bin")).alias("bin"))
         .withColumn("t", F.col("bin") * F.lit(float(dt)))
     )
 
@@ -86,8 +94,7 @@ def spike_counts(spikes: DataFrame, sizes: DataFrame, dt: float) -> DataFrame:
 def spike_raster(spikes: DataFrame, sizes: DataFrame, dt: float) -> DataFrame:
     """Spike counts on every grid bin of every neuron, zeros included."""
     neurons = spikes.select("session_id", "neuron_id").distinct()
-    dense = grid(sizes, dt).join(neurons, "session_id")
-    return dense.join(
+    return grid(sizes, dt, per=neurons).join(
         spike_counts(spikes, sizes, dt), ["session_id", "neuron_id", "bin"], "left"
     ).select("session_id", "neuron_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -80,9 +80,9 @@ def weighted_gram(coo: DataFrame, cells: DataFrame, family: str = "poisson") ->
     )
 
 
-def predict_bins(eta: DataFrame, models: DataFrame, grid: DataFrame, link: str = "log") -> DataFrame:
-    """(keys, bin, mu) on every grid bin."""
-    full = grid.select("session_id", "bin").join(models, "session_id").join(eta, [*KEYS, "bin"], "left")
+def predict_bins(eta: DataFrame, grid: DataFrame, link: str = "log") -> DataFrame:
+    """(keys, bin, mu) on every bin of a grid laid out per model."""
+    full = grid.select(*KEYS, "bin").join(eta, [*KEYS, "bin"], "left")
     e = F.coalesce("eta", F.lit(0.0))
     return full.select(*KEYS, "bin", (F.exp(clip_eta(e)) if link == "log" else e).alias("mu"))
 

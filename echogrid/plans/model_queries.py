@@ -322,7 +322,7 @@ SELECT session_id, bin, CAST(ntile(5) OVER (PARTITION BY session_id ORDER BY bin
 FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes)"""))
 def fold_assignment(spark, sf):
     n = sizes(spark, sf)
-    return G.grid(n, DT).join(n, "session_id").select(
+    return G.grid(n, DT, per=n).select(
         "session_id", "bin", X.fold_expr(F.col("bin"), F.col("n_bins"), 5).alias("fold")
     )
 
@@ -400,7 +400,7 @@ LEFT JOIN eta e ON e.session_id = c.session_id AND e.bin = c.bin WHERE c.session
 def predict_rate_at_w(spark, sf):
     eta = O.linear_predictor(coo(spark, sf), weight=fixed_weight())
     models = response(spark, sf).select(*KEYS).distinct()
-    return rounded(O.predict_bins(eta, models, G.grid(sizes(spark, sf), DT)).drop("model_id"), "mu")
+    return rounded(O.predict_bins(eta, G.grid(sizes(spark, sf), DT, per=models)).drop("model_id"), "mu")
 
 
 @query(with_events(SQL_COO + """
@@ -909,9 +909,8 @@ FROM (SELECT session_id, unnest(range(n_bins)) AS bin FROM sizes) c LEFT JOIN ro
 WHERE c.session_id IN (SELECT session_id FROM yy) AND c.bin >= 100 AND c.bin <= 220"""))
 def prediction_window(spark, sf):
     resp = response(spark, sf)
-    mu = O.predict_bins(
-        O.linear_predictor(coo(spark, sf), weight=fixed_weight()), resp.select(*KEYS).distinct(), G.grid(sizes(spark, sf), DT)
-    )
+    cells = G.grid(sizes(spark, sf), DT, per=resp.select(*KEYS).distinct())
+    mu = O.predict_bins(O.linear_predictor(coo(spark, sf), weight=fixed_weight()), cells)
     rates = mu.join(resp, [*KEYS, "bin"], "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
     return rounded(PD.prediction_window(rates, DT, 100.0, 120.0).drop("model_id"), "predicted_hz")
 

@@ -274,3 +274,53 @@ def test_shifted_refits(spark):
     for r in I.gauss_nulls(fits, cross, cm, d).collect():
         want = np.linalg.lstsq(xs.T @ xs + d.T @ d, xs.T @ np.roll(y, shift[r["perm"]]), rcond=1e-12)[0]
         np.testing.assert_allclose(r["w"], want, atol=1e-7)
+
+
+def test_a_stack_of_steps_is_the_step_of_each():
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(9, 12, 5))
+    h = np.einsum("jui,juk->jik", a, a)
+    h[1] -= 20 * np.eye(5)
+    h[2, :, 4] = h[2, 4, :] = 0
+    h[3] = np.ones((5, 5))
+    h[4] = 0
+    g = rng.normal(size=(9, 5))
+    g[2, 4] = 0
+    damp = np.where(np.arange(9) % 2, 0.5, 0.0)
+    dead = np.zeros((9, 5, 5))
+    dead[2, 4, 4] = 1
+    for known in (None, dead):
+        step, promised, used = NT.damped_steps(h, g, damp, known)
+        for i in range(9):
+            one = NT.damped_step(h[i], g[i], float(damp[i]))
+            np.testing.assert_allclose(step[i], one[0], rtol=1e-7, atol=1e-9)
+            assert promised[i] == pytest.approx(one[1], rel=1e-7, abs=1e-9) and used[i] == pytest.approx(one[2])
+
+
+def test_distinct_rows_stand_for_all():
+    x = np.random.default_rng(1).integers(0, 2, (300, 4)).astype(float)
+    rows, place = NT.distinct_rows(x)
+    assert len(rows) == 16
+    np.testing.assert_array_equal(rows[place], x)
+
+
+def test_verdicts_of_several_models_match_the_long_form(spark):
+    cm = B.ColumnMap([B.Block("intercept", "intercept", 0, 1), B.Block("heard_any", "lagged", 1, 2, 0, 2, np.array([[1.0, 0], [0.5, 0.5], [0, 2]])),
+                      B.Block("spike_history", "history", 3, 2, 1, 2)], 1.0, "spikes")
+    rng = np.random.default_rng(5)
+    real = [(s, m, rng.normal(size=5).tolist()) for s in range(3) for m in ("a", "b")]
+    null = [(s, m, i, rng.normal(size=5).tolist()) for s, m, _ in real for i in range(7 + s)]
+    w = spark.createDataFrame(real, "session_id bigint, model_id string, w array<double>")
+    nulls = spark.createDataFrame(null, "session_id bigint, model_id string, perm int, w array<double>")
+    p, ci = I.permutation_test(w, nulls, cm)
+    keys = [*I.MODEL, "block"]
+    long = FT.unpack_kernels(nulls, cm, ["perm"]).filter("block <> 'intercept'")
+    want_p = I.permutation_p(FT.unpack_kernels(w, cm).filter("block <> 'intercept'"), I.null_peaks(long, keys), keys)
+    want_ci = I.percentile_interval(long, [*keys, "pos"], "weight")
+    for got, want, n in ((p, want_p, 3), (ci, want_ci, 4)):
+        a, b = ({tuple(r)[:n]: tuple(r)[n:] for r in df.collect()} for df in (got, want))
+        assert set(a) == set(b) and len(a) == (12 if n == 3 else 30)
+        for k in a:
+            np.testing.assert_allclose(a[k], b[k], atol=1e-12)
+    # Refits meet their model once; no row per lag and refit is shuffled.
+    assert "unpack" not in p._jdf.queryExecution().toString() and "collect_list" not in ci._jdf.queryExecution().toString()

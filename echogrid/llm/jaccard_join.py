@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.llm.common import components, mixed, shingle_hashes, shuffle_partitions, stored, text_or_empty
-from echogrid.runtime import materialize
 
 # Ratio of the sizes at the two ends of a band.
 BAND = 1.6
@@ -248,7 +247,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     Pairs of one ``a`` lie together, its own text first. A frequent ``a`` is
     dealt over several salts, its text sent to each.
     """
-    sizes = materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("long").alias("salts")))
+    sizes = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("long").alias("salts")), "salts")
     salted = (
         pairs.join(sizes, "a")
         .select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
@@ -311,7 +310,7 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
         .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("members") / TILE).cast("long").alias("blocks"))
     )
-    open_rows = labelled.join(materialize(mixed_tiles), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    open_rows = labelled.join(stored(mixed_tiles, "mixed"), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     # A large tile is cut into blocks, and each two blocks meet in a tile of their own.
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key",
@@ -382,32 +381,32 @@ def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    classes = materialize(_classes(rows, rule))
-    reps = materialize(classes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")))
+    classes = stored(_classes(rows, rule), "classes")
+    reps = stored(classes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")), "reps")
     tiles = stored(_tiles(rows, rule), "tiles")
-    first = materialize(tiles.groupBy("sid").agg(F.min("lead").alias("lead")))
+    first = stored(tiles.groupBy("sid").agg(F.min("lead").alias("lead")), "first")
     texts = stored(_texts(rows, reps, first.select("sid"), rule), "texts")
     near = first.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
-    links = materialize(_verified(near, texts, rule))
+    links = stored(_verified(near, texts, rule), "links")
     tested, each = near, PARTNERS
     while True:
-        found = materialize(_cross_pairs(tiles, components(links), texts, rule, each))
-        fresh = materialize(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"))
-        links = materialize(links.union(_verified(fresh, texts, rule)))
-        more = materialize(found.filter("a = b").select(F.col("a").alias("sid")))
+        found = stored(_cross_pairs(tiles, components(links), texts, rule, each), "found")
+        fresh = stored(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        links = stored(links.union(_verified(fresh, texts, rule)), "links")
+        more = stored(found.filter("a = b").select(F.col("a").alias("sid")), "more")
         if more.isEmpty():
             break
         # These sets have more partners in other components than they named: only their tiles are searched again.
         keys = tiles.join(more, "sid", "left_semi").select("key").distinct()
-        tiles = materialize(tiles.join(keys, "key", "left_semi"))
-        tested, each = materialize(tested.union(fresh)), MORE * each
+        tiles = stored(tiles.join(keys, "key", "left_semi"), "tiles")
+        tested, each = stored(tested.union(fresh), "tested"), MORE * each
     labels = components(links).withColumnRenamed("node", "sid")
     settled = reps.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    settled = materialize(settled)
-    least = materialize(settled.groupBy("comp").agg(F.min("rep").alias("component_id")))
-    of_set = settled.join(least, "comp").select("sid", "component_id")
+    settled = stored(settled, "settled")
+    least = stored(settled.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
+    of_set = stored(settled.join(least, "comp").select("sid", "component_id"), "of-set")
     return (
-        classes.join(materialize(of_set), "sid", "left")
+        classes.join(of_set, "sid", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echogrid.runtime import materialize
+from echogrid.runtime import materialize, spread
 from echogrid.schema import InputError
 
 CHANNEL = ["session_id", "channel_id"]
@@ -99,6 +99,7 @@ class LinearFilter:
             state = self.A @ state
         self.step = state
         self.reach = reach
+        self.powers = [np.linalg.matrix_power(self.A, i) for i in range(SUB)]
         lag = np.subtract.outer(np.arange(SUB), np.arange(SUB))
         self.forced = np.where(lag >= 0, pulse[np.clip(lag, 0, SUB - 1)], 0.0)
 
@@ -120,8 +121,7 @@ class LinearFilter:
         if tail:
             xt = x[full * SUB :]
             y[full * SUB :] = self.forced[:tail, :tail] @ xt + self.free[:tail] @ z
-            for v in xt:
-                z = self.A @ z + self.B * v
+            z = self.powers[tail] @ z + self.reach[:, SUB - tail :] @ xt
         return y, z
 
     def advance(self, n: int) -> np.ndarray:
@@ -169,41 +169,60 @@ def _start_states(ends: DataFrame, filt: LinearFilter, backward: bool) -> DataFr
     """
     head = "session_id bigint, channel_id string, "
 
-    def walk(pdf: pd.DataFrame, z: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        starts, powers = [], {}
-        for n, push in zip(pdf.n, pdf.push):
-            starts.append(z)
-            if n not in powers:
-                powers[n] = filt.advance(int(n))
-            z = powers[n] @ z + np.asarray(push, float)
-        return starts, z
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk", ascending=not backward)
-        _, push = walk(pdf, np.zeros(filt.m))
-        first = pdf.iloc[0]
-        return pd.DataFrame(
-            {"session_id": [first.session_id], "channel_id": [first.channel_id], "blk": [first.up], "n": [pdf.n.sum()], "push": [push]}
-        )
+    powers: dict[int, np.ndarray] = {}
+
+    def after(z: np.ndarray, n: int, push: np.ndarray) -> np.ndarray:
+        if n not in powers:
+            powers[n] = filt.advance(int(n))
+        return powers[n] @ z + np.asarray(push, float)
+
+    def runs(rows: DataFrame) -> DataFrame:
+        # Rows of a run in a row: one Python call takes many short channels.
+        order = F.col("blk").desc() if backward else F.col("blk").asc()
+        return spread(rows, *CHANNEL, "up").sortWithinPartitions(*CHANNEL, "up", order)
 
-    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("blk", ascending=not backward)
-        starts, _ = walk(pdf, np.asarray(pdf.z.iloc[0], float))
-        return pd.DataFrame({"session_id": pdf.session_id, "channel_id": pdf.channel_id, "blk": pdf.blk, "z": starts})
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["session_id", "channel_id", "blk", "n", "push"])
+
+        key, n, z = None, 0, np.zeros(filt.m)
+        for pdf in batches:
+            done = []
+            for *of, size, push in zip(pdf.session_id, pdf.channel_id, pdf.up, pdf.n, pdf.push):
+                if of != key:
+                    if key is not None:
+                        done.append((*key, n, z))
+                    key, n, z = of, 0, np.zeros(filt.m)
+                n, z = n + size, after(z, size, push)
+            yield frame(done)
+        if key is not None:
+            yield frame([(*key, n, z)])
+
+    def hand_down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, z = None, np.zeros(filt.m)
+        for pdf in batches:
+            starts = []
+            for *of, size, push, first in zip(pdf.session_id, pdf.channel_id, pdf.up, pdf.n, pdf.push, pdf.z):
+                if of != key:
+                    key, z = of, np.asarray(first, float)
+                starts.append(z)
+                z = after(z, size, push)
+            yield pd.DataFrame({"session_id": pdf.session_id, "channel_id": pdf.channel_id, "blk": pdf.blk, "z": starts})
 
     up = F.floor(F.col("blk") / F.lit(FAN))
-    levels = [ends.select(*CHANNEL, "blk", F.col("n").cast("bigint").alias("n"), "push")]
+    named = F.col("session_id").isNotNull() & F.col("channel_id").isNotNull()  # others match no state
+    levels = [ends.filter(named).select(*CHANNEL, "blk", F.col("n").cast("bigint").alias("n"), "push")]
     most = int(ends.agg(F.max("blk")).first()[0] or 0)
     while most >= FAN:
-        groups = levels[-1].withColumn("up", up).groupBy(*CHANNEL, "up")
-        levels.append(groups.applyInPandas(compose, head + "blk bigint, n bigint, push array<double>"))
+        groups = runs(levels[-1].withColumn("up", up)).select(*CHANNEL, "up", "n", "push")
+        levels.append(groups.mapInPandas(compose, head + "blk bigint, n bigint, push array<double>"))
         most //= FAN
     edge = F.max_by("edge", "blk") if backward else F.min_by("edge", "blk")
     rest = F.transform(F.array(*[F.lit(float(v)) for v in filt.rest]), lambda v: v * F.col("edge"))
     above = ends.groupBy(*CHANNEL).agg(edge.alias("edge")).select(*CHANNEL, F.lit(0).cast("bigint").alias("up"), rest.alias("z"))
     for level in reversed(levels):
-        groups = level.withColumn("up", up).join(above, [*CHANNEL, "up"]).groupBy(*CHANNEL, "up")
-        starts = groups.applyInPandas(hand_down, head + "blk bigint, z array<double>")
+        groups = runs(level.withColumn("up", up).join(above, [*CHANNEL, "up"]))
+        starts = groups.mapInPandas(hand_down, head + "blk bigint, z array<double>")
         above = starts.withColumnRenamed("blk", "up")
     return starts
 

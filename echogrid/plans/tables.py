@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echogrid.runtime import parts_for
+
 US_PER_UNIT = 3_600_000_000.0
 
 # Same mapping for the SQL oracle.
@@ -35,6 +37,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def partitions(spark: SparkSession, sf_dir: str, name: str = "events", each: int = 50_000) -> int:
+    """Partitions for rows expanded from a table; its rows are counted from the file footers."""
+    return parts_for(spark, read(spark, sf_dir, name).count(), each)
+
+
 def micros(ts: str) -> F.Column:
     """Microseconds since 2024-01-01 from calendar fields (no time zone involved)."""
     return F.expr(

@@ -10,7 +10,7 @@ from echogrid.functions import numeric as N
 from echogrid.operators import events as E
 from echogrid.operators import grid as G
 from echogrid.operators.scan import DEFAULT_CHUNK_S, asof_join, chain_ends, merge_islands
-from echogrid.runtime import materialize
+from echogrid.runtime import materialize, spread
 from echogrid.schema import HEARD, PRODUCED
 
 KEYS = ["session_id"]
@@ -167,15 +167,33 @@ def conversation_bins(
 
 
 def compute_states(convo_spans: DataFrame, sizes: DataFrame, dt: float, bad: DataFrame | None = None) -> DataFrame:
-    """(session_id, bin, convo, spon) on the full grid, gated by the mask."""
-    hit = G.expand_bins(convo_spans).withColumn("_c", F.lit(True))
-    cells = G.with_mask(G.grid(sizes, dt).drop("t"), bad)
-    raw = F.coalesce("_c", F.lit(False))
-    return cells.join(hit, ["session_id", "bin"], "left").select(
+    """(session_id, bin, convo, spon) on the full grid, gated by the mask.
+
+    Blocks of the grid meet the spans that reach them before bins are laid out,
+    so no bin is shuffled.
+    """
+    G.check_dt(dt)
+    b = F.lit(G.BLOCK_BINS)
+    reach = F.sequence(F.floor(F.col("first_bin") / b), F.floor(F.col("last_bin") / b))
+    spans = (
+        convo_spans.select("session_id", F.explode(reach).alias("blk"), F.struct("first_bin", "last_bin").alias("_s"))
+        .groupBy("session_id", "blk")
+        .agg(F.collect_set("_s").alias("_spans"))
+    )
+    blocks = spread(G.grid_blocks(sizes).join(spans, ["session_id", "blk"], "left"), "session_id", "blk")
+    covered = F.transform(
+        F.sequence("first_bin", "last_bin"),
+        lambda x: F.struct(
+            x.alias("bin"),
+            F.coalesce(F.exists("_spans", lambda s: (s["first_bin"] <= x) & (x <= s["last_bin"])), F.lit(False)).alias("raw"),
+        ),
+    )
+    cells = G.with_mask(blocks.select("session_id", F.inline(covered)), bad)
+    return cells.select(
         "session_id",
         "bin",
-        (raw & F.col("good")).alias("convo"),
-        (~raw & F.col("good")).alias("spon"),
+        (F.col("raw") & F.col("good")).alias("convo"),
+        (~F.col("raw") & F.col("good")).alias("spon"),
     )
 
 
@@ -196,12 +214,27 @@ def merge_bin_spans(spans: DataFrame, keys: list[str], chunk_bins: int = G.BLOCK
 def run_length_segments(labelled: DataFrame, dt: float) -> DataFrame:
     """Segments of equal consecutive labels from (session_id, bin, state) rows.
 
-    Bins without a row break runs.
+    Bins without a row break runs. Bins are gathered as words of 64 bits, whose
+    runs are merged: a word is added up before it moves.
     """
-    cells = labelled.filter(F.col("state").isNotNull()).select(
-        "session_id", "state", F.col("bin").alias("first_bin"), F.col("bin").alias("last_bin")
+    words = (
+        labelled.filter(F.col("state").isNotNull())
+        .groupBy("session_id", "state", F.floor(F.col("bin") / F.lit(64)).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bin, 64) as int)))").alias("m"))
+    )
+    places = "filter(sequence(0, 63), i -> bit_get(m & ~{}(m, 1), i) = 1)"
+    runs = words.select(
+        "session_id",
+        "state",
+        "word",
+        F.explode(F.arrays_zip(F.expr(places.format("shiftleft")).alias("a"), F.expr(places.format("shiftrightunsigned")).alias("z"))).alias("r"),
+    ).select(
+        "session_id",
+        "state",
+        (F.col("word") * 64 + F.col("r.a")).alias("first_bin"),
+        (F.col("word") * 64 + F.col("r.z")).alias("last_bin"),
     )
-    return segment_times(merge_bin_spans(cells, ["session_id", "state"]), dt)
+    return segment_times(merge_bin_spans(runs, ["session_id", "state"]), dt)
 
 
 def complement_spans(spans: DataFrame, sizes: DataFrame, block_bins: int = G.BLOCK_BINS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echogrid.functions import numeric as N
 from echogrid.operators.scan import DEFAULT_CHUNK_S, chunk_of, emit_to_chunks
+from echogrid.runtime import spread
 from echogrid.schema import InputError
 
 
@@ -35,12 +36,15 @@ def align_spikes(
     bin_size: float,
     keep: list[str] | None = None,
     chunk_s: float = DEFAULT_CHUNK_S,
+    parts: int | None = None,
 ) -> DataFrame:
     """Counts per (session, neuron, event, peri-event bin), zeros included.
 
     Instead of pairing events with spikes, every bin edge of every event looks
     up how many spikes precede it in its chunk; a bin is the difference of two
-    edges. Work is events x edges + spikes however dense a session is.
+    edges. Work is events x edges + spikes however dense a session is. Edges and
+    counts are dealt over ``parts`` partitions; events are spread before they
+    are expanded, and counts are added up in a chunk before they move.
     """
     keep = keep or []
     edges = peri_edges(window, bin_size)
@@ -53,7 +57,7 @@ def align_spikes(
         "session_id", "neuron_id", "chunk", F.col("t").alias("_k"), F.lit(0).alias("_side"), "t", "m"
     )
     start = F.col("t_on") + F.lit(edges[0])
-    ask = events.join(neurons, "session_id").select(
+    ask = spread(events.join(neurons, "session_id"), "session_id", "neuron_id", "ev_ord", parts=parts).select(
         "session_id",
         "neuron_id",
         "ev_ord",
@@ -70,7 +74,7 @@ def align_spikes(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = (
-        rows.unionByName(ask, allowMissingColumns=True)
+        spread(rows.unionByName(ask, allowMissingColumns=True), "session_id", "neuron_id", "chunk", parts=parts)
         .withColumn("_c", F.coalesce(F.sum("m").over(w), F.lit(0)))
         .withColumn("_near", F.last(F.when(F.col("m").isNotNull(), F.struct("t", "m")), ignorenulls=True).over(w))
         .filter(F.col("edge").isNotNull())
@@ -83,6 +87,7 @@ def align_spikes(
     signed = found.select(
         "session_id",
         "neuron_id",
+        "chunk",
         "ev_ord",
         *keep,
         F.explode(
@@ -92,8 +97,11 @@ def align_spikes(
             )
         ).alias("s"),
     ).filter((F.col("s.b") >= 0) & (F.col("s.b") < n_bins))
-    return signed.groupBy("session_id", "neuron_id", "ev_ord", *keep, F.col("s.b").alias("bin")).agg(
-        F.sum("s.v").alias("n")
+    local = signed.groupBy("session_id", "neuron_id", "chunk", "ev_ord", *keep, F.col("s.b").alias("bin")).agg(F.sum("s.v").alias("n"))
+    return (
+        spread(local, "session_id", "neuron_id", "ev_ord", parts=parts)
+        .groupBy("session_id", "neuron_id", "ev_ord", *keep, "bin")
+        .agg(F.sum("n").alias("n"))
     )
 
 

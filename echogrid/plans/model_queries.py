@@ -681,7 +681,7 @@ cnt AS (
 
 
 def peri_counts(spark, sf):
-    return P.align_spikes(T.spikes(spark, sf), T.events(spark, sf), WINDOW, BIN, ["kind"], CHUNK)
+    return P.align_spikes(T.spikes(spark, sf), T.events(spark, sf), WINDOW, BIN, ["kind"], CHUNK, T.partitions(spark, sf))
 
 
 @query(with_events(SQL_PSTH + "SELECT session_id, ev_ord, kind, CAST(bin AS INTEGER) AS bin, n FROM cnt"))
@@ -722,7 +722,7 @@ def psth_panels(spark, sf):
     cls = E.label_events(ev, E.produced_context(E.instants(ev), chunk_s=CHUNK), "produced")
     heard = E.select_kind(ev, "perceived").withColumn("stream", F.lit("heard"))
     tagged = heard.unionByName(cls).withColumnRenamed("stream", "panel")
-    c = P.align_spikes(T.spikes(spark, sf), tagged, WINDOW, BIN, ["panel"], CHUNK)
+    c = P.align_spikes(T.spikes(spark, sf), tagged, WINDOW, BIN, ["panel"], CHUNK, T.partitions(spark, sf))
     return rounded(P.psth(c, BIN, ["panel"]), "mean", "sem")
 
 

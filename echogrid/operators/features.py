@@ -47,12 +47,25 @@ def taps_frame(spark, blocks: list[Block]) -> DataFrame:
     return spark.createDataFrame(rows, "stream string, lag int, col int, phi double")
 
 
-def project_basis(series: DataFrame, taps: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, bin, col, val): lagged series (keys, stream, bin, val) on a basis."""
-    hit = series.join(F.broadcast(taps), "stream").select(
-        *keys, (F.col("bin") + F.col("lag")).alias("bin"), "col", (F.col("val") * F.col("phi")).alias("val")
+def project_basis(
+    series: DataFrame, taps: DataFrame, keys: list[str], parts: int | None = None, block_bins: int = G.BLOCK_BINS
+) -> DataFrame:
+    """(keys, bin, col, val): lagged series (keys, stream, bin, val) on a basis.
+
+    The series is hashed by (keys, block of bins), with copies for the blocks
+    its lags reach, and expanded there: cells are added up where they arise.
+    ``parts`` tasks share them.
+    """
+    span = taps.groupBy("stream").agg(F.min("lag").alias("_lo"), F.max("lag").alias("_hi"))
+    near = series.select(*keys, "stream", "bin", "val").join(F.broadcast(span), "stream")
+    near = _reach(near, F.col("bin") + F.col("_lo"), F.col("bin") + F.col("_hi"), block_bins).drop("_lo", "_hi")
+    hit = (
+        spread(near, *keys, "blk", parts=parts)
+        .join(F.broadcast(taps), "stream")
+        .select(*keys, "blk", (F.col("bin") + F.col("lag")).alias("bin"), "col", (F.col("val") * F.col("phi")).alias("val"))
+        .filter((F.col("bin") >= 0) & (F.floor(F.col("bin") / F.lit(block_bins)) == F.col("blk")))
     )
-    return hit.filter(F.col("bin") >= 0).groupBy(*keys, "bin", "col").agg(F.sum("val").alias("val"))
+    return hit.groupBy(*keys, "blk", "bin", "col").agg(F.sum("val").alias("val")).drop("blk")
 
 
 def design_coo(
@@ -62,19 +75,24 @@ def design_coo(
     colmap: ColumnMap,
     convo_spans: DataFrame | None = None,
     bad: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Non-zero design cells (session_id, model_id, bin, col, val), bad bins dropped.
 
     ``response`` lists non-zero (session_id, model_id, bin, y). Lags are taken
-    on the full grid; masked bins are removed afterwards.
+    on the full grid; masked bins are removed afterwards. Models and sizes meet
+    the impulses, not the cells, and cells are hashed by (session, model, bin)
+    into ``parts`` partitions, which sums over a design row find in place.
     """
     spark = impulses.sparkSession
     models = response.select("session_id", "model_id").distinct()
+    on_grid, inside = ["session_id", "model_id", "n_bins"], F.col("bin") < F.col("n_bins")
     shared = []
     lagged = colmap.lagged
     if lagged:
-        series = impulses.select("session_id", "stream", "bin", F.lit(1.0).alias("val"))
-        shared.append(project_basis(series, taps_frame(spark, lagged), ["session_id"]).join(models, "session_id"))
+        series = impulses.select("session_id", "stream", "bin", F.lit(1.0).alias("val")).join(models, "session_id")
+        cells = project_basis(series.join(sizes, "session_id"), taps_frame(spark, lagged), on_grid, parts)
+        shared.append(cells.filter(inside))
     icept = colmap.get("intercept")
     if icept is not None:
         shared.append(
@@ -102,20 +120,20 @@ def design_coo(
     hist = colmap.history
     if hist is not None:
         series = response.filter("y <> 0").select("session_id", "model_id", "bin", F.col("y").cast("double").alias("val"))
-        keys = ["session_id", "model_id"]
+        series = series.join(sizes, "session_id")
         if hist.taps is None:
-            part = lag_block(series, hist.lag_lo, hist.lag_hi, keys).select(
-                *keys, "bin", (F.col("lag") - hist.lag_lo + hist.first).cast("int").alias("col"), "val"
+            part = lag_block(series, hist.lag_lo, hist.lag_hi, on_grid).withColumn(
+                "col", (F.col("lag") - hist.lag_lo + hist.first).cast("int")
             )
         else:
             part = project_basis(
-                series.withColumn("stream", F.lit(hist.name)), taps_frame(spark, [hist]), keys
+                series.withColumn("stream", F.lit(hist.name)), taps_frame(spark, [hist]), on_grid, parts
             )
+        part = part.filter(inside).select("session_id", "model_id", "bin", "col", "val")
         out = part if out is None else out.unionByName(part)
-    out = out.join(sizes, "session_id").filter(F.col("bin") < F.col("n_bins")).drop("n_bins")
     if bad is not None:
         out = out.join(bad.select("session_id", "bin"), ["session_id", "bin"], "left_anti")
-    return out.select("session_id", "model_id", "bin", "col", "val")
+    return spread(out.select("session_id", "model_id", "bin", "col", "val"), "session_id", "model_id", "bin", parts=parts)
 
 
 def column_stats(coo: DataFrame, n_rows: DataFrame, keys: list[str]) -> DataFrame:

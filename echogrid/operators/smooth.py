@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echogrid.config import round_half_away
+from echogrid.runtime import spread
 from echogrid.schema import InputError
 
 
@@ -45,7 +46,7 @@ def smooth_decimate(
 
 
 def resample_linear(
-    signal: DataFrame, meta: DataFrame, sizes: DataFrame, dt: float, keys: list[str]
+    signal: DataFrame, meta: DataFrame, sizes: DataFrame, dt: float, keys: list[str], parts: int | None = None
 ) -> DataFrame:
     """Linear interpolation of samples onto grid bins: (keys, bin, v).
 
@@ -62,11 +63,10 @@ def resample_linear(
     x = (F.col("bin") * d - t0) * fs
     w = 1 - F.abs(x - i)
     inside = (x >= 0) & (x <= F.col("n_samples") - 1)
-    return (
-        each.filter(inside & (w > 0))
-        .groupBy(*keys, "bin")
-        .agg(F.sum(F.col("v") * w).alias("v"))
-    )
+    near = each.filter(inside & (w > 0)).select(*keys, "bin", (F.col("v") * w).alias("v"))
+    if parts is not None:
+        near = spread(near, *keys, "bin", parts=parts)
+    return near.groupBy(*keys, "bin").agg(F.sum("v").alias("v"))
 
 
 def normalize(series: DataFrame, n_rows: DataFrame, keys: list[str], mode: str = "zscore") -> DataFrame:

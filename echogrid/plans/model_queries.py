@@ -832,9 +832,11 @@ def lfp_history_basis(spark, sf):
 
     taps = B.signal_history_basis(np.arange(1, 11) * SIG_DT)
     blk = B.Block("lfp_history", "history", 0, taps.shape[1], 1, 10, taps)
-    z = resampled(spark, sf).withColumnRenamed("v", "val").withColumn("stream", F.lit("lfp_history"))
-    out = X.project_basis(z, X.taps_frame(spark, [blk]), D.CHANNEL)
-    return rounded(on_grid(spark, sf, out).filter(F.abs("val") > 1e-7), "val")
+    parts, n = T.partitions(spark, sf, "embeddings", 2_500), signal_sizes(spark, sf)
+    z = SM.resample_linear(T.signal(spark, sf), signal_meta(spark, sf), n, SIG_DT, D.CHANNEL, parts)
+    z = z.join(n, "session_id").withColumnRenamed("v", "val").withColumn("stream", F.lit("lfp_history"))
+    out = X.project_basis(z, X.taps_frame(spark, [blk]), [*D.CHANNEL, "n_bins"], parts)
+    return rounded(out.filter(F.col("bin") < F.col("n_bins")).drop("n_bins").filter(F.abs("val") > 1e-7), "val")
 
 
 @query(SQL_RESAMPLED + "SELECT session_id, channel_id, round(stddev_samp(v), 6) AS std, round(max(abs(v)), 6) AS peak FROM rs GROUP BY 1, 2")

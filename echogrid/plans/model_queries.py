@@ -69,7 +69,7 @@ def response(spark, sf):
 
 
 def coo(spark, sf):
-    return X.design_coo(impulses(spark, sf), response(spark, sf), sizes(spark, sf), COLMAP)
+    return X.design_coo(impulses(spark, sf), response(spark, sf), sizes(spark, sf), COLMAP, parts=T.partitions(spark, sf))
 
 
 def blocks(spark, sf, k=KF):
@@ -118,8 +118,10 @@ def fixed_weight():
     return ((F.col("col") * 7) % 5 - 2) * F.lit(0.1)
 
 
-def cells_at_w(spark, sf):
-    return O.with_response(O.linear_predictor(coo(spark, sf), weight=fixed_weight()), response(spark, sf))
+def cells_at_w(spark, sf, cells=None):
+    """Predictor and response by bin; pass ``cells`` where they are read again, so that both read one shuffle."""
+    cells = coo(spark, sf) if cells is None else cells
+    return O.with_response(O.linear_predictor(cells, weight=fixed_weight()), response(spark, sf))
 
 
 def rounded(df, *cols, places=6):
@@ -294,10 +296,12 @@ SELECT a.session_id, a.col AS i, b.col AS j, round((coalesce(g, 0.0) - a.n * a.m
 FROM s a JOIN s b ON a.session_id = b.session_id AND a.col <= b.col LEFT JOIN gg ON gg.session_id = a.session_id AND gg.i = a.col AND gg.j = b.col"""))
 def standardized_gram(spark, sf):
     """Gram of z-scored columns from sums alone, so sparse columns stay sparse."""
-    cells = coo(spark, sf).drop("model_id")
+    # One model a session; its column stays while cells are paired, as they are dealt by it.
+    cells = coo(spark, sf)
     n = sizes(spark, sf).withColumnRenamed("n_bins", "n_rows")
-    stats = X.column_stats(cells, n, ["session_id"])
-    return rounded(M.standardized_gram(M.gram_entries(cells, ["session_id"]), stats, n, ["session_id"]), "g")
+    stats = X.column_stats(cells, n, KEYS).drop("model_id")
+    gram = M.gram_entries(cells, KEYS).drop("model_id")
+    return rounded(M.standardized_gram(gram, stats, n, ["session_id"]), "g")
 
 
 @query(with_events(SQL_COO + """
@@ -353,7 +357,8 @@ def poisson_nll_at_w(spark, sf):
 @query(with_events(SQL_ETA + """
 SELECT session_id, col, round(sum(val * (exp(eta) - y)), 6) AS grad FROM cell JOIN rows_ USING (session_id, bin) GROUP BY 1, 2"""))
 def poisson_grad_at_w(spark, sf):
-    return rounded(O.gradient(coo(spark, sf), cells_at_w(spark, sf)).drop("model_id"), "grad")
+    cells = coo(spark, sf)
+    return rounded(O.gradient(cells, cells_at_w(spark, sf, cells)).drop("model_id"), "grad")
 
 
 @query(with_events(SQL_ETA + """
@@ -361,7 +366,8 @@ SELECT a.session_id, a.col AS i, b.col AS j, round(sum(exp(eta) * a.val * b.val)
 JOIN cell b ON a.session_id = b.session_id AND a.bin = b.bin AND a.col <= b.col
 JOIN rows_ r ON r.session_id = a.session_id AND r.bin = a.bin GROUP BY 1, 2, 3"""))
 def poisson_hessian_at_w(spark, sf):
-    return rounded(O.weighted_gram(coo(spark, sf), cells_at_w(spark, sf)).drop("model_id"), "h")
+    cells = coo(spark, sf)
+    return rounded(O.weighted_gram(cells, cells_at_w(spark, sf, cells)).drop("model_id"), "h")
 
 
 @query(with_events(SQL_ETA + """
@@ -378,7 +384,8 @@ def gaussian_obj_at_w(spark, sf):
 @query(with_events(SQL_ETA + """
 SELECT session_id, col, round(sum(val * (exp(eta) - y) * exp(eta)), 6) AS grad FROM cell JOIN rows_ USING (session_id, bin) GROUP BY 1, 2"""))
 def gaussian_log_grad_at_w(spark, sf):
-    return rounded(O.gradient(coo(spark, sf), cells_at_w(spark, sf), "gauss_log").drop("model_id"), "grad")
+    cells = coo(spark, sf)
+    return rounded(O.gradient(cells, cells_at_w(spark, sf, cells), "gauss_log").drop("model_id"), "grad")
 
 
 @query(with_events(SQL_ETA + """

@@ -8,7 +8,7 @@ hashed bitmaps bound the overlap of two sets from above; pairs that may reach
 the threshold are settled by an exact intersection of sorted arrays.
 
 Pairs inside a class of sets that are already connected are never formed: first
-each set is held against the smallest of its tiles, then only tiles that still
+each set is held against the one that leads most of its tiles, then only tiles that still
 join different components are searched, by the likeliest partners of each set,
 until no set has an untried partner outside its component.
 """
@@ -37,9 +37,14 @@ BITS = 2
 # Members compared at once in a tile, and pairs settled by one task in a row.
 TILE = 2048
 SALT = 1024
-# Partners of other components that a set names in a tile at first, and times as many in each further round.
+# Partners of other components that a set names in a tile at first (of one component: the likeliest), and times as many
+# in each further round.
 PARTNERS = 16
 MORE = 16
+# Pairs of a tile that are held against each other at once.
+CELLS = 1 << 16
+# Tiles with one leader that make it worth a test before components are known.
+OFTEN = 2
 
 
 @dataclass(frozen=True)
@@ -75,7 +80,15 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 def shingle_set(text: str, words: int = DEFAULT.words) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; fewer words than a shingle are one shingle."""
-    return np.unique(shingle_hashes(text, words))
+    s = np.sort(shingle_hashes(text, words))
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return s[new]
+
+
+@cache
+def _bounds(parts: int) -> np.ndarray:
+    return (np.arange(1, parts) * (2.0**64 / parts)).astype(np.uint64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -99,8 +112,7 @@ def tile_keys(s: np.ndarray, rule: Rule = DEFAULT) -> np.ndarray:
         if may_differ == 0:
             continue  # linked sets of this band are equal
         parts = may_differ + 1 + SPARE
-        bounds = (np.arange(1, parts) * (2.0**64 / parts)).astype(np.uint64)
-        cut = np.concatenate([[0], np.searchsorted(s, bounds), [n]])
+        cut = np.concatenate([[0], np.searchsorted(s, _bounds(parts)), [n]])
         sums = content[cut[1:]] - content[cut[:-1]]
         keys = mixed(sums * _ODD[1] + np.arange(parts, dtype=np.uint64) * _ODD[2] + np.full(1, b, np.uint64) * _ODD[3])
         filled = cut[1:] > cut[:-1]
@@ -109,6 +121,13 @@ def tile_keys(s: np.ndarray, rule: Rule = DEFAULT) -> np.ndarray:
     return (np.concatenate(out) >> np.uint64(16)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if not len(a):
+        return 0
+    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """Bitmap of the hashed elements as 64-bit words; its size is a power of two."""
     bits = max(64, 1 << int(BITS * max(len(s), 1) - 1).bit_length())
@@ -125,7 +144,7 @@ def folded(sig: np.ndarray, words: int) -> np.ndarray:
     return sig
 
 
-def overlap_bound(a: np.ndarray, n_a: int, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
+def overlap_bound(a: np.ndarray, n_a: int | np.ndarray, many: np.ndarray, n_many: np.ndarray) -> np.ndarray:
     """Most elements that the set behind signature ``a`` can share with those behind ``many``: differing bits differ in the sets."""
     differ = np.bitwise_count(many ^ a).sum(axis=1, dtype=np.int64)
     return np.minimum((n_many + n_a - differ) // 2, np.minimum(n_many, n_a))
@@ -204,10 +223,6 @@ def _tiles(docs: DataFrame, rule: Rule) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "sid").mapInArrow(shared, "key long, sid long, lead long")
 
 
-def _expanded(data: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(data).decode()
-
-
 def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """``sid, n, sig, text`` of the wanted sets, from the document that stands for each; texts travel compressed."""
     small = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
@@ -220,8 +235,9 @@ def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rule: Rule) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), data], schema=small)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            sets = [shingle_set(_expanded(t), rule.words) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(expand.decompress(t).decode(), rule.words) for t in batch.column(1).to_pylist()]
             ids = [set_id(s) for s in sets]
             ok = pa.array([i == sid for i, sid in zip(ids, batch.column(0).to_pylist(), strict=True)])
             rows = pa.RecordBatch.from_arrays(
@@ -242,7 +258,7 @@ def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rule: Rule) -> D
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Those of ``pairs(a, b)`` that link, by bit counts and then by exact intersection.
+    """Those of ``pairs(a, b)`` that link, by exact intersection.
 
     Pairs of one ``a`` lie together, its own text first. A frequent ``a`` is
     dealt over several salts, its text sent to each.
@@ -265,20 +281,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, own_sig = np.zeros(0, np.uint64), np.zeros(1, np.uint64)
+        own = np.zeros(0, np.uint64)
+        expand = zstandard.ZstdDecompressor()
         for batch in batches:
             found_a, found_b = [], []
             for a, sid, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = shingle_set(_expanded(text), rule.words)
-                sig = signature(s)
+                s = shingle_set(expand.decompress(text).decode(), rule.words)
                 if role == 0:
-                    own, own_sig = s, sig
-                    continue
-                words = min(len(sig), len(own_sig))
-                one = folded(sig, words)[None, :]
-                if not may_link(folded(own_sig, words), len(own), one, np.array([len(s)]), rule)[0]:
-                    continue
-                if rule.linked(len(np.intersect1d(own, s, assume_unique=True)), len(own), len(s)):
+                    own = s
+                elif rule.linked(common(own, s), len(own), len(s)):
                     found_a.append(a)
                     found_b.append(sid)
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=out)
@@ -286,15 +297,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Rule, each: int) -> DataFrame:
-    """Pairs ``a, b`` of one tile in different components whose signatures may link.
-
-    Each set names its ``each`` likeliest partners of a tile; one that has more
-    is told by a row with ``a = b``.
-    """
-    labelled = tiles.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
-        "comp", F.coalesce("comp", "sid")
-    )
+def open_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, sid, comp, blocks`` of the tiles that hold different components, one of those with equal members."""
+    labelled = tiles.select("key", "sid").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     # Near copies agree in many parts, so most tiles have the members of another; one of those is enough.
     mixed_tiles = (
         labelled.groupBy("key")
@@ -310,17 +315,89 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
         .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("members") / TILE).cast("long").alias("blocks"))
     )
-    open_rows = labelled.join(stored(mixed_tiles, "mixed"), "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    return labelled.join(stored(mixed_tiles, "mixed"), "key")
+
+
+def matrix(sigs: list[bytes]) -> np.ndarray:
+    """Signatures as rows of one width, the least of theirs."""
+    words = min(len(x) for x in sigs) // 8
+    if all(len(x) == 8 * words for x in sigs):
+        return np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, words)
+    return np.stack([folded(np.frombuffer(x, np.uint64), words) for x in sigs])
+
+
+def _ranks(*groups: np.ndarray) -> np.ndarray:
+    """Place of each entry among those that agree in all of ``groups``, in the order given."""
+    order = np.lexsort(groups[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([g[order][1:] != g[order][:-1] for g in groups])
+    starts = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - starts[np.cumsum(new) - 1]
+    return out
+
+
+def likely_partners(
+    sig: np.ndarray, sid: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray | None, each: int, per: int, rule: Rule = DEFAULT
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that may link: of each set the ``each`` likeliest partners of other components, ``per`` of a component.
+
+    A set that has more is told by a pair with itself. With ``block``, only sets
+    of different blocks are held against each other.
+    """
+    order = np.lexsort((sid, size))
+    sig, sid, comp, size = sig[order], sid[order], comp[order], size[order]
+    block = None if block is None else block[order]
+    # Sets that link are of like size; of the rest, half as wide signatures say most.
+    least = np.searchsorted(size * rule.den, size * rule.num)
+    most = np.searchsorted(size * rule.num, size * rule.den, "right")
+    words = np.ascontiguousarray((sig if sig.shape[1] == 1 else sig[:, : sig.shape[1] // 2] | sig[:, sig.shape[1] // 2 :]).T)
+    slack = ((rule.den - rule.num) * size).astype(np.int32)
+    step = max(1, CELLS // len(sid))
+    found_a, found_b = [], []
+    for first in range(0, len(sid), step):
+        rows = slice(first, min(first + step, len(sid)))
+        others = slice(int(least[rows.start]), int(most[rows.stop - 1]))
+        differ = np.zeros((rows.stop - rows.start, others.stop - others.start), np.int32)
+        for w in words:
+            differ += np.bitwise_count(w[rows, None] ^ w[others])
+        differ *= rule.den + rule.num
+        k, j = np.nonzero(differ <= slack[rows, None] + slack[others])
+        k, j = k + rows.start, j + others.start
+        apart = comp[k] != comp[j]
+        if block is not None:
+            apart &= block[k] != block[j]
+        k, j = k[apart], j[apart]
+        if not len(k):
+            continue
+        bound = overlap_bound(sig[k], size[k], sig[j], size[j])
+        union = size[k] + size[j] - bound
+        ok = rule.den * bound >= rule.num * union
+        k, j, like = k[ok], j[ok], bound[ok] / union[ok]
+        order = np.lexsort((sid[j], -like, k))
+        k, j = k[order], j[order]
+        named = (_ranks(k) < each) & (_ranks(k, comp[j]) < per)
+        more = sid[np.unique(k[~named])]
+        x, y = sid[k[named]], sid[j[named]]
+        found_a += [np.minimum(x, y), more]
+        found_b += [np.maximum(x, y), more]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _cross_pairs(opened: DataFrame, texts: DataFrame, rule: Rule, each: int, per: int) -> DataFrame:
+    """Pairs ``a, b`` of one tile in different components whose signatures may link.
+
+    Each set names the ``each`` likeliest partners of a tile, ``per`` of one
+    component; a set that has more is told by a row with ``a = b``.
+    """
     # A large tile is cut into blocks, and each two blocks meet in a tile of their own.
-    dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key",
-        F.least("block", "other").alias("i"),
-        F.greatest("block", "other").alias("j"),
-        "block",
-        "sid",
-        "comp",
+    dealt = (
+        opened.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "comp")
     )
-    n = shuffle_partitions(tiles.sparkSession)
+    n = shuffle_partitions(opened.sparkSession)
     rows = (
         dealt.join(texts.select("sid", "n", "sig"), "sid")
         .repartition(n, "key", "i", "j")
@@ -329,44 +406,39 @@ def _cross_pairs(tiles: DataFrame, labels: DataFrame, texts: DataFrame, rule: Ru
     )
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def search(group: list[tuple]) -> tuple[list[int], list[int]]:
-        words = min(len(r[7]) // 8 for r in group)
-        sig = np.stack([folded(np.frombuffer(r[7], np.uint64), words) for r in group])
-        block, sid, comp, size = (np.array([r[k] for r in group], np.int64) for k in (3, 4, 5, 6))
-        apart = group[0][1] != group[0][2]
-        a, b = [], []
-        for k in range(len(group)):
-            most = overlap_bound(sig[k], int(size[k]), sig, size)
-            union = size + size[k] - most
-            ok = (comp != comp[k]) & (rule.den * most >= rule.num * union)
-            if apart:
-                ok &= block != block[k]
-            found = np.flatnonzero(ok)
-            x = int(sid[k])
-            if len(found) > each:
-                found = found[np.lexsort((sid[found], -most[found] / union[found]))[:each]]
-                a.append(x)
-                b.append(x)
-            for y in sid[found].tolist():
-                a.append(min(x, y))
-                b.append(max(x, y))
-        return a, b
+    def search(numbers: np.ndarray, sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        _, i, j, block, sid, comp, size = numbers
+        return likely_partners(matrix(sigs), sid, comp, size, block if i[0] != j[0] else None, each, per, rule)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        held = [np.zeros((7, 0), np.int64)]
+        sigs: list[bytes] = []
         for batch in batches:
-            a, b = [], []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
-                    x, y = search(group)
-                    a += x
-                    b += y
-                    group = []
-                group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
-        if group:
-            a, b = search(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=out)
+            numbers = np.stack([batch.column(c).to_numpy() for c in range(7)])
+            own = batch.column(7).to_pylist()
+            if not len(own):
+                continue
+            # Tiles of one batch at a time; the last one may go on in the next batch.
+            starts = np.flatnonzero((numbers[:3, 1:] != numbers[:3, :-1]).any(axis=0)) + 1
+            last = held[-1][:3, -1:]
+            if last.size and (last != numbers[:3, :1]).any():
+                starts = np.concatenate([[0], starts])
+            found = []
+            begin = 0
+            for end in starts.tolist():
+                held.append(numbers[:, begin:end])
+                sigs += own[begin:end]
+                found.append(search(np.concatenate(held, axis=1), sigs))
+                held, sigs, begin = [np.zeros((7, 0), np.int64)], [], end
+            held.append(numbers[:, begin:])
+            sigs += own[begin:]
+            if found:
+                # Near copies meet in many tiles: of one batch each pair goes on once.
+                pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=out)
+        if sigs:
+            a, b = search(np.concatenate(held, axis=1), sigs)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -384,22 +456,27 @@ def join_components(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
     classes = stored(_classes(rows, rule), "classes")
     reps = stored(classes.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep")), "reps")
     tiles = stored(_tiles(rows, rule), "tiles")
-    first = stored(tiles.groupBy("sid").agg(F.min("lead").alias("lead")), "first")
+    # The leader of most of a set's tiles is its likeliest partner; that of a single tile often shares a common line only.
+    led = tiles.groupBy("sid", "lead").agg(F.count(F.lit(1)).alias("times"))
+    other = F.when((F.col("lead") != F.col("sid")) & (F.col("times") >= OFTEN), F.struct("times", (-F.col("lead")).alias("low"), "lead"))
+    first = stored(led.groupBy("sid").agg(F.max(other).getField("lead").alias("lead")), "first")
     texts = stored(_texts(rows, reps, first.select("sid"), rule), "texts")
-    near = first.filter("lead <> sid").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    near = first.filter("lead is not null").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     links = stored(_verified(near, texts, rule), "links")
-    tested, each = near, PARTNERS
+    tested, each, per = near, PARTNERS, 1
     while True:
-        found = stored(_cross_pairs(tiles, components(links), texts, rule, each), "found")
+        opened = stored(open_tiles(tiles, components(links)), "open")
+        found = stored(_cross_pairs(opened, texts, rule, each, per), "found")
         fresh = stored(found.filter("a <> b").join(tested, ["a", "b"], "left_anti"), "fresh")
         links = stored(links.union(_verified(fresh, texts, rule)), "links")
         more = stored(found.filter("a = b").select(F.col("a").alias("sid")), "more")
         if more.isEmpty():
             break
-        # These sets have more partners in other components than they named: only their tiles are searched again.
-        keys = tiles.join(more, "sid", "left_semi").select("key").distinct()
-        tiles = stored(tiles.join(keys, "key", "left_semi"), "tiles")
+        # These sets have more partners in other components than they named. A set that named all of its partners has
+        # no pair left, so only these are searched again.
+        tiles = stored(opened.join(more, "sid", "left_semi").select("key", "sid"), "tiles")
         tested, each = stored(tested.union(fresh), "tested"), MORE * each
+        per = each
     labels = components(links).withColumnRenamed("node", "sid")
     settled = reps.join(labels, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     settled = stored(settled, "settled")

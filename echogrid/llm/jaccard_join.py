@@ -37,9 +37,9 @@ BITS = 2
 # Members compared at once in a tile, and pairs settled by one task in a row.
 TILE = 2048
 SALT = 1024
-# Partners of other components that a set names in a tile at first (of one component: the likeliest), and times as many
-# in each further round.
-PARTNERS = 16
+# Partners of other components that a set names in a tile at first: the likeliest one, so a tile of many components
+# names no more pairs than it has sets; most of them are connected then. Times as many in each further round.
+PARTNERS = 1
 MORE = 16
 # Pairs of a tile that are held against each other at once.
 CELLS = 1 << 16

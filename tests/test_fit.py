@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +325,38 @@ def test_verdicts_of_several_models_match_the_long_form(spark):
             np.testing.assert_allclose(a[k], b[k], atol=1e-12)
     # Refits meet their model once; no row per lag and refit is shuffled.
     assert "unpack" not in p._jdf.queryExecution().toString() and "collect_list" not in ci._jdf.queryExecution().toString()
+
+
+def test_models_are_solved_side_by_side(monkeypatch):
+    rng = np.random.default_rng(7)
+    d = np.eye(4)
+    opt = {"tol_grad": 1e-9, "tol_fun": 0.0, "max_iter": 100}
+    rows, jobs, want = [], [], []
+    for k in range(5):
+        x = rng.integers(0, 2, (60 + k, 4)).astype(float)
+        y, folds = rng.poisson(1.0, len(x)).astype(float), np.arange(len(x)) % 3
+        rows.append(NT.ModelRows(x, y, folds, "poisson"))
+        for hold in (-1, 0, 2):
+            jobs.append({"session_id": k, "model_id": "n0", "cfg": hold + 1, "lam": 0.5, "holdout": hold, "shift": 0, "b": x[folds != hold].T @ y[folds != hold]})
+            kept, b, w = x[folds != hold], jobs[-1]["b"], np.zeros(4)
+            for _ in range(60):
+                mu = np.exp(kept @ w)
+                w = w - np.linalg.solve(kept.T @ (kept * mu[:, None]) + np.eye(4), kept.T @ mu - b + w)
+            want.append(w)
+    rounds, taken = [], NT.next_candidates
+    monkeypatch.setattr(NT, "next_candidates", lambda *args: rounds.append(len(args[1])) or taken(*args))
+    done = NT.solve_models(rows, np.arange(0, 16, 3), NT._stack(pd.DataFrame(jobs), 4), d, "poisson", opt)
+    # Rounds of the slowest job, not of each model.
+    assert len(rounds) == done["iters"].max() and rounds[0] == 15 and done["converged"].all()
+    np.testing.assert_allclose(done["w_best"], want, atol=1e-7)
+
+
+def test_factors_of_a_stack_of_packed_matrices():
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(6, 9, 5))
+    h = np.einsum("jui,juk->jik", a, a)
+    upper = np.triu_indices(5)
+    pivots, unit = NT.factored(np.ascontiguousarray(h[:, upper[0], upper[1]].T), 5)
+    for j in range(6):
+        u = np.triu(unit[:, :, j], 1) + np.eye(5)
+        np.testing.assert_allclose(u.T @ np.diag(pivots[:, j]) @ u, h[j], rtol=1e-9, atol=1e-9)
